@@ -31,14 +31,20 @@ def duck(root: str):
     return con
 
 
+spark_seconds = 0.0
+
+
 def key(row):
     return tuple((v is None, str(type(v)), v if v is not None else 0) for v in row)
 
 
 def compare(spark, con, root: str, name: str, fn, sql: str | None) -> str:
+    started = time.time()
     df = fn(spark, root)
     cols = sorted(df.columns)
     got = sorted((tuple(r) for r in df.select(*cols).collect()), key=key)
+    global spark_seconds
+    spark_seconds = time.time() - started
     if sql is None:
         return f"rows-only {len(got)}"
     rel = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({sql})")
@@ -72,7 +78,7 @@ def main(root: str, prefixes: list[str]) -> int:
         except Exception as exc:  # noqa: BLE001
             verdict = "FAIL " + type(exc).__name__ + " " + str(exc)[:700]
         bad += verdict.startswith("FAIL")
-        print(f"{name:34s} {time.time() - t:6.1f}s {verdict}", flush=True)
+        print(f"{name:34s} spark {spark_seconds:6.1f}s sql {time.time() - t - spark_seconds:5.1f}s {verdict}", flush=True)
     print("failures", bad)
     return bad
 

@@ -98,3 +98,22 @@ def lag(x: str, n: int, part: str, order: str) -> str:
 
 def growth(x: str, n: int, part: str, order: str) -> str:
     return f"({x})/nullif({lag(x, n, part, order)}, 0) - 1"
+
+STREAMS = INDEX + """,
+str0 AS (SELECT *, close/pre_close - 1 AS r1, coalesce(vol > lag(vol) OVER w, false) AS vol_up, lead(close) OVER w/close - 1 AS real_pct_change,
+    row_number() OVER w - 1 AS pos, coalesce((close - low)/nullif(high - low, 0), 0.5) AS place FROM idx WINDOW w AS (PARTITION BY series_id ORDER BY trade_date)),
+str1 AS (SELECT s.*, v.stream_id,
+    CASE v.stream_id WHEN 'base' THEN r1 <= 0 WHEN 'level' THEN place <= 0.5 WHEN 'momentum' THEN r1 > 0 ELSE vol_up END::INT AS predicted_label,
+    CASE v.stream_id WHEN 'base' THEN 0.5 + 0.4*(abs(r1)/(1 + abs(r1))) WHEN 'level' THEN 0.5 + 0.3*abs(place - 0.5)
+      WHEN 'momentum' THEN 0.52 + 0.3*(abs(r1)/(1 + abs(r1))) ELSE 0.5 + 0.2*(abs(r1)/(1 + abs(r1))) END AS confidence
+  FROM str0 s CROSS JOIN (VALUES ('base'), ('level'), ('momentum'), ('volume')) v(stream_id) WHERE r1 IS NOT NULL),
+streams AS (SELECT stream_id, series_id, trade_date, pos, close, predicted_label, confidence, real_pct_change,
+    (2*predicted_label - 1)*(least(abs(r1), 0.05)*0.5 + 0.001) AS uncalibrated_predicted_return, uncalibrated_predicted_return AS predicted_pct_change,
+    close*(1 + uncalibrated_predicted_return) AS predicted_close, 0.5 + 0.8*(confidence - 0.5) AS calibrated_confidence,
+    predicted_label = (real_pct_change > 0)::INT AS correct FROM str1),
+base AS (SELECT * FROM streams WHERE stream_id = 'base')"""
+
+
+def prior_quantile(x: str, q: float, n: int, minimum: int, part: str, order: str) -> str:
+    o = over(part, order, n, "prior")
+    return f"CASE WHEN count({x}) {o} >= {minimum} THEN quantile_cont({x}, {q}) {o} END"

@@ -1,9 +1,9 @@
 """Cross-sectional aggregations: one row per session.
 
 Sums and averages use map-side partial aggregation; medians, quantiles and
-leading tenths go through exact rank selection so that a crowded session is
-never gathered in one task.  Operators with ranks read their input in several
-branches: pass a staged panel.
+leading tenths check the largest session first and, beyond the bound, go through
+rank selection, so that a crowded session is never gathered in one task.
+Operators with ranks read their input more than once: pass a staged panel.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import ordered
-from tidemark.operators.ranks import exact_quantiles, flag_top, tenth
+from tidemark.operators.ranks import aggregate_with_quantiles, crowded, flag_top, tenth
 from tidemark.sources.derive import AMOUNTS
 
 DAY = ["trade_date"]
@@ -61,26 +61,23 @@ def market_breadth(stock: DataFrame, first_market: str = "SH") -> DataFrame:
             share(sum_if(x < 0, amt), F.sum(amt)).alias(f"{g}_down_amount_fraction"),
             F.avg((x <= -0.02).cast("double")).alias(f"{g}_large_down_fraction"),
         ]
-    day = act.groupBy(*DAY).agg(*aggs)
+    medians = [(f"{g}_median_return", F.when(member, r), 0.5) for g, member in groups.items()]
+    day = aggregate_with_quantiles(act, DAY, aggs, medians, crowded(act, DAY))
     source = stock.groupBy(*DAY).agg(F.count("*").alias("source_rows"),
                                      F.count(F.when(~F.col("market").isin(*COVERED), 1)).alias("excluded_exchange_rows"))
-    out = source.join(day, DAY, "left")
-    named = F.array(F.lit("all"), F.when(F.col("market") == first_market, F.lit("shanghai")))
-    member = act.select("trade_date", "ret", F.explode(F.filter(named, lambda g: g.isNotNull())).alias("_g"))
-    med = exact_quantiles(member, ["trade_date", "_g"], "ret", {"_m": 0.5})
-    med = med.groupBy(*DAY).agg(*[F.max(F.when(F.col("_g") == g, F.col("_m"))).alias(f"{g}_median_return") for g in groups])
-    return out.join(med, DAY, "left")
+    return source.join(day, DAY, "left")
 
 
 def return_distribution(stock: DataFrame) -> DataFrame:
     """Quantiles, spread, turnover-weighted tilt and turnover concentration."""
     act = active_rows(stock)
-    q = exact_quantiles(act, DAY, "ret", {"q01": .01, "q10": .1, "q25": .25, "q75": .75, "q90": .9, "q99": .99})
+    split = crowded(act, DAY)
+    probs = {"q01": .01, "q10": .1, "q25": .25, "q75": .75, "q90": .9, "q99": .99}
+    q = aggregate_with_quantiles(act, DAY, [F.count("*").alias("active_rows")], [(n, F.col("ret"), p) for n, p in probs.items()], split)
     clipped = act.join(q.select("trade_date", "q01", "q99"), DAY).withColumn(
         "robust", F.greatest(F.col("q01"), F.least(F.col("q99"), F.col("ret"))))
-    flagged = flag_top(clipped, DAY, "amount", "code", tenth)
+    flagged = flag_top(clipped, DAY, "amount", "code", tenth, split)
     day = flagged.groupBy(*DAY).agg(
-        F.count("*").alias("active_rows"),
         (wavg(F.col("robust"), F.col("amount")) - F.avg("robust")).alias("amount_return_gap"),
         share(sum_if(F.col("is_top"), F.col("amount")), F.sum("amount")).alias("amount_top_decile"),
     )
@@ -132,9 +129,9 @@ def order_flow(stock: DataFrame, flow: DataFrame, price_context: bool = False) -
     """Order-size flow measures with stock and turnover coverage, gated at 98 %."""
     m = matched_flow(stock, flow)
     ok = F.col("matched")
+    split = crowded(m, DAY)
     if price_context:
-        top = flag_top(m.where(ok), DAY, "amount", "code", tenth).select("code", "trade_date", "is_top")
-        m = m.join(top, ["code", "trade_date"], "left")
+        m = flag_top(m.withColumn("_ranked", F.when(ok, F.col("amount"))), DAY, "_ranked", "code", tenth, split)
     g, lg, sm = F.when(ok, F.col("gross")), F.when(ok, F.col("large")), F.when(ok, F.col("small"))
     sh = F.col("market") == "SH"
     total = F.sum(g)
@@ -148,15 +145,14 @@ def order_flow(stock: DataFrame, flow: DataFrame, price_context: bool = False) -
         (share(F.sum(F.when(sh, lg)), F.sum(F.when(sh, g))) - share(F.sum(lg), total)).alias("shanghai_relative"),
     ]
     if price_context:
-        r, top = F.col("ret"), F.coalesce(F.col("is_top"), F.lit(False))
+        r, top = F.col("ret"), F.col("is_top")
         aggs += [
             share(sum_if((r > 0) & (lg < 0), g), total).alias("up_sell_amount_fraction"),
             share(sum_if((r < 0) & (lg > 0), g), total).alias("down_buy_amount_fraction"),
             share(F.sum(F.when(top, lg)), F.sum(F.when(top, g))).alias("high_turnover_large_ratio"),
             share(F.sum(F.when(~top, lg)), F.sum(F.when(~top, g))).alias("other_turnover_large_ratio"),
         ]
-    med = exact_quantiles(m, DAY, "ratio", {"large_net_median": 0.5}, ok)
-    day = m.groupBy(*DAY).agg(*aggs).join(med, DAY, "left")
+    day = aggregate_with_quantiles(m, DAY, aggs, [("large_net_median", F.when(ok, F.col("ratio")), 0.5)], split)
     return coverage_gate(day, (*FLOW_MEASURES, *PRICE_FLOW_MEASURES), ("stock_coverage", "amount_coverage"))
 
 
@@ -175,11 +171,10 @@ def capital_flow(stock: DataFrame, flow: DataFrame, cap: DataFrame, market: str
     ok = F.col("matched")
     c = F.when(F.col("total_mv") > 0, F.col("total_mv"))
     m = m.withColumn("cap", c)
-    top = flag_top(m.where(ok & F.col("cap").isNotNull()), DAY, "cap", "code", tenth).select("code", "trade_date", "is_top")
-    m = m.join(top, ["code", "trade_date"], "left")
+    m = flag_top(m.withColumn("_ranked", F.when(ok, F.col("cap"))), DAY, "_ranked", "code", tenth, crowded(m, DAY))
     cm, lg, g = F.when(ok, F.col("cap")), F.when(ok, F.col("large")), F.when(ok, F.col("gross"))
     up = F.when(ok, (F.col("ret") > 0).cast("double"))
-    big = F.coalesce(F.col("is_top"), F.lit(False))
+    big = F.col("is_top")
     day = m.groupBy(*DAY).agg(
         F.count("*").alias("active_rows"), F.count(g).alias("matched_rows"),
         F.avg(F.col("cap").isNotNull().cast("double")).alias("basic_stock_coverage"),
@@ -324,8 +319,8 @@ def trend_breadth(stock: DataFrame, calendar: DataFrame, windows: Sequence[int]
         share(sum_if(m < 0, amt), F.sum(F.when(known, amt))).alias(f"trend_negative_{mid}_amount_fraction"),
         F.avg(F.when(known, F.coalesce((s < 0) & (m > 0), F.lit(False)).cast("double"))).alias("trend_weakening_fraction"),
         (F.avg(F.when(F.col("market") == "SH", (m > 0).cast("double"))) - F.avg((m > 0).cast("double"))).alias(f"trend_shanghai_relative_{mid}")]
-    med = exact_quantiles(runs, DAY, f"mom_{mid}", {f"trend_return_{mid}_median": 0.5})
-    day = runs.groupBy("trade_date", "session_no").agg(*aggs).join(med, DAY, "left")
+    median = [(f"trend_return_{mid}_median", m, 0.5)]
+    day = aggregate_with_quantiles(runs, ["trade_date", "session_no"], aggs, median, crowded(stock, DAY))
     old = day.select((F.col("session_no") + change).alias("session_no"), F.col(f"trend_up_{mid}_fraction").alias("_old"))
     day = day.join(old, "session_no", "left").withColumn(f"trend_up_{mid}_change_{change}", F.col(f"trend_up_{mid}_fraction") - F.col("_old")).drop("_old")
     cov = F.least(*[F.col(f"{k}_coverage_{n}") for n in windows for k in ("stock", "amount")])

@@ -1,11 +1,13 @@
-"""Exact rank selection inside groups of any size.
+"""Exact quantiles and leading parts of groups, with a checked bound on group size.
 
 `percentile` keeps a group's distinct values in one aggregation buffer and
-`row_number` sorts a group in one task; either fails when one session holds a
-large share of the rows.  Here a group is first histogrammed by value, the
-histogram is summed over order-preserving buckets, and only the buckets that
-contain a wanted rank are ordered.  A window sees one group's bucket totals or
-one bucket's distinct values, never the group itself.
+`row_number` sorts a group in one task.  That is the fastest plan while groups
+are small, so the size of the largest group is checked first; a session that
+holds more rows than GROUP_LIMIT takes the split plan instead: the group is
+histogrammed by value, the histogram is summed over order-preserving buckets,
+and only the buckets that contain a wanted rank are ordered.  A window then sees
+a group's bucket totals or one bucket's distinct values, never the group.  Both
+plans give the same rows.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.frames import before, ordered
 
+GROUP_LIMIT = 1_000_000
 _LOG_STEPS = 256
 _ZERO_OFFSET = 745 * _LOG_STEPS + 1
 
@@ -33,8 +36,14 @@ def _bucket(df: DataFrame, value: str) -> Column:
     return F.when(c == 0, F.lit(0)).when(c > 0, magnitude).otherwise(-magnitude).cast("bigint")
 
 
+def crowded(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> bool:
+    """Whether any group exceeds the limit; one counting job over the (staged) input."""
+    big = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    return not big.isEmpty()
+
+
 def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
-                 ranks: Mapping[str, Callable[[Column], Column]], within: Column | None = None) -> DataFrame:
+                 ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
     """Value at given 0-based ascending ranks of each group.
 
     `ranks` maps an output name to a function of the group size; ranks outside
@@ -44,8 +53,6 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
-    if within is not None:
-        rows = rows.where(within)
     hist = rows.groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_b", _bucket(df, value))
     buckets = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
     placed = buckets.withColumn("_start", F.coalesce(F.sum("_bc").over(before(ordered(keys, "_b"))), F.lit(0))).withColumn(
@@ -65,30 +72,49 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
     return got.groupBy(*keys).agg(F.max("rank_rows").alias("rank_rows"), *picks)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    within: Column | None = None) -> DataFrame:
-    """Linearly interpolated quantiles per group; equal to `percentile` on any group size."""
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per group by rank selection, for groups of any size."""
     ranks: dict[str, Callable[[Column], Column]] = {}
     for i, p in enumerate(probs.values()):
         ranks[f"_lo{i}"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
         ranks[f"_hi{i}"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p))
-    got = select_ranks(df, keys, value, ranks, within)
+    got = select_ranks(df, keys, value, ranks)
     outs = []
     for i, (name, p) in enumerate(probs.items()):
         h = (F.col("rank_rows") - 1) * F.lit(p)
-        outs.append((F.col(f"_lo{i}.value") + (h - F.floor(h)) * (F.col(f"_hi{i}.value") - F.col(f"_lo{i}.value"))).alias(name))
+        lo, hi = F.col(f"_lo{i}.value"), F.col(f"_hi{i}.value")
+        outs.append((lo + (h - F.floor(h)) * (hi - lo)).alias(name))
     return got.select(*keys, *outs)
 
 
+def aggregate_with_quantiles(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
+                             quantiles: Sequence[tuple[str, Column, float]], split: bool) -> DataFrame:
+    """groupBy(keys).agg(...) plus quantiles given as (name, expression, probability).
+
+    Without `split` everything is one aggregation; with it the quantiles come
+    from rank selection and are joined to the plain aggregates.
+    """
+    if not split:
+        return df.groupBy(*keys).agg(*aggs, *[F.percentile(x, F.lit(p)).alias(n) for n, x, p in quantiles])
+    out = df.groupBy(*keys).agg(*aggs)
+    for name, x, p in quantiles:
+        out = out.join(exact_quantiles(df.select(*keys, x.alias("_v")), keys, "_v", {name: p}), list(keys), "left")
+    return out
+
+
 def flag_top(df: DataFrame, keys: Sequence[str], value: str, tie: str, count: Callable[[Column], Column],
-             name: str = "is_top") -> DataFrame:
+             split: bool, name: str = "is_top") -> DataFrame:
     """Flag the `count(size)` rows with the largest value, ties going to the smaller tie key.
 
-    The boundary value is selected by rank.  Only where rows equal to it do not
+    With `split` the boundary value is selected by rank.  Only where rows equal to it do not
     all fit are they settled by a second selection on the tie key, so no group
     is sorted as a whole.
     """
     keys = list(keys)
+    if not split:
+        order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), tie))
+        size = F.count(value).over(Window.partitionBy(*keys))
+        return df.withColumn(name, F.col(value).isNotNull() & (order <= count(size)))
     edge = select_ranks(df, keys, value, {"_e": lambda n: n - count(n)}).select(
         *keys, F.col("_e.value").alias("_edge"), F.col("_e.ties").alias("_ties"),
         (count(F.col("rank_rows")) - (F.col("rank_rows") - F.col("_e.upto"))).alias("_need"))
