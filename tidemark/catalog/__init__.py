@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("panels", "series")
+MODULES = ("panels", "series", "joins")
 
 
 def load():

@@ -259,10 +259,9 @@ def w23(spark, d):
 
 CHAIN = f"""
 elig AS (SELECT *, predicted_label = 1 AND coalesce(sum((predicted_label = 1 AND correct IS NOT NULL)::INT) {S.over(SPART, 'pos', 756, 'prior')}, 0) >= 120 AS ok FROM streams),
-good AS (SELECT stream_id, series_id, pos, pos + 5 AS due FROM elig WHERE ok),
-jump AS (SELECT a.stream_id, a.series_id, a.pos, b.pos AS nxt FROM good a ASOF JOIN good b ON a.stream_id = b.stream_id AND a.series_id = b.series_id AND a.due <= b.pos),
+jump AS (SELECT stream_id, series_id, pos, min(pos) OVER (PARTITION BY stream_id, series_id ORDER BY pos RANGE BETWEEN 5 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM elig WHERE ok),
 chain(stream_id, series_id, pos) AS (SELECT stream_id, series_id, min(pos) FROM elig WHERE ok GROUP BY 1, 2
-  UNION ALL SELECT j.stream_id, j.series_id, j.nxt FROM chain c JOIN jump j ON j.stream_id = c.stream_id AND j.series_id = c.series_id AND j.pos = c.pos)"""
+  UNION ALL SELECT j.stream_id, j.series_id, j.nxt FROM chain c JOIN jump j ON j.stream_id = c.stream_id AND j.series_id = c.series_id AND j.pos = c.pos WHERE j.nxt IS NOT NULL)"""
 
 
 @query("w24_chained_anchors", SKEY + "anchor_pos:i",
