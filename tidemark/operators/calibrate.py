@@ -12,12 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.frames import ordered, prior
 from tidemark.operators.series import weighted_median_scale
 
 NEWTON_STEPS = 8
 RIDGE = 1e-6
+FIT = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
 
 
 def shrink_returns(df: DataFrame, keys: Sequence[str], pos: str = "pos", window: int = 252, minimum: int = 60) -> DataFrame:
@@ -39,54 +41,64 @@ def shrink_returns(df: DataFrame, keys: Sequence[str], pos: str = "pos", window:
         lost.cast("int").alias("return_calibration_close_fallback"))
 
 
-@F.pandas_udf("a double, b double")
-def _newton(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-    """Intercept and slope of ridge logistic fits, one per row.
-
-    The rows of an Arrow batch are solved together: segmented sums over the
-    concatenated pairs, a fixed number of Newton steps.
-    """
-    out = np.full((len(xs), 2), np.nan)
-    rows = np.flatnonzero(xs.notna().to_numpy())
-    if len(rows):
-        x = np.concatenate([np.asarray(xs.iloc[i], dtype=float) for i in rows])
-        y = np.concatenate([np.asarray(ys.iloc[i], dtype=float) for i in rows])
-        size = np.array([len(xs.iloc[i]) for i in rows])
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        total = lambda v: np.add.reduceat(v, start)
-        a, b = np.zeros(len(rows)), np.zeros(len(rows))
-        for _ in range(NEWTON_STEPS):
-            q = 1 / (1 + np.exp(-(np.repeat(a, size) + np.repeat(b, size) * x)))
-            v = q * (1 - q)
-            g0, g1 = total(q - y) + RIDGE * a, total((q - y) * x) + RIDGE * b
-            h00, h01, h11 = total(v) + RIDGE, total(v * x), total(v * x * x) + RIDGE
-            det = h00 * h11 - h01 * h01
-            a, b = a - (h11 * g0 - h01 * g1) / det, b - (h00 * g1 - h01 * g0) / det
-        out[rows, 0], out[rows, 1] = a, b
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-@F.pandas_udf("double")
-def _isotonic(xs: pd.Series, ys: pd.Series, at: pd.Series) -> pd.Series:
-    """Isotonic fit of each row's pairs evaluated at its own score."""
-
-    def one(x, y, v):
-        if x is None:
-            return None
-        u, inverse = np.unique(np.asarray(x, dtype=float), return_inverse=True)
-        weight = np.bincount(inverse).astype(float)
-        mean = np.bincount(inverse, weights=np.asarray(y, dtype=float)) / weight
-        blocks: list[list[float]] = []
-        for m, k in zip(mean, weight):
-            block = [m, k, 1]
-            while blocks and blocks[-1][0] >= block[0]:
-                last = blocks.pop()
-                mass = last[1] + block[1]
-                block = [(last[0] * last[1] + block[0] * block[1]) / mass, mass, last[2] + block[2]]
-            blocks.append(block)
-        return float(np.interp(v, u, np.repeat([k[0] for k in blocks], [k[2] for k in blocks])))
-
-    return pd.Series([one(x, y, v) for x, y, v in zip(xs, ys, at)], dtype="float64")
+def _newton_udf():
+    """Built per use, so workers need no copy of this package."""
+
+    @F.pandas_udf(FIT)
+    def solve(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        """Intercept and slope of ridge logistic fits, one per row.
+
+        The rows of an Arrow batch are solved together: segmented sums over the
+        concatenated pairs, a fixed number of Newton steps.
+        """
+        out = np.full((len(xs), 2), np.nan)
+        rows = np.flatnonzero(xs.notna().to_numpy())
+        if len(rows):
+            x = np.concatenate([np.asarray(xs.iloc[i], dtype=float) for i in rows])
+            y = np.concatenate([np.asarray(ys.iloc[i], dtype=float) for i in rows])
+            size = np.array([len(xs.iloc[i]) for i in rows])
+            start = np.concatenate([[0], np.cumsum(size)[:-1]])
+            total = lambda v: np.add.reduceat(v, start)
+            a, b = np.zeros(len(rows)), np.zeros(len(rows))
+            for _ in range(NEWTON_STEPS):
+                q = 1 / (1 + np.exp(-(np.repeat(a, size) + np.repeat(b, size) * x)))
+                v = q * (1 - q)
+                g0, g1 = total(q - y) + RIDGE * a, total((q - y) * x) + RIDGE * b
+                h00, h01, h11 = total(v) + RIDGE, total(v * x), total(v * x * x) + RIDGE
+                det = h00 * h11 - h01 * h01
+                a, b = a - (h11 * g0 - h01 * g1) / det, b - (h00 * g1 - h01 * g0) / det
+            out[rows, 0], out[rows, 1] = a, b
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return solve
+
+
+def _isotonic_udf():
+    """Built per use, so workers need no copy of this package."""
+
+    @F.pandas_udf(T.DoubleType())
+    def evaluate(xs: pd.Series, ys: pd.Series, at: pd.Series) -> pd.Series:
+        """Isotonic fit of each row's pairs evaluated at its own score."""
+
+        def one(x, y, v):
+            if x is None:
+                return None
+            u, inverse = np.unique(np.asarray(x, dtype=float), return_inverse=True)
+            weight = np.bincount(inverse).astype(float)
+            mean = np.bincount(inverse, weights=np.asarray(y, dtype=float)) / weight
+            blocks: list[list[float]] = []
+            for m, k in zip(mean, weight):
+                block = [m, k, 1]
+                while blocks and blocks[-1][0] >= block[0]:
+                    last = blocks.pop()
+                    mass = last[1] + block[1]
+                    block = [(last[0] * last[1] + block[0] * block[1]) / mass, mass, last[2] + block[2]]
+                blocks.append(block)
+            return float(np.interp(v, u, np.repeat([k[0] for k in blocks], [k[2] for k in blocks])))
+
+        return pd.Series([one(x, y, v) for x, y, v in zip(xs, ys, at)], dtype="float64")
+
+    return evaluate
 
 
 def platt_calibrate(df: DataFrame, keys: Sequence[str], pos: str = "pos", window: int = 300, minimum: int = 60, name: str = "calibrated_confidence") -> DataFrame:
@@ -104,7 +116,7 @@ def platt_calibrate(df: DataFrame, keys: Sequence[str], pos: str = "pos", window
     out = out.withColumn("_ready", ready)
     for n in ("x", "y"):
         out = out.withColumn(f"_{n}s", F.when(F.col("_ready"), F.transform("_pairs", lambda p, n=n: p[n])))
-    out = out.withColumn("_c", _newton("_xs", "_ys"))
+    out = out.withColumn("_c", _newton_udf()("_xs", "_ys"))
     p = 1 / (1 + F.exp(-(F.col("_c.a") + F.col("_c.b") * F.col("confidence"))))
     drop = {name, "confidence_calibration_rows", "confidence_calibration_fallback"}
     return out.select(*[c for c in df.columns if c not in drop], F.when(F.col("_ready"), p).otherwise(F.col("confidence")).alias(name),
@@ -189,7 +201,7 @@ def isotonic_calibrate(df: DataFrame, keys: Sequence[str], score: str, target: s
     out = out.withColumn("_ready", F.col("_el") & (F.size("_p") >= minimum) & (ups > 0) & (ups < F.size("_p")))
     out = out.withColumn("_xs", F.when(F.col("_ready"), F.transform("_p", lambda p: p["x"]))).withColumn("_ys", F.when(F.col("_ready"), F.transform("_p", lambda p: p["y"])))
 
-    out = out.withColumn("_f", _isotonic("_xs", "_ys", score))
+    out = out.withColumn("_f", _isotonic_udf()("_xs", "_ys", score))
     return out.select(*df.columns, F.when(F.col("_ready"), F.col("_f")).otherwise(F.col(score)).alias("calibrated_probability"),
                       F.when(F.col("_el"), F.size("_p")).otherwise(0).alias("calibration_rows"), F.col("_ready").alias("calibration_applied"))
 
