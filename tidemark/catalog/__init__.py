@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("panels", "series", "joins", "features", "forecasts")
+MODULES = ("panels", "series", "joins", "features", "forecasts", "rules")
 
 
 def load():

@@ -242,7 +242,7 @@ LIQ = {"overnight": '"on"/100', "overnight_change_1": dif('"on"/100'), "overnigh
        "exchange_overnight_change_1": dif("o_close/100"), "exchange_volume_ratio_20": f"o_amount/{win('avg', 'o_amount', 20)}", "exchange_short_volume_share": "o_amount/(o_amount + k_amount)"}
 _LIQ = """
 cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS session_no FROM (SELECT DISTINCT trade_date FROM ext)),
-liq AS (SELECT cal.trade_date, a.low/97 AS "on", a.close/97 AS w1, a.high/97 AS m3, n.close/97 AS o_close, n.high/97 AS o_high, n.low/97 AS o_low, n.amount AS o_amount, r.close/97 AS k_close, r.amount AS k_amount
+liq AS (SELECT cal.trade_date, a.low/97.3717 AS "on", a.close/97.3717 AS w1, a.high/97.3717 AS m3, n.close/97.3717 AS o_close, n.high/97.3717 AS o_high, n.low/97.3717 AS o_low, n.amount AS o_amount, r.close/97.3717 AS k_close, r.amount AS k_amount
   FROM cal LEFT JOIN (SELECT * FROM ext WHERE asset = 'A' AND day(trade_date) <> 9) a USING (trade_date) LEFT JOIN (SELECT * FROM ext WHERE asset = 'N') n ON n.trade_date = cal.trade_date
   LEFT JOIN (SELECT * FROM ext WHERE asset = 'R') r ON r.trade_date = cal.trade_date)"""
 
@@ -252,7 +252,7 @@ def f13(spark, d):
     """Funding spreads and ratios, one session late, unavailable after gaps."""
     e = D.external_series(spark, d)
     cal = calendar_of(e)
-    pct = lambda c, n: (F.col(c) / 97).alias(n)
+    pct = lambda c, n: (F.col(c) / 97.3717).alias(n)
     bank = e.where((F.col("asset") == "A") & (F.dayofmonth("trade_date") != 9)).select("trade_date", pct("low", "on"), pct("close", "w1"), pct("high", "m3"))
     repo = lambda a: e.where(F.col("asset") == a).select("trade_date", pct("close", "close"), pct("high", "high"), pct("low", "low"), "amount")
     return X.liquidity_features(cal.select("trade_date"), bank, repo("N"), repo("R"), cal)

@@ -121,11 +121,9 @@ QS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
        RETS + "SELECT *, " + ", ".join(f"{S.prior_quantile('ret', q, 756, 40, PART, ORD)} AS q{int(q * 10)}" for q in QS) + " FROM r")
 def w11(spark, d):
     """Quantile thresholds of up to 756 earlier rows, at least 40 known."""
-    f = D.index_series(spark, d).withColumn("ret", W.growth(F.col("close"), _w()))
-    p = W.prior(_w(), 756)
-    qs = F.when(F.count("ret").over(p) >= 40, F.percentile("ret", F.array(*[F.lit(q) for q in QS])).over(p))
-    f = f.withColumn("_q", qs)
-    return f.select(*SID, "trade_date", *[F.col("_q")[i].alias(f"q{int(q * 10)}") for i, q in enumerate(QS)])
+    f = D.index_series(spark, d).select(*SID, "trade_date", W.growth(F.col("close"), _w()).alias("ret"))
+    q = Q.prior_quantiles(f, SID, "trade_date", ["ret"], QS, 756, 40)
+    return q.select(*SID, "trade_date", *[F.col(f"ret_q{i}").alias(f"q{int(x * 10)}") for i, x in enumerate(QS)])
 
 
 @query("w12_prior_conditional_sums", SKEY + "hits_120:i rows_120:i",

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -91,3 +91,13 @@ def prior_count(flag: Column, n: int, running: str, pos: str, w: WindowSpec) ->
     """
     r = F.col(running)
     return F.coalesce(F.lag(r, 1).over(w), F.lit(0)) - F.coalesce(F.lag(r, n + 1).over(w), F.lit(0))
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partition by keys ahead of a compute-heavy window.
+
+    This is the exchange the window needs anyway; naming the partition count
+    keeps adaptive execution from merging small but expensive partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.frames import ordered, prior
+from tidemark.functions.frames import ordered, prior, spread
 from tidemark.operators.series import weighted_median_scale
 
 NEWTON_STEPS = 8
@@ -31,7 +31,7 @@ def shrink_returns(df: DataFrame, keys: Sequence[str], pos: str = "pos", window:
     x = F.col("predicted_pct_change")
     fit = weighted_median_scale(x, F.col("real_pct_change"), ordered(keys, pos), window, minimum)
     lost = F.abs(1 + x) <= 1e-12
-    out = df.withColumn("_fit", fit).withColumn("_x", x).withColumn("_scale", F.col("_fit.scale"))
+    out = spread(df, keys).withColumn("_fit", fit).withColumn("_x", x).withColumn("_scale", F.col("_fit.scale"))
     base = F.try_divide(F.col("predicted_close"), 1 + F.col("_x"))
     return out.select(
         *[c for c in df.columns if c not in ("predicted_pct_change", "predicted_close", "uncalibrated_predicted_return", "return_calibration_scale", "return_calibration_rows", "return_calibration_close_fallback")],
@@ -109,13 +109,13 @@ def platt_calibrate(df: DataFrame, keys: Sequence[str], pos: str = "pos", window
     w = prior(ordered(keys, pos), window)
     hit = F.col("correct").cast("double")
     pair = F.when(F.col("correct").isNotNull() & F.col("confidence").isNotNull(), F.struct(F.col("confidence").alias("x"), hit.alias("y")))
-    out = df.withColumn("_pairs", F.collect_list(pair).over(w))
+    out = spread(df, keys).withColumn("_pairs", F.collect_list(pair).over(w))
     ups = F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p["y"])
     out = out.withColumn("_ups", ups)
     ready = (F.size("_pairs") >= minimum) & (F.col("_ups") > 0) & (F.col("_ups") < F.size("_pairs"))
     out = out.withColumn("_ready", ready)
     for n in ("x", "y"):
-        out = out.withColumn(f"_{n}s", F.when(F.col("_ready"), F.transform("_pairs", lambda p, n=n: p[n])))
+        out = out.withColumn(f"_{n}s", F.when(F.col("_ready"), F.col(f"_pairs.{n}")))
     out = out.withColumn("_c", _newton_udf()("_xs", "_ys"))
     p = 1 / (1 + F.exp(-(F.col("_c.a") + F.col("_c.b") * F.col("confidence"))))
     drop = {name, "confidence_calibration_rows", "confidence_calibration_fallback"}
@@ -196,10 +196,10 @@ def isotonic_calibrate(df: DataFrame, keys: Sequence[str], score: str, target: s
     w = prior(ordered(keys, pos), window)
     known = eligible & F.col(target).isNotNull()
     pair = F.when(known, F.struct(F.col(score).alias("x"), F.col(target).cast("double").alias("y")))
-    out = df.withColumn("_p", F.collect_list(pair).over(w)).withColumn("_el", eligible)
+    out = spread(df, keys).withColumn("_p", F.collect_list(pair).over(w)).withColumn("_el", eligible)
     ups = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p["y"])
     out = out.withColumn("_ready", F.col("_el") & (F.size("_p") >= minimum) & (ups > 0) & (ups < F.size("_p")))
-    out = out.withColumn("_xs", F.when(F.col("_ready"), F.transform("_p", lambda p: p["x"]))).withColumn("_ys", F.when(F.col("_ready"), F.transform("_p", lambda p: p["y"])))
+    out = out.withColumn("_xs", F.when(F.col("_ready"), F.col("_p.x"))).withColumn("_ys", F.when(F.col("_ready"), F.col("_p.y")))
 
     out = out.withColumn("_f", _isotonic_udf()("_xs", "_ys", score))
     return out.select(*df.columns, F.when(F.col("_ready"), F.col("_f")).otherwise(F.col(score)).alias("calibrated_probability"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.frames import ordered
 from tidemark.functions.scalars import wilson_lower
 from tidemark.operators.calibrate import platt_calibrate, shrink_returns
-from tidemark.operators.series import window_sum, with_running
+from tidemark.operators.series import prior_quantiles, window_sum, with_running
 
 
 def relabel(df: DataFrame, label: Column, selected: Column, confidence: Column, magnitude: str = "uncalibrated_predicted_return") -> DataFrame:
@@ -107,20 +107,15 @@ def magnitude_estimate(df: DataFrame, keys: Sequence[str], window: int = 756, mi
 
     Earlier rows are those whose realised direction equals the predicted one.
     """
-    from tidemark.functions.frames import prior
-
-    w = prior(ordered(keys, "pos"), window)
     out = df
     for side in (0, 1):
-        size = F.when((F.col("real_pct_change") > 0).cast("int") == side, F.abs("real_pct_change"))
-        q = F.when(F.count(size).over(w) >= minimum, F.percentile(size, F.array(F.lit(low), F.lit(0.5), F.lit(high))).over(w))
-        out = out.withColumn(f"_q{side}", q)
-    q = F.when(F.col("predicted_label") == 1, F.col("_q1")).otherwise(F.col("_q0"))
-    out = out.withColumn("_q", q)
-    r = F.abs("uncalibrated_predicted_return")
-    scaled = F.when(F.col("_q").isNotNull(), F.greatest(F.col("_q")[0], F.least(F.col("_q")[2], r)))
+        out = out.withColumn(f"_s{side}", F.when((F.col("real_pct_change") > 0).cast("int") == side, F.abs("real_pct_change")))
+    out = prior_quantiles(out, keys, "pos", ["_s0", "_s1"], [low, 0.5, high], window, minimum)
+    q = [F.when(F.col("predicted_label") == 1, F.col(f"_s1_q{i}")).otherwise(F.col(f"_s0_q{i}")) for i in range(3)]
     sign = F.when(F.col("predicted_label") == 1, 1.0).otherwise(-1.0)
-    return out.select(*df.columns, (sign * F.col("_q")[1]).alias("directional_median"), (sign * scaled).alias("range_scaled"))
+    size = F.abs("uncalibrated_predicted_return")
+    scaled = F.when(q[1].isNotNull(), F.greatest(q[0], F.least(q[2], size)))
+    return out.select(*df.columns, (sign * q[1]).alias("directional_median"), (sign * scaled).alias("range_scaled"))
 
 
 def reversed_confidence(accuracy: Column, reversed_: Column) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.frames import diff, full, growth, ordered, prior
 
@@ -108,6 +110,28 @@ def weighted_median_scale(x: Column, y: Column, w: WindowSpec, window: int, mini
     return F.transform(F.array(pairs), solve)[0]
 
 
+def prior_quantiles(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], probs: Sequence[float],
+                    window: int, minimum: int) -> DataFrame:
+    """Add <column>_q<i>: linear quantiles of up to `window` earlier rows, at least `minimum` known.
+
+    A percentile over a sliding frame re-reads the frame for every row, so each
+    series (one row per session) is swept once by pandas' ordered rolling window
+    instead.  Series are spread over tasks by their keys.
+    """
+    cols = list(columns)
+    out = T.StructType([*df.schema.fields, *[T.StructField(f"{c}_q{i}", T.DoubleType()) for c in cols for i in range(len(probs))]])
+
+    def sweep(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        for c in cols:
+            seen = part[c].astype("float64").shift(1).rolling(window, min_periods=minimum)
+            for i, p in enumerate(probs):
+                part[f"{c}_q{i}"] = seen.quantile(p)
+        return part
+
+    return df.groupBy(*keys).applyInPandas(sweep, out)
+
+
 def half_life_weights(df: DataFrame, group: Sequence[str], age: Column, half_life: float, name: str = "weight") -> DataFrame:
     """2^(-age/half_life) scaled to mean one within each group."""
     raw = F.pow(F.lit(2.0), -age / half_life)
