@@ -128,7 +128,8 @@ def weighted_vote(merged: DataFrame, labels: DataFrame, keys: Sequence[str] = ("
     """Today's weighted vote and the accuracy of the same vote over the history.
 
     A historical date counts only where every expert was known.  The experts of
-    one position (at most k) are folded into a vote per date.
+    one position (at most k) are folded into a vote per date, which turns to -1
+    at the first unknown expert.
     """
     last = F.element_at("oriented", -1)
     today = (F.sum(F.col("weight") * last) / F.sum("weight")).alias("vote")
@@ -137,9 +138,9 @@ def weighted_vote(merged: DataFrame, labels: DataFrame, keys: Sequence[str] = ("
                                          F.collect_list(F.struct("oriented", "weight")).alias("e"))
     g = g.join(labels, list(keys))
     zero = F.transform(F.element_at("e", 1)["oriented"], lambda _: F.lit(0.0))
-    votes = F.aggregate("e", zero, lambda acc, x: F.zip_with(acc, x["oriented"], lambda a, v: F.when(v >= 0, a + x["weight"] * v)))
+    votes = F.aggregate("e", zero, lambda acc, x: F.zip_with(acc, x["oriented"], lambda a, v: F.when((a >= 0) & (v >= 0), a + x["weight"] * v).otherwise(-1.0)))
     g = g.withColumn("_v", votes).withColumn("_y", _window_of(F.col("labels"), F.col("pos"), window, False))
-    right = F.zip_with(F.slice("_v", 1, F.size("_y")), "_y", lambda v, y: F.when(v.isNotNull() & (y >= 0), (v / F.col("total") >= MAJORITY).cast("int") == y))
+    right = F.zip_with(F.slice("_v", 1, F.size("_y")), "_y", lambda v, y: F.when((v >= 0) & (y >= 0), (v / F.col("total") >= MAJORITY).cast("int") == y))
     g = g.withColumn("_r", F.filter(right, lambda x: x.isNotNull()))
     n = F.size("_r")
     return g.select(*keys, "pos", "vote", (F.col("vote") >= MAJORITY).cast("int").alias("predicted_label"), "experts", "ranked_rules", "effective_experts",
