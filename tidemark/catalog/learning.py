@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import sqltext as S
 from tidemark.catalog.features import specialist
 from tidemark.catalog.registry import query
+from tidemark.functions.scalars import all_known
 from tidemark.operators import calibrate as K
 from tidemark.operators import overlay as V
 from tidemark.operators import panel as P
@@ -153,12 +154,13 @@ def l9(spark, d):
     return L.downside_probabilities(core_stream(spark, d), X.CORE_COLUMNS, F.col("core_available"), weight="magnitude")
 
 
-SETS = {"base": ("return_1", "momentum_5", "volatility_20"), "extended": X.CORE_COLUMNS}
+EXTENDED = ("return_1", "momentum_5", "volatility_20", "momentum_20", "intraday_return")
+SETS = {"base": EXTENDED[:3], "extended": EXTENDED}
 
 
 def nested_folds(spark, d, interval=20):
     s = core_stream(spark, d)
-    up = (F.col("predicted_label") == 1) & F.col("core_available")
+    up = (F.col("predicted_label") == 1) & all_known(*[F.col(n) for n in EXTENDED])
     return stage(L.folds(s, G, up, up & F.col("real_pct_change").isNotNull(), F.col("real_pct_change") <= 0, minimum=240, interval=interval), "folds")
 
 
