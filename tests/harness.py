@@ -58,8 +58,9 @@ def compare(spark, con, root: str, name: str, fn, sql: str | None) -> str:
         return f"ok {len(got)}" + (f" all-null {dead}" if dead else "")
     if len(got) != len(want):
         return f"FAIL rows {len(got)} vs {len(want)}\n   first {got[:1]}\n   want  {want[:1]}"
-    bad = [(g, w) for g, w in zip(got, want) if g != w]
-    g, w = bad[0]
+    extra, gone = sorted(set(got) - set(want), key=key), sorted(set(want) - set(got), key=key)
+    bad = list(zip(extra, gone))
+    g, w = bad[0] if bad else (got[0], want[0])
     return f"FAIL values {len(bad)}/{len(got)}\n   {[(c, a, b) for c, a, b in zip(cols, g, w) if a != b][:6]}"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("panels", "series", "joins", "features", "forecasts", "rules", "learning", "sources", "ledger")
+MODULES = ("panels", "series", "joins", "features", "forecasts", "rules", "learning", "sources", "ledger", "jobs")
 
 
 def load():

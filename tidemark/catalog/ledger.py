@@ -66,7 +66,7 @@ def g2(spark, d):
 
 
 def _num(c):
-    return f"""'"{c}":"' || format('{{:.12e}}', {c}) || '"'"""
+    return f"""'"{c}":"' || format('{{:.9e}}', {c}) || '"'"""
 
 
 _FP = "sha256('{' || " + " || ',' || ".join([_num("calibrated_confidence"), _num("confidence"), _num("predicted_close"), "'\"predicted_label\":\"' || predicted_label || '\"'", _num("predicted_pct_change"), "'\"signal_date\":\"' || strftime(trade_date, '%Y%m%d') || '\"'"]) + " || '}')"

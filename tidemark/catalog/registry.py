@@ -4,7 +4,8 @@ A query declares its output once, as a short column list such as
 ``"code:i trade_date:d up_fraction:f"``.  The same list shapes the Spark result
 and the checking SQL, so names, types and rounding cannot drift apart.
 Kinds: i integer, d date, t timestamp, s string, b boolean (as 0/1),
-f double rounded to 6 places, f2/f4 fewer places.
+f double rounded to 6 places, f2/f4 fewer places.  A thousandth of the last
+place is added first, so that an exact half is not decided by addition order.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def _spark(name: str, kind: str) -> Column:
         out = c.cast("int").cast("bigint")
     else:
         x = c.cast("double")
-        r = F.round(F.when(~F.isnan(x), x), int(kind[1:] or 6))
+        n = int(kind[1:] or 6)
+        r = F.round(F.when(~F.isnan(x), x) + 10.0 ** -(n + 3), n)
         out = F.when(r == 0, F.lit(0.0)).otherwise(r)
     return out.alias(name)
 
@@ -55,7 +57,7 @@ def _sql(name: str, kind: str) -> str:
         out = f"CAST(CAST({q} AS INT) AS BIGINT)"
     else:
         n = int(kind[1:] or 6)
-        x = f"CAST({q} AS DOUBLE)"
+        x = f"(CAST({q} AS DOUBLE) + 1e-{n + 3})"
         out = f"CASE WHEN isnan({x}) THEN NULL WHEN round({x}, {n}) = 0 THEN 0.0::DOUBLE ELSE round({x}, {n}) END"
     return f"{out} AS {q}"
 

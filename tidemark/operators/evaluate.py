@@ -275,3 +275,22 @@ def report_delta(left: DataFrame, right: DataFrame, keys: Sequence[str], metrics
     l = left.select(*keys, F.struct(*metrics).alias("_l"))  # noqa: E741
     r = right.select(*keys, F.struct(*metrics).alias("_r"))
     return l.join(r, list(keys)).select(*keys, *[(F.col(f"_l.{m}") - F.col(f"_r.{m}")).alias(m) for m in metrics])
+
+
+def prospective_audit(candidate: DataFrame, control: DataFrame, keys: Sequence[str], live: Column, tails: Sequence[int] = (20, 60, 252)) -> DataFrame:
+    """Both streams on rows generated before the target opened and settled in both.
+
+    Windows are the last n paired rows, flagged sufficient when n rows exist.
+    """
+    k = [*keys, "trade_date"]
+    cols = ["predicted_label", "predicted_pct_change", "real_pct_change", "confidence", "calibrated_confidence"]
+    a = candidate.where(live).select(*k, F.struct(*cols).alias("candidate"))
+    b = control.where(live).select(*k, F.struct(*cols).alias("control"))
+    both = a.join(b, k).where(F.col("candidate.real_pct_change").isNotNull() & F.col("candidate.real_pct_change").eqNullSafe(F.col("control.real_pct_change")))
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("trade_date")))
+    both = both.withColumn("_back", back)
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(n).alias("v")) for n in ("candidate", "control")])
+    windows = F.filter(F.array(F.lit(0), *[F.when(F.col("_back") <= n, F.lit(n)) for n in tails]), lambda x: x.isNotNull())
+    rows = both.withColumn("window", F.explode(windows)).withColumn("_s", F.explode(sides)).select(*k, "window", "_s.side", "_s.v.*")
+    out = rows.groupBy(*keys, "side", "window").agg(*metric_columns())
+    return out.withColumn("sufficient", F.col("rows") >= F.col("window"))

@@ -51,7 +51,7 @@ def fingerprint(fields: dict[str, Column]) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    return F.when(c.isNotNull(), F.format_string("%.12e", c.cast("double")))
+    return F.when(c.isNotNull(), F.format_string("%.9e", c.cast("double")))
 
 
 def forecast_fingerprint(df: DataFrame) -> DataFrame:
