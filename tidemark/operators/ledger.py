@@ -86,7 +86,7 @@ def settle(pending: DataFrame, targets: DataFrame, closes: DataFrame, keys: Sequ
 
 def opening(date: Column, zone: str = ZONE) -> Column:
     """Instant (UTC) of a session's opening."""
-    return F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", F.date_format(date, "yyyy-MM-dd"), F.lit(OPEN_TIME))), zone)
+    return F.to_utc_timestamp(F.to_timestamp(F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(" " + OPEN_TIME))), zone)
 
 
 def origin(generated: Column, target: Column) -> Column:
