@@ -270,7 +270,7 @@ def g20(spark, d):
     """A shadow stream kept in its own partition and read beside the public one."""
     path = f"{shared_dir(spark)}/landed/shadow-{uuid.uuid4().hex}"
     s = forecast_streams(spark, d).where(F.col("stream_id").isin("base", "momentum"))
-    s.repartition("stream_id").write.partitionBy("stream_id").parquet(path)
+    s.hint("rebalance", F.col("stream_id")).write.partitionBy("stream_id").parquet(path)
     t = spark.read.parquet(path)
     shadow = t.where("stream_id = 'momentum'").select(*KEY, F.col("predicted_label").alias("shadow_label"))
     public = t.where("stream_id = 'base'").select(*KEY, F.col("predicted_label").alias("public_label"))

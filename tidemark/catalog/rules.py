@@ -191,6 +191,12 @@ def r10h(spark, d):
     return R.conditional_probability(panel(spark, d), half_life=60.0)
 
 
+@query("r10_logistic_rule_probability", PKEY + "experts:i probability_up:f4 predicted_label:i")
+def r10l(spark, d):
+    """Logistic fit over each position's distinct rules."""
+    return R.logistic_probability(panel(spark, d))
+
+
 _DUR = """
 du0 AS (SELECT *, sum(CASE WHEN pred IS DISTINCT FROM pp THEN 1 ELSE 0 END) OVER (PARTITION BY series_id, rule_id ORDER BY pos) AS run FROM (SELECT *, lag(pred) OVER (PARTITION BY series_id, rule_id ORDER BY pos) AS pp FROM rules)),
 du1 AS (SELECT *, CASE WHEN pred IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY series_id, rule_id, run ORDER BY pos) END AS duration FROM du0),

@@ -31,9 +31,9 @@ def validity_expand(dim: DataFrame, calendar: DataFrame, key: str, start: str, e
 
     cal = calendar.select(F.lit(1).alias("_k"), F.col("trade_date").alias("_d"), "session_no")
     d = dim.select(key, start, end, F.lit(1).alias("_k"))
-    first = asof_join(d.withColumn("_day", F.date_sub(start, 1)), cal, ["_k"], "_day", "_d", ["session_no"], strict=False, source="_sd")
+    first = asof_join(d.withColumn("_day", F.date_sub(start, 1)), cal, ["_k"], "_day", "_d", ["session_no"], strict=False, source="_sd", span_days=64)
     first = first.withColumn("_lo", F.coalesce("session_no", F.lit(0)) + 1).drop("session_no", "_sd", "_day")
-    both = asof_join(first, cal, ["_k"], end, "_d", ["session_no"], strict=False, source="_sd").withColumn("_hi", F.col("session_no"))
+    both = asof_join(first, cal, ["_k"], end, "_d", ["session_no"], strict=False, source="_sd", span_days=64).withColumn("_hi", F.col("session_no"))
     live = both.where(F.col("_lo") <= F.col("_hi")).select(key, F.explode(F.sequence("_lo", "_hi")).alias("session_no"))
     return live.join(calendar, "session_no")
 

@@ -39,33 +39,35 @@ def wavg(x: Column, w: Column) -> Column:
     return F.try_divide(F.sum(x * w), F.sum(F.when(x.isNotNull(), w)))
 
 
+def is_active() -> Column:
+    """Traded row of a covered exchange with a known return."""
+    return F.col("market").isin(*COVERED) & (F.col("vol") > 0) & (F.col("amount") > 0) & F.col("pct_chg").isNotNull()
+
+
 def active_rows(stock: DataFrame) -> DataFrame:
-    """Traded rows of the covered exchanges with a known return (as a fraction)."""
-    keep = F.col("market").isin(*COVERED) & (F.col("vol") > 0) & (F.col("amount") > 0) & F.col("pct_chg").isNotNull()
-    return stock.where(keep).withColumn("ret", F.col("pct_chg") / 100)
+    """Active rows with their return as a fraction."""
+    return stock.where(is_active()).withColumn("ret", F.col("pct_chg") / 100)
 
 
 def market_breadth(stock: DataFrame, first_market: str = "SH") -> DataFrame:
-    """Advance/decline measures for the whole market and one exchange."""
-    act = active_rows(stock)
-    r = F.col("ret")
-    groups = {"all": F.lit(True), "shanghai": F.col("market") == first_market}
-    aggs = []
+    """Advance/decline measures for the whole market and one exchange, in one aggregation."""
+    live = is_active()
+    groups = {"all": live, "shanghai": live & (F.col("market") == first_market)}
+    aggs = [F.count("*").alias("source_rows"), F.count(F.when(~F.col("market").isin(*COVERED), 1)).alias("excluded_exchange_rows")]
+    medians = []
+    traded = F.count(F.when(live, 1))
     for g, member in groups.items():
-        x, amt = F.when(member, r), F.when(member, F.col("amount"))
+        x, amt = F.when(member, F.col("pct_chg") / 100), F.when(member, F.col("amount"))
+        medians.append((f"{g}_median_return", x, 0.5))
         aggs += [
-            F.count(x).alias(f"{g}_active_rows"),
+            F.when(traded > 0, F.count(x)).alias(f"{g}_active_rows"),
             F.avg((x > 0).cast("double")).alias(f"{g}_up_fraction"),
             F.avg((x < 0).cast("double")).alias(f"{g}_down_fraction"),
             F.avg(x).alias(f"{g}_mean_return"),
             share(sum_if(x < 0, amt), F.sum(amt)).alias(f"{g}_down_amount_fraction"),
             F.avg((x <= -0.02).cast("double")).alias(f"{g}_large_down_fraction"),
         ]
-    medians = [(f"{g}_median_return", F.when(member, r), 0.5) for g, member in groups.items()]
-    day = aggregate_with_quantiles(act, DAY, aggs, medians, crowded(act, DAY))
-    source = stock.groupBy(*DAY).agg(F.count("*").alias("source_rows"),
-                                     F.count(F.when(~F.col("market").isin(*COVERED), 1)).alias("excluded_exchange_rows"))
-    return source.join(day, DAY, "left")
+    return aggregate_with_quantiles(stock, DAY, aggs, medians, crowded(stock, DAY))
 
 
 def return_distribution(stock: DataFrame) -> DataFrame:

@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.frames import ordered, prior
 from tidemark.operators.series import prior_quantiles, state_duration, window_sum, with_running
@@ -179,7 +182,7 @@ def validated_signal(panel: DataFrame, keys: Sequence[str] = ("series_id",), bal
     end = F.greatest(F.col("pos") - validation, F.lit(0))
     raw = _window_of(F.col("path"), end, CALIBRATION, False)
     flip = F.transform(raw, lambda v: F.when(v >= 0, 1 - v).otherwise(v))
-    known = known.withColumn("_sig", F.xxhash64(F.when(F.col("reverse"), flip).otherwise(raw))).drop("path")
+    known = known.withColumn("_sig", F.when(F.col("reverse"), flip).otherwise(raw)).drop("path")
     dup = Window.partitionBy(*keys, "pos", "_sig").orderBy(F.desc("score"), "rule_id")
     unique = known.withColumn("_d", F.row_number().over(dup)).where("_d = 1")
     chosen = unique.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -213,6 +216,36 @@ def conditional_probability(panel: DataFrame, keys: Sequence[str] = ("series_id"
     return out.withColumn("predicted_label", (F.col("probability_up") >= MAJORITY).cast("int"))
 
 
+def logistic_probability(panel: DataFrame, keys: Sequence[str] = ("series_id",), window: int = CALIBRATION, minimum: int = MINIMUM, c: float = 0.1) -> DataFrame:
+    """Probability of up from a logistic fit over each position's distinct oriented rules.
+
+    Each row carries at most k paths of `window` outcomes, so the fits are
+    independent rows of an Arrow batch.
+    """
+    from tidemark.operators.walkforward import logistic
+
+    fit = logistic(c, scale=False)
+    merged = merged_experts(oriented_experts(top_rules(scored(panel, keys), keys), panel, keys, window), keys)
+    g = merged.groupBy(*keys, "pos").agg(F.sort_array(F.collect_list(F.struct("rule_id", "oriented"))).alias("_e"), F.count("*").alias("experts"))
+    g = g.join(label_paths(panel, keys), list(keys)).withColumn("_y", _window_of(F.col("labels"), F.col("pos"), window, False))
+
+    @F.pandas_udf(T.DoubleType())
+    def solve(paths: pd.Series, labels: pd.Series) -> pd.Series:
+        out = []
+        for rows, y in zip(paths, labels):
+            x, y = np.array([np.asarray(r, dtype=float) for r in rows]).T, np.asarray(y, dtype=float)
+            past = x[: len(y)]
+            ok = (past >= 0).all(axis=1) & (y >= 0)
+            if ok.sum() < minimum or len(np.unique(y[ok])) < 2:
+                out.append(None)
+            else:
+                out.append(float(fit(past[ok], y[ok], np.ones(ok.sum()))(x[-1:])[0]))
+        return pd.Series(out, dtype="float64")
+
+    p = g.withColumn("probability_up", F.nanvl(solve(F.col("_e.oriented"), F.col("_y")), F.lit(None)))
+    return p.select(*keys, "pos", "experts", "probability_up", (F.col("probability_up") >= MAJORITY).cast("int").alias("predicted_label"))
+
+
 def duration_probability(panel: DataFrame, keys: Sequence[str] = ("series_id",), bounds: Sequence[int] = (1, 5, 20), mass: float = 10.0) -> DataFrame:
     """Probability of up given state and how long it has lasted, shrunk to the state's own probability."""
     d = state_duration(panel, [*keys, "rule_id"], "pos", "pred")

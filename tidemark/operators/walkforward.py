@@ -31,11 +31,11 @@ def register_candidate(name: str, factory: Callable) -> Callable:
     return factory
 
 
-def logistic(c: float = 0.1) -> Callable:
-    """Standardised L2-penalised weighted logistic regression with a free intercept.
+def logistic(c: float = 0.1, scale: bool = True) -> Callable:
+    """L2-penalised weighted logistic regression with a free intercept.
 
-    Minimises c * sum(w * loss) + |b|^2 / 2 on features scaled by the weighted mean
-    and population deviation of the training rows.
+    Minimises c * sum(w * loss) + |b|^2 / 2, by default on features scaled by the
+    weighted mean and population deviation of the training rows.
     """
 
     def fit(x, y, w):
@@ -43,6 +43,8 @@ def logistic(c: float = 0.1) -> Callable:
         mean = (w[:, None] * x).sum(0) / total
         spread = np.sqrt((w[:, None] * (x - mean) ** 2).sum(0) / total)
         spread[spread <= 1e-12] = 1.0
+        if not scale:
+            mean, spread = np.zeros_like(mean), np.ones_like(spread)
         z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
         ridge = np.ones(z.shape[1])
         ridge[0] = 0.0
@@ -57,10 +59,10 @@ def logistic(c: float = 0.1) -> Callable:
             q = 1 / (1 + np.exp(-np.clip(z @ beta, -500, 500)))
             grad = c * (z.T @ (w * (q - y))) + ridge * beta
             hess = c * (z.T * (w * q * (1 - q))) @ z + np.diag(ridge + 1e-12)
-            step, scale = np.linalg.solve(hess, grad), 1.0
-            while loss(beta - scale * step) > now + 1e-12 and scale > 1e-6:
-                scale /= 2
-            beta = beta - scale * step
+            step, length = np.linalg.solve(hess, grad), 1.0
+            while loss(beta - length * step) > now + 1e-12 and length > 1e-6:
+                length /= 2
+            beta = beta - length * step
             new = loss(beta)
             if np.abs(grad).max() < 1e-9 or now - new < 1e-14:
                 break

@@ -1,5 +1,8 @@
 """Feature sets: windows over one row per session, aligned to signals by policy.
 
+Tables here hold one row per session (and asset), so their windows are bounded by
+the calendar even where there is a single series.
+
 Every set returns the signal rows with <prefix>_source_date, <prefix>_available
 and its features.  Rows are never dropped and nothing is filled: a feature that
 needs an unobserved session is null and the row is marked unavailable.

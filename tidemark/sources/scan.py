@@ -146,10 +146,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_snapshot(df: DataFrame, path: str, date: str = "trade_date") -> None:
     """Immutable snapshot partitioned by year, month and day; refuses an existing target.
 
-    Rows are clustered by day first, so a day is written by few tasks.
+    Rows are rebalanced by day first: small days share tasks and a crowded day is
+    split over several, each writing its own file.
     """
     out = df.withColumn("year", F.year(date)).withColumn("month", F.month(date)).withColumn("day", F.dayofmonth(date))
-    out.repartition("year", "month", "day").write.mode("errorifexists").partitionBy("year", "month", "day").parquet(path)
+    out.hint("rebalance", F.col("year"), F.col("month"), F.col("day")).write.mode("errorifexists").partitionBy("year", "month", "day").parquet(path)
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
