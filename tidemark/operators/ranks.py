@@ -36,9 +36,9 @@ def _bucket(df: DataFrame, value: str) -> Column:
     return F.when(c == 0, F.lit(0)).when(c > 0, magnitude).otherwise(-magnitude).cast("bigint")
 
 
-def crowded(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> bool:
+def crowded(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
     """Whether any group exceeds the limit; one counting job over the (staged) input."""
-    big = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    big = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (GROUP_LIMIT if limit is None else limit))
     return not big.isEmpty()
 
 
