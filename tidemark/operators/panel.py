@@ -131,7 +131,7 @@ def order_flow(stock: DataFrame, flow: DataFrame, price_context: bool = False) -
     """Order-size flow measures with stock and turnover coverage, gated at 98 %."""
     m = matched_flow(stock, flow)
     ok = F.col("matched")
-    split = crowded(m, DAY)
+    split = crowded(stock, DAY)
     if price_context:
         m = flag_top(m.withColumn("_ranked", F.when(ok, F.col("amount"))), DAY, "_ranked", "code", tenth, split)
     g, lg, sm = F.when(ok, F.col("gross")), F.when(ok, F.col("large")), F.when(ok, F.col("small"))
@@ -173,7 +173,7 @@ def capital_flow(stock: DataFrame, flow: DataFrame, cap: DataFrame, market: str
     ok = F.col("matched")
     c = F.when(F.col("total_mv") > 0, F.col("total_mv"))
     m = m.withColumn("cap", c)
-    m = flag_top(m.withColumn("_ranked", F.when(ok, F.col("cap"))), DAY, "_ranked", "code", tenth, crowded(m, DAY))
+    m = flag_top(m.withColumn("_ranked", F.when(ok, F.col("cap"))), DAY, "_ranked", "code", tenth, crowded(stock, DAY))
     cm, lg, g = F.when(ok, F.col("cap")), F.when(ok, F.col("large")), F.when(ok, F.col("gross"))
     up = F.when(ok, (F.col("ret") > 0).cast("double"))
     big = F.col("is_top")
