@@ -34,3 +34,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe_count import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_scaled_sketch")
+def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    from tidemark.llm.scaled_sketch import neighbour_fingerprints
+
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
