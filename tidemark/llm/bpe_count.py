@@ -125,7 +125,7 @@ class Counter:
         return len(parts) - 1 + sum(sum(map(self.chunks.__getitem__, CHUNKS.findall(p))) for p in parts)
 
 
-_counters: dict[int, Counter] = {}
+_counters: list = []  # the vocabulary that this worker holds, and its counter
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,10 +140,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def count(batches):
-        counter = _counters.get(shared.id)
-        if counter is None:
-            _counters.clear()
-            counter = _counters[shared.id] = Counter(*shared.value)
+        if not _counters or _counters[0] is not shared.value:
+            _counters[:] = [shared.value, Counter(*shared.value)]
+        counter = _counters[1]
         for batch in batches:
             ids, n_bytes, n_tokens = batch.column(0), [], []
             for text in batch.column(1):
