@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.apportion import mix_to_targets, mixing_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -42,3 +44,9 @@ def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.scaled_sketch import neighbour_fingerprints
 
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_source_mix", sql=f"WITH {mixing_sql()}\nSELECT * EXCLUDE (source) FROM mixed")
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mix_to_targets(table(spark, sf_dir, "documents")).drop("source")
