@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.apportion import mix_to_targets, mixing_sql
+from tidemark.llm.prefix_join import contamination, contamination_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +52,10 @@ def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mix_to_targets(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query("op10_decontamination", sql=f"WITH {contamination_sql()}\nSELECT * EXCLUDE (items), sha256(items) AS items_sha256 FROM contaminated_docs")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows cover."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2("items", 256)).drop("items")
