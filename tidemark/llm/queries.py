@@ -59,3 +59,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that benchmark windows cover."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("items_sha256", F.sha2("items", 256)).drop("items")
+
+
+@query("op9_page_template")
+def op9_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tidemark.llm.page_template import extract
+
+    return extract(table(spark, sf_dir, "pages"))
