@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.apportion import mix_to_targets, mixing_sql
@@ -67,3 +67,19 @@ def op9_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.page_template import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+def held_out(id_col: str, folds: int) -> Column:
+    """Whether crc32 of the id as text leaves 2 when divided by `folds`; a null id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == 2, F.lit(False))
+
+
+@query("op2_multi_instance_toxicity")
+def op2_multi_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of three folds of four."""
+    from tidemark.llm import multi_instance
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = multi_instance.train(docs, labels.where(~held_out("doc_id", 4)))
+    scored = multi_instance.scores(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
