@@ -83,3 +83,12 @@ def op2_multi_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = multi_instance.train(docs, labels.where(~held_out("doc_id", 4)))
     scored = multi_instance.scores(docs, model)
     return scored.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word windows that an earlier document has."""
+    from tidemark.llm.super_kmers import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
