@@ -22,6 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import bounded
 from tidemark.llm.text import Words, blocks, shingles
 
 SHINGLE_WORDS = 5
@@ -104,7 +105,7 @@ def descending_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), 1).otherwise(0))
     heads = [(r.bucket, r.id) for r in rows.groupBy("bucket").agg(F.max("id").alias("id")).orderBy("bucket").collect()]
     kind = dict(rows.dtypes)["id"]
-    bridges = spark.createDataFrame([(b, i, heads[k - 1][0]) for k, (b, i) in enumerate(heads)], f"_b int, _i {kind}, _to int")
+    bridges = bounded(spark.createDataFrame([(b, i, heads[k - 1][0]) for k, (b, i) in enumerate(heads)], f"_b int, _i {kind}, _to int"), "sketch-heads")
     again = rows.join(bridges, (F.col("bucket") == F.col("_b")) & F.col("id").eqNullSafe(F.col("_i")), "left")
     both = F.array(F.struct(F.col("bucket"), F.lit(0).alias("bridge")), F.struct(F.col("_to").alias("bucket"), F.lit(1).alias("bridge")))
     laid = again.select("id", "text", F.explode(F.when(F.col("_to").isNull(), F.slice(both, 1, 1)).otherwise(both)).alias("at")).select("at.bucket", "id", "text", "at.bridge")
