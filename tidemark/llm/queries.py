@@ -92,3 +92,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op7_near_duplicates")
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with 80 % of their two-word shingles in common."""
+    from tidemark.llm.bottom_k import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"), shingle_words=2)
