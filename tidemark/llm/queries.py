@@ -100,3 +100,13 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bottom_k import similar_components
 
     return similar_components(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+@query("op1_brown_scores")
+def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a class bigram model of six folds of seven."""
+    from tidemark.llm import brown
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = brown.score(docs, brown.train(docs.where(~held_out("doc_id", 7))))
+    return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
