@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return np.zeros(1 << FEATURE_BITS, np.float32), -20.0
     first = [known.where(F.col("_toxic") == t).orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(sample) for t in (0, 1)]
     ids = bounded(first[0].unionAll(first[1]), "toxic-sample")
-    each = docs.join(ids, F.col(id_col) == F.col("_id")).select(F.lit(0).alias("one"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "_toxic")
+    each = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, F.col("id") == F.col("_id")).select(F.lit(0).alias("one"), "text", "_toxic")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_toxic", "text"])
@@ -148,21 +148,30 @@ def _logits(s: Sentences, model: tuple[np.ndarray, float]) -> np.ndarray:
     return model[1] + np.bincount(s.of, model[0][s.features], minlength=len(s.text))
 
 
-def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id and score.  Null counts as empty, which scores as one sentence without words; an empty table gives none."""
+def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score", text_col: str = "text") -> DataFrame:
+    """The input with a column `name`, which replaces one of that name; every row stays, null counts as empty, an empty table gives none.
+
+    A text without words scores as one sentence without words.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(name)
+    names = [*docs.columns, name]
 
     def work(batches):
         for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            out = []
+            texts = [(t.as_py() or "").encode() for t in batch.column(text_col)]
+            out = [np.zeros(0)]
             for part in blocks(map(len, texts)):
                 s = sentences(texts[part])
                 out.append(noisy_or(_logits(s, shared.value), s.text, len(texts[part])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out), pa.float64())], names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, score double")
+    return docs.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` double"]))
+
+
+def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id and score."""
+    return with_scores(docs.select(id_col, text_col), model, "score", text_col).select(id_col, "score")
 
 
 def offending(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import fresh
 from tidemark.llm.text import Words, blocks, mix
 from tidemark.sources.staging import stage
 
@@ -212,36 +213,39 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return sure.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW_WORDS) -> DataFrame:
-    """The input with `text_col` reduced to the words kept, joined by one space, plus n_words and n_removed; every row and column stays.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW_WORDS, size_col: str = "n_words", lost_col: str = "n_removed", as_is: bool = False) -> DataFrame:
+    """The input with `text_col` reduced to the words kept, joined by one space, plus size_col (words before) and lost_col (words removed).
 
-    Windows are judged on the input.  A null text has no words and stays null;
-    texts of fewer than n words lose nothing; repeated rows and rows with one id
-    are the same document to each other, so none is a repeat of the other; a
-    null id counts as larger than any; an empty table gives none.  Columns named
-    like the added ones are replaced.
+    Every row and column stays; columns named like the added ones are replaced.
+    `as_is` leaves texts that lose nothing as they are.  Windows are judged on
+    the input.  A null text has no words and stays null; texts of fewer than n
+    words lose nothing; repeated rows and rows with one id are the same document
+    to each other, so none is a repeat of the other; a null id counts as larger
+    than any; an empty table gives none.
     """
-    found = repeated_ranges(docs, id_col, text_col, n).withColumnsRenamed({"id": "_id", "mark": "_mark", "ranges": "_ranges"})
-    docs = docs.drop("n_words", "n_removed")
-    met = docs.join(found, (F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(NO_ID))) == F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_mark")), "left").drop("_id", "_mark")
+    docs = docs.drop(size_col, lost_col)
+    i, mark, ranges = (fresh(docs, c) for c in ("_id", "_mark", "_ranges"))
+    found = repeated_ranges(docs, id_col, text_col, n).toDF(i, mark, ranges)
     names = docs.columns
+    met = docs.join(found, (F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(NO_ID))) == F.col(i)) & (F.xxhash64(F.col(text_col)) == F.col(mark)), "left").drop(i, mark)
 
     def work(batches):
         for batch in batches:
             texts, sizes, lost = [], [], []
-            for text, ranges in zip(batch.column(text_col).to_pylist(), batch.column("_ranges").to_pylist()):
+            for text, gaps in zip(batch.column(text_col).to_pylist(), batch.column(ranges).to_pylist()):
                 words = (text or "").encode().split()
                 gone = np.zeros(len(words) + 1, np.int64)
-                for r in ranges or ():
+                for r in gaps or ():
                     gone[r["start"]] += 1
                     gone[r["end"]] -= 1
-                keep = np.cumsum(gone)[:-1] == 0
-                texts.append(None if text is None else b" ".join(words if keep.all() else [words[k] for k in np.flatnonzero(keep)]).decode())
+                keep = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
+                if text is not None and (len(keep) < len(words) or not as_is):
+                    text = b" ".join([words[k] for k in keep] if len(keep) < len(words) else words).decode()
+                texts.append(text)
                 sizes.append(len(words))
-                lost.append(len(words) - int(keep.sum()))
+                lost.append(len(words) - len(keep))
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(lost, pa.int64())], names=[*names, size_col, lost_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words bigint, n_removed bigint"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{size_col}` bigint", f"`{lost_col}` bigint"])
     return met.mapInArrow(work, schema)
-
