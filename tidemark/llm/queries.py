@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.apportion import mix_to_targets, mixing_sql
+from tidemark.llm.licence_dice import licence_scan, licence_sql
 from tidemark.llm.prefix_join import contamination, contamination_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +111,9 @@ def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = brown.score(docs, brown.train(docs.where(~held_out("doc_id", 7))))
     return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op6_licence_scan", sql=licence_sql())
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each document declares."""
+    return licence_scan(table(spark, sf_dir, "documents"))
