@@ -24,17 +24,6 @@ def test_query_matches_sql(spark, name):
     assert verdict.startswith("ok"), verdict
 
 
-@pytest.mark.parametrize("name", ["a1_market_breadth", "a2_return_distribution", "a6_price_conditioned_flow", "a7_capital_flow", "a13_trend_breadth"])
-def test_crowded_plan_matches_sql(spark, monkeypatch, name):
-    """The same queries with every group treated as crowded."""
-    from tidemark.operators import ranks
-
-    monkeypatch.setattr(ranks, "GROUP_LIMIT", 0)
-    queries, sql = load()
-    verdict = compare(spark, duck(ROOT), ROOT, name, queries[name], sql[name])
-    assert verdict.startswith("ok"), verdict
-
-
 def test_snapshot_refuses_an_existing_target(spark, tmp_path):
     from pyspark.errors import AnalysisException
 

@@ -264,9 +264,9 @@ def t3(spark, d):
     """Leading tenth of each cross-section by turnover."""
     from tidemark.catalog.panels import stocks
     from tidemark.operators.panel import active_rows
-    from tidemark.operators.ranks import crowded, flag_top, tenth
+    from tidemark.operators.ranks import flag_top, tenth
     act = active_rows(stocks(spark, d))
-    return flag_top(act, ["trade_date"], "amount", "code", tenth, crowded(act, ["trade_date"])).where("is_top")
+    return flag_top(act, ["trade_date"], "amount", "code", tenth).where("is_top")
 
 
 @query("t4_argmax_tie_break", "product:s trade_date:d main_contract:s", S.with_(S.FUTURES) + "SELECT product, trade_date, ts_code AS main_contract FROM fut QUALIFY row_number() OVER (PARTITION BY product, trade_date ORDER BY vol DESC, ts_code) = 1")

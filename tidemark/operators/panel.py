@@ -1,8 +1,8 @@
 """Cross-sectional aggregations: one row per session.
 
 Sums and averages use map-side partial aggregation; medians, quantiles and
-leading tenths check the largest session first and, beyond the bound, go through
-rank selection, so that a crowded session is never gathered in one task.
+leading tenths go through rank selection, so that no session is gathered in one
+task however many rows it holds.
 Operators with ranks read their input more than once: pass a staged panel.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import ordered
-from tidemark.operators.ranks import aggregate_with_quantiles, crowded, flag_top, tenth
+from tidemark.operators.ranks import aggregate_with_quantiles, flag_top, tenth
 from tidemark.sources.derive import AMOUNTS
 
 DAY = ["trade_date"]
@@ -67,18 +67,17 @@ def market_breadth(stock: DataFrame, first_market: str = "SH") -> DataFrame:
             share(sum_if(x < 0, amt), F.sum(amt)).alias(f"{g}_down_amount_fraction"),
             F.avg((x <= -0.02).cast("double")).alias(f"{g}_large_down_fraction"),
         ]
-    return aggregate_with_quantiles(stock, DAY, aggs, medians, crowded(stock, DAY))
+    return aggregate_with_quantiles(stock, DAY, aggs, medians)
 
 
 def return_distribution(stock: DataFrame) -> DataFrame:
     """Quantiles, spread, turnover-weighted tilt and turnover concentration."""
     act = active_rows(stock)
-    split = crowded(act, DAY)
     probs = {"q01": .01, "q10": .1, "q25": .25, "q75": .75, "q90": .9, "q99": .99}
-    q = aggregate_with_quantiles(act, DAY, [F.count("*").alias("active_rows")], [(n, F.col("ret"), p) for n, p in probs.items()], split)
+    q = aggregate_with_quantiles(act, DAY, [F.count("*").alias("active_rows")], [(n, F.col("ret"), p) for n, p in probs.items()])
     clipped = act.join(q.select("trade_date", "q01", "q99"), DAY).withColumn(
         "robust", F.greatest(F.col("q01"), F.least(F.col("q99"), F.col("ret"))))
-    flagged = flag_top(clipped, DAY, "amount", "code", tenth, split)
+    flagged = flag_top(clipped, DAY, "amount", "code", tenth)
     day = flagged.groupBy(*DAY).agg(
         (wavg(F.col("robust"), F.col("amount")) - F.avg("robust")).alias("amount_return_gap"),
         share(sum_if(F.col("is_top"), F.col("amount")), F.sum("amount")).alias("amount_top_decile"),
@@ -131,9 +130,8 @@ def order_flow(stock: DataFrame, flow: DataFrame, price_context: bool = False) -
     """Order-size flow measures with stock and turnover coverage, gated at 98 %."""
     m = matched_flow(stock, flow)
     ok = F.col("matched")
-    split = crowded(stock, DAY)
     if price_context:
-        m = flag_top(m.withColumn("_ranked", F.when(ok, F.col("amount"))), DAY, "_ranked", "code", tenth, split)
+        m = flag_top(m.withColumn("_ranked", F.when(ok, F.col("amount"))), DAY, "_ranked", "code", tenth)
     g, lg, sm = F.when(ok, F.col("gross")), F.when(ok, F.col("large")), F.when(ok, F.col("small"))
     sh = F.col("market") == "SH"
     total = F.sum(g)
@@ -154,7 +152,7 @@ def order_flow(stock: DataFrame, flow: DataFrame, price_context: bool = False) -
             share(F.sum(F.when(top, lg)), F.sum(F.when(top, g))).alias("high_turnover_large_ratio"),
             share(F.sum(F.when(~top, lg)), F.sum(F.when(~top, g))).alias("other_turnover_large_ratio"),
         ]
-    day = aggregate_with_quantiles(m, DAY, aggs, [("large_net_median", F.when(ok, F.col("ratio")), 0.5)], split)
+    day = aggregate_with_quantiles(m, DAY, aggs, [("large_net_median", F.when(ok, F.col("ratio")), 0.5)])
     return coverage_gate(day, (*FLOW_MEASURES, *PRICE_FLOW_MEASURES), ("stock_coverage", "amount_coverage"))
 
 
@@ -173,7 +171,7 @@ def capital_flow(stock: DataFrame, flow: DataFrame, cap: DataFrame, market: str
     ok = F.col("matched")
     c = F.when(F.col("total_mv") > 0, F.col("total_mv"))
     m = m.withColumn("cap", c)
-    m = flag_top(m.withColumn("_ranked", F.when(ok, F.col("cap"))), DAY, "_ranked", "code", tenth, crowded(stock, DAY))
+    m = flag_top(m.withColumn("_ranked", F.when(ok, F.col("cap"))), DAY, "_ranked", "code", tenth)
     cm, lg, g = F.when(ok, F.col("cap")), F.when(ok, F.col("large")), F.when(ok, F.col("gross"))
     up = F.when(ok, (F.col("ret") > 0).cast("double"))
     big = F.col("is_top")
@@ -322,7 +320,7 @@ def trend_breadth(stock: DataFrame, calendar: DataFrame, windows: Sequence[int]
         F.avg(F.when(known, F.coalesce((s < 0) & (m > 0), F.lit(False)).cast("double"))).alias("trend_weakening_fraction"),
         (F.avg(F.when(F.col("market") == "SH", (m > 0).cast("double"))) - F.avg((m > 0).cast("double"))).alias(f"trend_shanghai_relative_{mid}")]
     median = [(f"trend_return_{mid}_median", m, 0.5)]
-    day = aggregate_with_quantiles(runs, ["trade_date", "session_no"], aggs, median, crowded(stock, DAY))
+    day = aggregate_with_quantiles(runs, ["trade_date", "session_no"], aggs, median)
     old = day.select((F.col("session_no") + change).alias("session_no"), F.col(f"trend_up_{mid}_fraction").alias("_old"))
     day = day.join(old, "session_no", "left").withColumn(f"trend_up_{mid}_change_{change}", F.col(f"trend_up_{mid}_fraction") - F.col("_old")).drop("_old")
     cov = F.least(*[F.col(f"{k}_coverage_{n}") for n in windows for k in ("stock", "amount")])

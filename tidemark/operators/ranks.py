@@ -1,13 +1,10 @@
-"""Exact quantiles and leading parts of groups, with a checked bound on group size.
-
-`percentile` keeps a group's distinct values in one aggregation buffer and
-`row_number` sorts a group in one task.  That is the fastest plan while groups
-are small, so the size of the largest group is checked first; a session that
-holds more rows than GROUP_LIMIT takes the split plan instead: the group is
-histogrammed by value, the histogram is summed over order-preserving buckets,
-and only the buckets that contain a wanted rank are ordered.  A window then sees
-a group's bucket totals or one bucket's distinct values, never the group.  Both
-plans give the same rows.
+"""Exact quantiles and leading parts of groups, by rank selection.
+
+There is one plan for every group size.  A group is histogrammed by value (with
+partial sums), the histogram is summed over order-preserving buckets, and only
+the buckets that contain a wanted rank are ordered.  A window then sees a group's
+bucket totals or one bucket's distinct values, never the group.  NaN is larger
+than any number, as it is in Spark's order.
 """
 
 from __future__ import annotations
@@ -20,26 +17,21 @@ from pyspark.sql import types as T
 
 from tidemark.functions.frames import before, ordered
 
-GROUP_LIMIT = 1_000_000
 _LOG_STEPS = 256
 _ZERO_OFFSET = 745 * _LOG_STEPS + 1
 
 
 def _bucket(df: DataFrame, value: str) -> Column:
+    """A number that grows with the value.  Strings are one bucket: as tie keys they are codes, of which a group has few distinct ones."""
     kind = df.schema[value].dataType
     c = F.col(value)
     if isinstance(kind, T.IntegralType):
         return F.floor(c / 4096)
     if isinstance(kind, T.StringType):
-        return F.substring(c, 1, 6)
-    magnitude = F.floor(F.ln(F.abs(c)) * _LOG_STEPS) + _ZERO_OFFSET
-    return F.when(c == 0, F.lit(0)).when(c > 0, magnitude).otherwise(-magnitude).cast("bigint")
-
-
-def crowded(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
-    """Whether any group exceeds the limit; one counting job over the (staged) input."""
-    big = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (GROUP_LIMIT if limit is None else limit))
-    return not big.isEmpty()
+        return F.lit(0)
+    size = F.abs(c)
+    magnitude = F.when(size == float("inf"), F.lit(4 * _ZERO_OFFSET)).otherwise(F.floor(F.ln(F.when(size != float("inf"), size)) * _LOG_STEPS) + _ZERO_OFFSET)
+    return F.when(F.isnan(c), F.lit(8 * _ZERO_OFFSET)).when(c == 0, F.lit(0)).when(c > 0, magnitude).otherwise(-magnitude).cast("bigint")
 
 
 def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
@@ -83,48 +75,49 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     for i, (name, p) in enumerate(probs.items()):
         h = (F.col("rank_rows") - 1) * F.lit(p)
         lo, hi = F.col(f"_lo{i}.value"), F.col(f"_hi{i}.value")
-        outs.append((lo + (h - F.floor(h)) * (hi - lo)).alias(name))
+        outs.append(F.when(lo == hi, lo).otherwise((F.ceil(h) - h) * lo + (h - F.floor(h)) * hi).alias(name))
     return got.select(*keys, *outs)
 
 
-def aggregate_with_quantiles(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
-                             quantiles: Sequence[tuple[str, Column, float]], split: bool) -> DataFrame:
+def aggregate_with_quantiles(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Sequence[tuple[str, Column, float]]) -> DataFrame:
     """groupBy(keys).agg(...) plus quantiles given as (name, expression, probability).
 
-    Without `split` everything is one aggregation; with it the quantiles come
-    from rank selection and are joined to the plain aggregates.
+    All expressions and probabilities go through one rank selection, the
+    expression's number being one more key.
     """
-    if not split:
-        return df.groupBy(*keys).agg(*aggs, *[F.percentile(x, F.lit(p)).alias(n) for n, x, p in quantiles])
-    out = df.groupBy(*keys).agg(*aggs)
-    for name, x, p in quantiles:
-        out = out.join(exact_quantiles(df.select(*keys, x.alias("_v")), keys, "_v", {name: p}), list(keys), "left")
-    return out
+    keys = list(keys)
+    texts = list(dict.fromkeys(str(x) for _, x, _ in quantiles))
+    values = [next(x for _, x, _ in quantiles if str(x) == t) for t in texts]
+    probs = {f"_p{i}": p for i, p in enumerate(dict.fromkeys(p for *_, p in quantiles))}
+    column = {p: c for c, p in probs.items()}
+    long = df.select(*keys, F.posexplode(F.array(*[v.cast("double") for v in values])).alias("_x", "_v"))
+    found = exact_quantiles(long, [*keys, "_x"], "_v", probs)
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_x") == texts.index(str(x)), F.col(column[p]))).alias(n) for n, x, p in quantiles])
+    return df.groupBy(*keys).agg(*aggs).join(wide, keys, "left")
 
 
-def flag_top(df: DataFrame, keys: Sequence[str], value: str, tie: str, count: Callable[[Column], Column],
-             split: bool, name: str = "is_top") -> DataFrame:
+def flag_top(df: DataFrame, keys: Sequence[str], value: str, tie: str, count: Callable[[Column], Column], name: str = "is_top") -> DataFrame:
     """Flag the `count(size)` rows with the largest value, ties going to the smaller tie key.
 
-    With `split` the boundary value is selected by rank.  Only where rows equal to it do not
+    The boundary value is selected by rank.  Only where rows equal to it do not
     all fit are they settled by a second selection on the tie key, so no group
-    is sorted as a whole.
+    is sorted as a whole.  A null tie key comes first; rows that repeat both
+    the value and the tie key at the boundary cannot be told apart and are
+    flagged together.
     """
     keys = list(keys)
-    if not split:
-        order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), tie))
-        size = F.count(value).over(Window.partitionBy(*keys))
-        return df.withColumn(name, F.col(value).isNotNull() & (order <= count(size)))
     edge = select_ranks(df, keys, value, {"_e": lambda n: n - count(n)}).select(
         *keys, F.col("_e.value").alias("_edge"), F.col("_e.ties").alias("_ties"),
         (count(F.col("rank_rows")) - (F.col("rank_rows") - F.col("_e.upto"))).alias("_need"))
-    marked = df.join(edge, keys, "left")
-    contested = marked.where((F.col(value) == F.col("_edge")) & (F.col("_need") < F.col("_ties"))).select(*keys, tie, "_need")
-    last = select_ranks(contested, [*keys, "_need"], tie, {"_t": lambda n: F.col("_need") - 1}).select(*keys, F.col("_t.value").alias("_last"))
+    marked = df.join(edge, keys, "left").withColumn("_free", F.col(tie).isNull())
+    contested = marked.where((F.col(value) == F.col("_edge")) & (F.col("_need") < F.col("_ties")))
+    nulls = contested.groupBy(*keys, "_need").agg(F.count(F.when(F.col("_free"), 1)).alias("_nulls"))
+    rest = contested.where("NOT _free").select(*keys, tie, "_need").join(nulls, [*keys, "_need"])
+    last = select_ranks(rest, [*keys, "_need", "_nulls"], tie, {"_t": lambda n: F.col("_need") - F.col("_nulls") - 1}).select(*keys, F.col("_t.value").alias("_last"), F.lit(True).alias("_cut"))
     out = marked.join(last, keys, "left")
-    fits = F.col("_last").isNull() | (F.col(tie) <= F.col("_last"))
+    fits = F.col("_cut").isNull() | F.col("_free") | (F.col(tie) <= F.col("_last"))
     flag = (F.col(value) > F.col("_edge")) | ((F.col(value) == F.col("_edge")) & fits)
-    return out.withColumn(name, F.coalesce(flag, F.lit(False))).drop("_edge", "_ties", "_need", "_last")
+    return out.withColumn(name, F.coalesce(flag, F.lit(False))).drop("_edge", "_ties", "_need", "_last", "_free", "_cut")
 
 
 def tenth(n: Column) -> Column:
