@@ -66,7 +66,9 @@ def g2(spark, d):
 
 
 def _num(c):
-    return f"""'"{c}":"' || format('{{:.9e}}', {c}) || '"'"""
+    power = f"floor(log10(abs({c})))"
+    digits = f"CAST(floor(abs({c}) * pow(10.0, 14 - {power}) + 0.5) AS BIGINT)"
+    return f"""'"{c}":"' || CASE WHEN {c} = 0 THEN '0' ELSE (CASE WHEN {c} < 0 THEN '-' ELSE '' END) || {digits} || 'e' || CAST({power} AS BIGINT) END || '"'"""
 
 
 _FP = "sha256('{' || " + " || ',' || ".join([_num("calibrated_confidence"), _num("confidence"), _num("predicted_close"), "'\"predicted_label\":\"' || predicted_label || '\"'", _num("predicted_pct_change"), "'\"signal_date\":\"' || strftime(trade_date, '%Y%m%d') || '\"'"]) + " || '}')"

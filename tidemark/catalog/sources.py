@@ -249,12 +249,24 @@ def p9(spark, d):
     return Q.price_features(D.index_series(spark, d), SID, "x_", lag=C.default_lag(True, "after_close"))
 
 
-@query("p10_default_lag_policy", "market:s prediction_time:s lag:i rows:i", IDX + "SELECT market, prediction_time, f + b AS lag, n AS rows FROM (VALUES ('domestic', 0), ('foreign', 1)) m(market, f), (VALUES ('after_close', 0), ('before_open', 1)) p(prediction_time, b), (SELECT count(*) AS n FROM idx)")
+_AWAY = "('1-URGENT', '2-HIGH')"
+
+
+@query("p10_default_lag_policy", K + "prediction_time:s lag:i close_known:f2", IDX + f"""SELECT series_id, trade_date, 'after_close' AS prediction_time, CASE WHEN series_id IN {_AWAY} THEN 1 ELSE 0 END AS lag,
+  CASE WHEN series_id IN {_AWAY} THEN lag(close, 1) OVER w ELSE close END AS close_known FROM idx WINDOW w AS (PARTITION BY series_id ORDER BY trade_date)
+UNION ALL SELECT series_id, trade_date, 'before_open', CASE WHEN series_id IN {_AWAY} THEN 2 ELSE 1 END, CASE WHEN series_id IN {_AWAY} THEN lag(close, 2) OVER w ELSE lag(close, 1) OVER w END FROM idx WINDOW w AS (PARTITION BY series_id ORDER BY trade_date)""")
 def p10(spark, d):
-    """Lag of a block by market and forecast time."""
-    n = D.index_series(spark, d).agg(F.count("*").alias("rows"))
-    items = [F.struct(F.lit(m).alias("market"), F.lit(t).alias("prediction_time"), F.lit(C.default_lag(m == "foreign", t)).alias("lag")) for m in ("domestic", "foreign") for t in ("after_close", "before_open")]
-    return n.select("rows", F.explode(F.array(*items)).alias("x")).select("rows", "x.*")
+    """The close that may be used on each date at each forecast time; two of the series are foreign markets."""
+    i = D.index_series(spark, d)
+    foreign = F.expr(f"series_id IN {_AWAY}")
+    w = ordered(SID, "trade_date")
+
+    def known(is_foreign, when):
+        n = C.default_lag(is_foreign, when)
+        return F.struct(F.lit(when).alias("prediction_time"), F.lit(n).alias("lag"), F.lag("close", n).over(w).alias("close_known"))
+
+    rows = i.select(*SID, "trade_date", *[F.when(foreign, known(True, t)).otherwise(known(False, t)).alias(t) for t in ("after_close", "before_open")])
+    return rows.select(*SID, "trade_date", F.explode(F.array("after_close", "before_open")).alias("x")).select(*SID, "trade_date", "x.*")
 
 
 @query("p11_date_range", K + "close:f2", IDX + "SELECT * FROM idx WHERE trade_date BETWEEN '1997-03-01' AND '1998-02-28'")
@@ -306,12 +318,16 @@ def broken(spark, d):
     return i.unionByName(i.where(day == 9))
 
 
-@query("v1_required_columns", "column:s rows:i", IDX + "SELECT c AS \"column\", count(*) AS rows FROM idx, (VALUES ('pct_chg'), ('turnover')) t(c) GROUP BY 1")
+@query("v1_required_columns", "series_id:s column:s rows_lacking:i rows:i", IDX + """SELECT series_id, c AS "column", CASE c WHEN 'close' THEN count_if(day(trade_date) = 3) WHEN 'open' THEN 0 ELSE count(*) END AS rows_lacking, count(*) AS rows
+  FROM (SELECT * FROM idx UNION ALL SELECT * FROM idx WHERE day(trade_date) = 9), (VALUES ('open'), ('close'), ('pct_chg'), ('turnover')) t(c) GROUP BY 1, 2""")
 def v1(spark, d):
-    """Declared columns the table lacks."""
-    i = D.index_series(spark, d)
-    gone = V.missing_columns(i, ["open", "close", "pct_chg", "turnover"])
-    return i.agg(F.count("*").alias("rows")).select("rows", F.explode(F.array(*[F.lit(c) for c in gone])).alias("column"))
+    """Rows of each series that lack a declared column's value; a column that the table lacks is lacking in all."""
+    i = broken(spark, d)
+    declared = ["open", "close", "pct_chg", "turnover"]
+    gone = V.missing_columns(i, declared)
+    lacking = [F.count_if(F.lit(c in gone) if c in gone else F.col(c).isNull() | F.isnan(c)).alias(c) for c in declared]
+    n = i.groupBy("series_id").agg(F.count("*").alias("rows"), *lacking)
+    return n.select("series_id", "rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("rows_lacking")) for c in declared])).alias("x")).select("series_id", "rows", "x.*")
 
 
 @query("v2_unique_key", K + "rows:i", IDX + "SELECT series_id, trade_date, 2 AS rows FROM idx WHERE day(trade_date) = 9")
@@ -379,12 +395,12 @@ def v11(spark, d):
 _POL = ", ".join(f"('{k}', {h * 60 + m})" for k, (h, m) in PUBLICATION.items())
 
 
-@query("v12_publication_gate", "source:s hour:i admitted:b signals:i", IDX + f"SELECT source, hour, hour*60 >= m AS admitted, n AS signals FROM (VALUES {_POL}) p(source, m), (VALUES (16), (17), (18), (19)) h(hour), (SELECT count(*) AS n FROM ical)")
+@query("v12_publication_gate", "source:s trade_date:d signals:i admitted:i", f"SELECT source, CAST(ts AS DATE) AS trade_date, count(*) AS signals, count_if(hour(ts) * 60 + minute(ts) >= m) AS admitted FROM events, (VALUES {_POL}) p(source, m) GROUP BY 1, 2")
 def v12(spark, d):
-    """Which sources may be used in the same session at each hour."""
-    n = D.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("t")).distinct().agg(F.count("*").alias("signals"))
-    items = [F.struct(F.lit(s).alias("source"), F.lit(x).alias("hour"), F.lit((x, 0) >= at).alias("admitted")) for s, at in PUBLICATION.items() for x in (16, 17, 18, 19)]
-    return n.select("signals", F.explode(F.array(*items)).alias("p")).select("signals", "p.*")
+    """Signals of each day that come late enough to use each source in the same session."""
+    at = F.hour("ts") * 60 + F.minute("ts")
+    days = D.table(spark, d, "events").groupBy(F.to_date("ts").alias("trade_date")).agg(F.count("*").alias("signals"), *[F.count_if(at >= h * 60 + m).alias(k) for k, (h, m) in PUBLICATION.items()])
+    return days.select("trade_date", "signals", F.explode(F.array(*[F.struct(F.lit(k).alias("source"), F.col(k).alias("admitted")) for k in PUBLICATION])).alias("p")).select("trade_date", "signals", "p.*")
 
 
 @query("v13_source_before_signal", "trade_date:d source_date:d", IDX + "SELECT trade_date, source_date FROM (SELECT trade_date, CASE WHEN day(trade_date) = 11 THEN trade_date ELSE lag(trade_date) OVER (ORDER BY trade_date) END AS source_date FROM ical) WHERE source_date >= trade_date")

@@ -51,7 +51,16 @@ def fingerprint(fields: dict[str, Column]) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    return F.when(c.isNotNull(), F.format_string("%.9e", c.cast("double")))
+    """Fifteen significant digits as a whole number, and the power of ten of the first; 0 is "0".
+
+    Scaling by an exact power of ten and one rounding is the same in every
+    engine, which formatting a double is not.
+    """
+    x = c.cast("double")
+    power = F.floor(F.log10(F.abs(x)))
+    digits = F.floor(F.abs(x) * F.pow(F.lit(10.0), 14 - power) + 0.5).cast("bigint")
+    text = F.concat(F.when(x < 0, "-").otherwise(""), digits.cast("string"), F.lit("e"), power.cast("string"))
+    return F.when(x == 0, "0").when(F.isnan(x) | (F.abs(x) == float("inf")), x.cast("string")).otherwise(text)
 
 
 def forecast_fingerprint(df: DataFrame) -> DataFrame:
