@@ -10,12 +10,12 @@ documents.  The steps:
 3. Join document words with prefix tokens.  Where the token stands in the window
    fixes where the window would start; starts before the text or ends beyond it
    are dropped (position and length bounds).
-4. Verify the words in between exactly, within the same pass.
+4. Verify the words in between: by hash within the same pass, then exactly
+   against the windows' own words.
 
-Documents are read twice and never shuffled: only hits are.  The sides that
-are small, windows and their tokens, are written first, so that Spark knows
-their size and broadcasts them only below its own threshold; beyond it the join
-is a shuffle on the token, whose skew adaptive execution splits.
+With up to BROADCAST_ROWS windows, which is counted, documents are read twice
+and never shuffled: only hits are.  Beyond that the join is a shuffle on the
+token, whose skew adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import bounded
 from tidemark.sources.staging import stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW_WORDS = 10
+BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,6 +37,10 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _key(words: Column) -> Column:
+    return F.xxhash64(words)
+
+
 def item_windows(items: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
     """(window, words, item): each distinct window with each item that has it."""
     w = items.select(F.col(item_col).alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
@@ -44,36 +50,57 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, n: int) -> Data
 
 
 def prefixed(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(token, ahead, words, window): the rarest word of each distinct window and its place; ties go to the longer word, then by bytes."""
-    each = windows.select("window", "words").distinct().select("window", "words", F.posexplode("words").alias("ahead", "token"))
+    """(token, ahead, length, looks): key and place of the rarest word of each distinct window, its length and its key; ties go to the longer word, then by bytes."""
+    each = windows.select("window", "words").distinct().select("window", "words", F.posexplode("words").alias("ahead", "word")).withColumn("token", _key(F.col("word")))
     each = each.join(counts, "token", "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("window").orderBy("often", F.length("token").desc(), "token", "ahead"))
-    return each.withColumn("_r", rank).where("_r = 1").select("token", "ahead", "words", "window")
+    rank = F.row_number().over(Window.partitionBy("window").orderBy("often", F.length("word").desc(), "word", "ahead"))
+    return each.withColumn("_r", rank).where("_r = 1").select("token", "ahead", F.size("words").alias("length"), _key(F.col("words")).alias("looks")).distinct()
 
 
 def occurrences(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW_WORDS,
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW_WORDS, broadcast_rows: int = BROADCAST_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, windows).  rows: row, id, n_words once for each document (window null), and row, id, start, length, window for each occurrence; windows: window, item."""
-    windows = stage(item_windows(items, item_col, item_text_col, n), "bench-windows")
-    wanted = stage(windows.select(F.explode("words").alias("token")).distinct(), "bench-words")
-    counts = docs.select(F.explode(words_of(F.col(text_col))).alias("token")).join(wanted, "token").groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    prefix = stage(prefixed(windows, counts), "bench-prefix")
+    """(rows, windows).  rows: row, id, n_words once for each document, and row, id, start, length, window for each occurrence; windows: window, item.
+
+    Up to `broadcast_rows` windows (rows of four numbers) the words meet the
+    tokens where they are read.  Beyond it words and tokens are shuffled without
+    the texts, and each document is read once more for its own candidates.
+    """
+    windows = bounded(item_windows(items, item_col, item_text_col, n), "bench-windows")
+    small = windows.count() <= broadcast_rows
+    wanted = bounded(windows.select(F.explode("words").alias("word")).select(_key(F.col("word")).alias("token")).distinct(), "bench-words")
+    used = docs.select(F.explode(words_of(F.col(text_col))).alias("word")).select(_key(F.col("word")).alias("token"))
+    used = used.join(F.broadcast(wanted), "token") if small else used
+    prefix = bounded(prefixed(windows, used.groupBy("token").agg(F.count(F.lit(1)).alias("often"))), "bench-prefix")
 
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
-    each = text.select("row", "id", "w", F.posexplode_outer("w").alias("pos", "token")).join(prefix, "token", "left")
     start = F.col("pos") - F.col("ahead")
-    fits = (start >= 0) & (start + F.size("words") <= F.size("w"))
-    met = F.col("window").isNotNull() & fits & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words"))
-    each = each.withColumn("_hit", F.coalesce(met, F.lit(False))).where("_hit OR coalesce(pos, 0) = 0")
-    rows = each.select(
-        "row", "id", F.when(F.coalesce("pos", F.lit(0)) == 0, F.size("w")).alias("n_words"),
-        F.when(F.col("_hit"), start).alias("start"), F.when(F.col("_hit"), F.size("words")).alias("length"), F.when(F.col("_hit"), F.col("window")).alias("window"),
+    fits = F.col("looks").isNotNull() & (start >= 0) & (start + F.col("length") <= F.col("size"))
+    found = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("length"))
+    if small:
+        each = text.select("row", "id", "w", F.size("w").alias("size"), F.posexplode_outer("w").alias("pos", "word")).withColumn("token", _key(F.col("word")))
+        each = each.join(F.broadcast(prefix), "token", "left").withColumn("pos", F.coalesce("pos", F.lit(0)))
+    else:
+        text = stage(text, "bench-texts")
+        each = text.select("row", F.size("w").alias("size"), F.posexplode("w").alias("pos", "word")).withColumn("token", _key(F.col("word"))).join(prefix, "token").where(fits)
+        held = each.groupBy("row").agg(F.collect_list(F.struct("pos", "ahead", "length", "looks")).alias("found")).withColumnRenamed("row", "_row")
+        each = text.join(held, F.col("row") == F.col("_row"), "left").select("row", "id", "w", F.size("w").alias("size"), F.explode_outer(F.concat(F.array(F.expr("named_struct('pos', 0, 'ahead', 0, 'length', cast(null as int), 'looks', cast(null as bigint))")), F.coalesce("found", F.array()))).alias("f"))
+        each = each.select("row", "id", "w", "size", "f.*")
+    each = each.withColumn("_hit", F.coalesce(fits & (_key(found) == F.col("looks")), F.lit(False)))
+    first = F.col("looks").isNull() & (F.col("pos") == 0) if not small else F.col("pos") == 0
+    rows = stage(
+        each.where(F.col("_hit") | first).select(
+            "row", "id", F.when(first, F.col("size")).alias("n_words"), F.when(F.col("_hit"), start).alias("start"), F.when(F.col("_hit"), F.col("length")).alias("length"), F.when(F.col("_hit"), found).alias("found"),
+        ),
+        "bench-found",
     )
-    return rows, windows.select("window", "item")
+    exact = rows.where("found IS NOT NULL").select("row", "id", F.lit(None).cast("int").alias("n_words"), "start", "length", F.sha2(F.concat_ws(" ", "found"), 256).alias("window"), "found")
+    exact = exact.join(windows.select("window", "words").distinct(), "window").where("found = words")
+    plain = rows.where("n_words IS NOT NULL").select("row", "id", "n_words", *(F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("length", "int"), ("window", "string"))))
+    return plain.unionByName(exact.select(plain.columns)), windows.select("window", "item")
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per input row: id, n_words, n_hit, n_items, items (sorted as strings, comma-joined), contaminated.
 
     A word is hit if any occurrence of any window covers it.  Null and empty
@@ -81,8 +108,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     repeated documents and null ids get a row each; repeated items all count; an
     empty benchmark leaves every document clean; other columns are not read.
     """
-    rows, windows = occurrences(docs, items, id_col, text_col, item_col, item_text_col, n)
-    rows = stage(rows, "bench-hits")
+    rows, windows = occurrences(docs, items, id_col, text_col, item_col, item_text_col, n, broadcast_rows)
     hits = rows.where("window IS NOT NULL")
     spans = hits.groupBy("row", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
     reach = F.max("end").over(Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
