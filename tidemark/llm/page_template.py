@@ -198,17 +198,21 @@ def _template(rows: pd.DataFrame) -> pd.DataFrame:
     for _, same in rows[~rows.path.isin(roots)].groupby(["pages", "v1", "v2"]):
         nested += len({slot(p) for p in same.path}) == 1
     kept = rows[~rows.rejected]
+
+    def mass(path: str) -> int:
+        return int(kept[(kept.path == path) | kept.path.str.startswith(path + "/")].plain.sum())
+
     main = ""
     for tag in ("article", "main"):
         some = kept[(kept.tag == tag) & (kept.pages * 2 >= n)]
         if len(some):
-            main = some.sort_values(["pages", "plain", "path"], ascending=[False, False, True]).path.iloc[0]
+            order = [(-p, q not in roots, -mass(q), q.count("/"), q) for p, q in zip(some.pages, some.path)]
+            main = min(order)[-1]
             break
     else:
         total = kept.plain.sum()
         for path in root[~root.rejected].sort_values("path", key=lambda p: p.str.count("/")).path:
-            inside = kept[(kept.path == path) | kept.path.str.startswith(path + "/")].plain.sum()
-            if total and inside * 10 >= total * 7:
+            if total and mass(path) * 10 >= total * 7:
                 main = path
     return pd.DataFrame({"host": [rows.host.iloc[0]], "main": [main], "pages": [n], "root_tokens": [len(root)], "nested_classes": [nested]})
 
