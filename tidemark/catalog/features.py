@@ -178,20 +178,20 @@ def f8(spark, d):
 
 _Q = ["return_1", "return_5", "return_20", "volatility_20", "bid_range", "close_spread"]
 _FX = """
-fq0 AS (SELECT *, (close + ask)/2 AS mid FROM ext WHERE asset = 'A' AND day(trade_date) % 3 <> 0),
-fq1 AS (SELECT *, mid/lag(mid) OVER (ORDER BY trade_date) - 1 AS r FROM fq0),
-fq AS (SELECT trade_date AS q, r AS return_1, mid/lag(mid, 5) OVER (ORDER BY trade_date) - 1 AS return_5, mid/lag(mid, 20) OVER (ORDER BY trade_date) - 1 AS return_20,
-  """ + S.full("stddev_samp", "r", 20, "", "trade_date") + " AS volatility_20, (high - low)/lag(close) OVER (ORDER BY trade_date) AS bid_range, (ask - close)/mid AS close_spread FROM fq1)"
+fq0 AS (SELECT *, (close + ask)/2 AS mid FROM ext),
+fq1 AS (SELECT *, mid/lag(mid) OVER w - 1 AS r FROM fq0 WINDOW w AS (PARTITION BY asset ORDER BY trade_date)),
+fq AS (SELECT asset, trade_date AS q, r AS return_1, mid/lag(mid, 5) OVER w - 1 AS return_5, mid/lag(mid, 20) OVER w - 1 AS return_20,
+  """ + S.full("stddev_samp", "r", 20, "asset", "trade_date") + """ AS volatility_20, (high - low)/lag(close) OVER w AS bid_range, (ask - close)/mid AS close_spread FROM fq1 WINDOW w AS (PARTITION BY asset ORDER BY trade_date)),
+sig AS (SELECT ical.*, a.asset FROM ical, (SELECT DISTINCT asset FROM ext) a)"""
 
 
-@query("f9_fx_features", "trade_date:d fx_source_date:d fx_source_age_days:i fx_available:b " + _f(*[f"fx_{n}" for n in _Q]),
-       S.with_(S.INDEX, S.EXTERNAL, _FX) + "SELECT trade_date, fx_source_date, trade_date - fx_source_date AS fx_source_age_days, " + ", ".join(f"fx_{n}" for n in _Q) + ", " + " AND ".join(f"fx_{n} IS NOT NULL" for n in _Q)
-       + " AS fx_available FROM (SELECT trade_date, CASE WHEN trade_date - q <= 7 THEN q END AS fx_source_date, " + ", ".join(f"CASE WHEN trade_date - q <= 7 THEN {n} END AS fx_{n}" for n in _Q) + " FROM ical ASOF LEFT JOIN fq ON ical.trade_date > fq.q)")
+@query("f9_fx_features", "asset:s trade_date:d fx_source_date:d fx_source_age_days:i fx_available:b " + _f(*[f"fx_{n}" for n in _Q]),
+       S.with_(S.INDEX, S.EXTERNAL, _FX) + "SELECT asset, trade_date, fx_source_date, trade_date - fx_source_date AS fx_source_age_days, " + ", ".join(f"fx_{n}" for n in _Q) + ", " + " AND ".join(f"fx_{n} IS NOT NULL" for n in _Q)
+       + " AS fx_available FROM (SELECT sig.asset, trade_date, CASE WHEN trade_date - q <= 7 THEN q END AS fx_source_date, " + ", ".join(f"CASE WHEN trade_date - q <= 7 THEN {n} END AS fx_{n}" for n in _Q) + " FROM sig ASOF LEFT JOIN fq ON sig.asset = fq.asset AND sig.trade_date > fq.q)")
 def f9(spark, d):
-    """Quote features known strictly before the signal."""
+    """Quote features of each external series known strictly before the signal."""
     signals = D.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("trade_date")).distinct()
-    quotes = D.external_series(spark, d).where((F.col("asset") == "A") & (F.dayofmonth("trade_date") % 3 != 0))
-    return X.fx_features(signals, quotes)
+    return X.fx_features(D.each_asset(signals), D.external_series(spark, d))
 
 
 _RISK = """
@@ -213,18 +213,18 @@ def f10(spark, d):
 _FB = ["ret1", "ret5", "vol20", "gap", "intraday", "range"]
 
 
-@query("f11_foreign_close_timing", "trade_date:d price_source_date:d volume_source_date:d foreign_vol_chg_lag1:f " + _f(*[f"foreign_{n}" for n in _FB]),
+@query("f11_foreign_close_timing", "asset:s trade_date:d price_source_date:d volume_source_date:d foreign_vol_chg_lag1:f " + _f(*[f"foreign_{n}" for n in _FB]),
        S.with_(S.INDEX, S.EXTERNAL, """
-fr AS (SELECT trade_date AS q, close, low AS open, high, low, qty, close/lag(close) OVER (ORDER BY trade_date) - 1 AS ret1 FROM ext WHERE asset = 'R' AND day(trade_date) % 3 <> 0),
-fb AS (SELECT q, ret1 AS foreign_ret1, close/lag(close, 5) OVER (ORDER BY q) - 1 AS foreign_ret5, """ + S.full("stddev_samp", "ret1", 20, "", "q") + """ AS foreign_vol20, open/lag(close) OVER (ORDER BY q) - 1 AS foreign_gap, close/open - 1 AS foreign_intraday,
-  (high - low)/lag(close) OVER (ORDER BY q) AS foreign_range, ln(qty) - lag(ln(qty)) OVER (ORDER BY q) AS foreign_vol_chg FROM fr)""")
-       + "SELECT a.* EXCLUDE (q, foreign_vol_chg), a.q AS price_source_date, b.q AS volume_source_date, b.foreign_vol_chg AS foreign_vol_chg_lag1 FROM (SELECT ical.trade_date, fb.* FROM ical ASOF LEFT JOIN fb ON ical.trade_date >= fb.q) a JOIN (SELECT ical.trade_date, fb.* FROM ical ASOF LEFT JOIN fb ON ical.trade_date > fb.q) b USING (trade_date)")
+fr AS (SELECT asset, trade_date AS q, close, low AS open, high, low, qty, close/lag(close) OVER (PARTITION BY asset ORDER BY trade_date) - 1 AS ret1 FROM ext),
+fb AS (SELECT asset, q, ret1 AS foreign_ret1, close/lag(close, 5) OVER w - 1 AS foreign_ret5, """ + S.full("stddev_samp", "ret1", 20, "asset", "q") + """ AS foreign_vol20, open/lag(close) OVER w - 1 AS foreign_gap, close/open - 1 AS foreign_intraday,
+  (high - low)/lag(close) OVER w AS foreign_range, ln(qty) - lag(ln(qty)) OVER w AS foreign_vol_chg FROM fr WINDOW w AS (PARTITION BY asset ORDER BY q)),
+sig AS (SELECT ical.trade_date, a.asset FROM ical, (SELECT DISTINCT asset FROM ext) a)""")
+       + "SELECT a.* EXCLUDE (q, foreign_vol_chg), a.q AS price_source_date, b.q AS volume_source_date, b.foreign_vol_chg AS foreign_vol_chg_lag1 FROM (SELECT sig.*, fb.* EXCLUDE (asset) FROM sig ASOF LEFT JOIN fb ON sig.asset = fb.asset AND sig.trade_date >= fb.q) a JOIN (SELECT sig.*, fb.* EXCLUDE (asset) FROM sig ASOF LEFT JOIN fb ON sig.asset = fb.asset AND sig.trade_date > fb.q) b USING (asset, trade_date)")
 def f11(spark, d):
-    """Foreign prices of the same day with the earlier day's volume change."""
+    """Prices of each foreign series of the same day with the earlier day's volume change."""
     signals = D.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("trade_date")).distinct()
-    e = D.external_series(spark, d).where((F.col("asset") == "R") & (F.dayofmonth("trade_date") % 3 != 0))
-    bars = e.select("trade_date", "close", F.col("low").alias("open"), "high", "low", F.col("qty").alias("vol"))
-    return X.foreign_close_features(signals, bars, "current_prices")
+    bars = D.external_series(spark, d).select("asset", "trade_date", "close", F.col("low").alias("open"), "high", "low", F.col("qty").alias("vol"))
+    return X.foreign_close_features(D.each_asset(signals), bars, "current_prices")
 
 
 @query("f12_intraday_features", "series_id:s trade_date:d intraday_source_date:d intraday_available:b " + _f(*[f"intraday_{m}" for m in P.INTRADAY_MEASURES]),
@@ -294,7 +294,7 @@ def f16(spark, d):
     return X.trend_features(cal.select("trade_date"), P.trend_breadth(p, cal, (3, 5, 10)), cal)
 
 
-_OTHERS = ("2-HIGH", "3-MEDIUM", "5-LOW")
+_OTHERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 _BLK = ["ret1", "ret5", "vol20", "gap", "intraday", "range", "vol_chg"]
 _CTX = f"""
 ar AS (SELECT *, {S.growth('close', 1, 'series_id', 'trade_date')} AS ret1 FROM idx),
@@ -302,14 +302,14 @@ ab AS (SELECT series_id, trade_date, ret1, {S.growth('close', 5, 'series_id', 't
   (high - low)/pre_close AS range, ln(vol) - lag(ln(vol)) OVER (PARTITION BY series_id ORDER BY trade_date) AS vol_chg FROM ar)"""
 
 
-@query("f17_index_context", "trade_date:d return_1:f momentum_5:f " + _f(*[f"{i}_{n}" for i in (1, 2, 3) for n in (*_BLK, "relative_return_1", "relative_return_5")]),
-       S.with_(S.INDEX, _CTX) + "SELECT t.trade_date, t.ret1 AS return_1, t.ret5 AS momentum_5, " + ", ".join(
+@query("f17_index_context", "series_id:s trade_date:d return_1:f momentum_5:f " + _f(*[f"{i}_{n}" for i in (1, 2, 3, 4, 5) for n in (*_BLK, "relative_return_1", "relative_return_5")]),
+       S.with_(S.INDEX, _CTX) + "SELECT t.series_id, t.trade_date, t.ret1 AS return_1, t.ret5 AS momentum_5, " + ", ".join(
            ", ".join(f"max(CASE WHEN o.series_id = '{a}' THEN o.{n} END) AS \"{i}_{n}\"" for n in _BLK) + f", max(CASE WHEN o.series_id = '{a}' THEN o.ret1 END) - t.ret1 AS \"{i}_relative_return_1\", max(CASE WHEN o.series_id = '{a}' THEN o.ret5 END) - t.ret5 AS \"{i}_relative_return_5\""
-           for i, a in enumerate(_OTHERS, 1)) + " FROM ab t LEFT JOIN ab o ON o.trade_date = t.trade_date WHERE t.series_id = '1-URGENT' GROUP BY t.trade_date, t.ret1, t.ret5")
+           for i, a in enumerate(_OTHERS, 1)) + " FROM ab t LEFT JOIN ab o ON o.trade_date = t.trade_date GROUP BY t.series_id, t.trade_date, t.ret1, t.ret5")
 def f17(spark, d):
-    """Price blocks of three indices beside a target."""
+    """Price blocks of all indices beside each."""
     i = D.index_series(spark, d)
-    return X.index_context_features(i.where("series_id = '1-URGENT'"), i, _OTHERS)
+    return X.index_context_features(i, i, _OTHERS)
 
 
 CORE = f"""

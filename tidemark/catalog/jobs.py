@@ -170,19 +170,19 @@ def e12(spark, d):
     return E.stream_metrics(B.adopt_labels(base_stream(spark, d), R.duration_probability(RQ.panel(spark, d))), SID)
 
 
-@query("e13_timing_policies", "policy:s series_id:s rows:i accuracy:f")
+@query("e13_timing_policies", "policy:s asset:s series_id:s rows:i accuracy:f")
 def e13(spark, d):
     """Direction by the sign of the foreign return under three timing policies."""
     signals = D.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("trade_date")).distinct()
-    e = D.external_series(spark, d).where((F.col("asset") == "R") & (F.dayofmonth("trade_date") % 3 != 0))
-    bars = e.select("trade_date", "close", F.col("low").alias("open"), "high", "low", F.col("qty").alias("vol"))
+    signals = D.each_asset(signals)
+    bars = D.external_series(spark, d).select("asset", "trade_date", "close", F.col("low").alias("open"), "high", "low", F.col("qty").alias("vol"))
     b = base_stream(spark, d)
     parts = {}
     for p in ("previous_available", "current_prices", "augment_current_prices"):
         f = X.foreign_close_features(signals, bars, p)
         name = "foreign_ret1_lag1" if p == "previous_available" else "foreign_ret1"
-        lab = f.where(F.col(name).isNotNull()).select("trade_date", B.sign_label(F.col(name)).alias("predicted_label"))
-        parts[p] = E.stream_metrics(b.drop("predicted_label").join(lab, "trade_date"), SID)
+        lab = f.where(F.col(name).isNotNull()).select("asset", "trade_date", B.sign_label(F.col(name)).alias("predicted_label"))
+        parts[p] = E.stream_metrics(b.drop("predicted_label").join(lab, "trade_date"), ["asset", *SID])
     return B.by_policy(parts)
 
 
@@ -204,9 +204,11 @@ def e14(spark, d):
 def e15(spark, d):
     """Nested selection with quote features admitted as one block, learned threshold, control beside it."""
     signals = D.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("trade_date")).distinct()
-    fx = X.fx_features(signals, D.external_series(spark, d).where("asset = 'A'"))
-    names = ["fx_return_1", "fx_volatility_20", "fx_close_spread"]
-    s = LQ.core_stream(spark, d).join(fx.select("trade_date", *names), "trade_date", "left")
+    fx = X.fx_features(D.each_asset(signals), D.external_series(spark, d))
+    each = {f"{a}_{n}": (a, n) for a in D.ASSETS for n in ("fx_return_1", "fx_volatility_20", "fx_close_spread")}
+    names = list(each)
+    wide = fx.groupBy("trade_date").agg(*[F.max(F.when(F.col("asset") == a, F.col(n))).alias(k) for k, (a, n) in each.items()])
+    s = LQ.core_stream(spark, d).join(wide, "trade_date", "left")
     sets = {"base": LQ.SETS["base"], "extended": (*LQ.SETS["base"], *names)}
     up = (F.col("predicted_label") == 1) & all_known(*[F.col(n) for n in sets["extended"]])
     f = stage(L.folds(s, SID, up, up & F.col("real_pct_change").isNotNull(), F.col("real_pct_change") <= 0, minimum=240, interval=60), "fx")
@@ -233,14 +235,16 @@ def e16(spark, d):
 _CMP = ["accuracy", "balanced_accuracy", "calibrated_brier", "return_mae", "return_rmse", *M._STAB]
 
 
-@query("e17_stream_comparison", "series_id:s " + M.f(*_CMP),
+@query("e17_stream_comparison", "stream_id:s series_id:s " + M.f(*_CMP),
        S.with_(S.STREAMS, M.ROLL20.replace("FROM streams)", "FROM streams WHERE real_pct_change IS NOT NULL)"), M.STABILITY, f"mx AS (SELECT * FROM (SELECT stream_id, series_id, {M.M} FROM streams WHERE real_pct_change IS NOT NULL GROUP BY 1, 2) JOIN stb USING (stream_id, series_id))")
-       + "SELECT a.series_id, " + ", ".join(f"a.{m} - b.{m} AS {m}" for m in _CMP) + " FROM mx a JOIN mx b ON a.series_id = b.series_id AND b.stream_id = 'base' WHERE a.stream_id = 'momentum'")
+       + "SELECT a.stream_id, a.series_id, " + ", ".join(f"a.{m} - b.{m} AS {m}" for m in _CMP) + " FROM mx a JOIN mx b ON a.series_id = b.series_id AND b.stream_id = 'base' WHERE a.stream_id <> 'base'")
 def e17(spark, d):
-    """Metric and stability differences of two engines."""
-    s = stage(forecast_streams(spark, d).where(F.col("stream_id").isin("base", "momentum")), "engines")
+    """Metric and stability differences of every engine from the base one."""
+    s = stage(forecast_streams(spark, d), "engines")
     r = E.stream_metrics(s, STREAM_KEYS).join(E.stability(s, STREAM_KEYS), list(STREAM_KEYS))
-    return E.report_delta(r.where("stream_id = 'momentum'"), r.where("stream_id = 'base'"), SID, _CMP)
+    base = r.where("stream_id = 'base'").drop("stream_id")
+    names = [n for (n,) in s.select("stream_id").distinct().where("stream_id <> 'base'").collect()]
+    return B.by_policy({n: E.report_delta(r.where(F.col("stream_id") == n).drop("stream_id"), base, SID, _CMP) for n in sorted(names)}, "stream_id")
 
 
 @query("e18_daily_panel_build", spec("breadth", BREADTH), S.with_(S.STOCK, C.BREADTH_DAY) + aligned("breadth", BREADTH, "brd", 0, signals="SELECT trade_date FROM cal"))
@@ -265,14 +269,13 @@ def e19(spark, d):
         ox.select(F.lit("option").alias("context"), "trade_date", F.col("option_available").alias("available")))
 
 
-@query("e20_merged_features", "trade_date:d close:f2 target_next_return:f foreign_ret1_lag1:f",
-       S.with_(S.INDEX) + f"SELECT t.trade_date, t.close, lead(t.close) OVER (ORDER BY t.trade_date)/t.close - 1 AS target_next_return, h.r AS foreign_ret1_lag1 FROM idx t LEFT JOIN (SELECT trade_date, lag(r) OVER (ORDER BY trade_date) AS r FROM (SELECT trade_date, {S.growth('close', 1, 'series_id', 'trade_date')} AS r FROM idx WHERE series_id = '2-HIGH')) h USING (trade_date) WHERE t.series_id = '1-URGENT'")
+@query("e20_merged_features", "series_id:s trade_date:d foreign_id:s close:f2 target_next_return:f foreign_ret1_lag1:f",
+       S.with_(S.INDEX) + f"SELECT t.series_id, t.trade_date, h.series_id AS foreign_id, t.close, t.n/t.close - 1 AS target_next_return, h.r AS foreign_ret1_lag1 FROM (SELECT *, lead(close) OVER (PARTITION BY series_id ORDER BY trade_date) AS n FROM idx) t LEFT JOIN (SELECT series_id, trade_date, lag(r) OVER (PARTITION BY series_id ORDER BY trade_date) AS r FROM (SELECT series_id, trade_date, {S.growth('close', 1, 'series_id', 'trade_date')} AS r FROM idx)) h USING (trade_date)")
 def e20(spark, d):
-    """Target table joined to a lagged foreign block."""
+    """Each series' targets joined to the lagged block of each other market's series."""
     i = D.index_series(spark, d)
-    t = Q.next_session_target(i.where("series_id = '1-URGENT'"), SID)
-    h = Q.price_features(i.where("series_id = '2-HIGH'"), SID, "foreign_", lag=A.default_lag(True, "after_close")).drop("series_id")
-    return t.join(h, "trade_date", "left")
+    h = Q.price_features(i, SID, "foreign_", lag=A.default_lag(True, "after_close")).withColumnRenamed("series_id", "foreign_id")
+    return Q.next_session_target(i, SID).join(h, "trade_date", "left")
 
 
 @query("e21_paired_live_audit", "series_id:s side:s window:i rows:i accuracy:f sufficient:b",

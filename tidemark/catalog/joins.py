@@ -19,10 +19,10 @@ SKEY = "stream_id:s series_id:s trade_date:d "
 
 
 @query("j1_left_equi_join", "series_id:s trade_date:d close:f2 asset:s ext_close:f",
-       S.with_(S.INDEX, S.EXTERNAL) + "SELECT series_id, i.trade_date, i.close, asset, e.close AS ext_close FROM idx i LEFT JOIN ext e ON i.trade_date = e.trade_date AND e.asset = 'N'")
+       S.with_(S.INDEX, S.EXTERNAL) + "SELECT series_id, i.trade_date, i.close, asset, e.close AS ext_close FROM idx i LEFT JOIN ext e ON i.trade_date = e.trade_date")
 def j1(spark, d):
-    """Left join of an external series on the date."""
-    e = D.external_series(spark, d).where("asset = 'N'").select("trade_date", "asset", F.col("close").alias("ext_close"))
+    """Left join of the external series on the date."""
+    e = D.external_series(spark, d).select("trade_date", "asset", F.col("close").alias("ext_close"))
     return D.index_series(spark, d).join(e, "trade_date", "left")
 
 
@@ -41,44 +41,42 @@ def j3(spark, d):
     return J.one_to_one(o.groupBy("trade_date").agg(F.count("*").alias("rows")), o.groupBy("trade_date").agg(F.count_distinct("opt_code").alias("brands")), ["trade_date"])
 
 
-_EXT = "SELECT trade_date AS ext_date, close AS ext_close FROM ext WHERE asset = 'A'"
+_SIDES = """x AS (SELECT asset, trade_date AS ext_date, close AS ext_close, qty AS volume FROM ext),
+sig AS (SELECT idx.*, a.asset FROM idx, (SELECT DISTINCT asset FROM ext) a)"""
 
 
 def _asof(op: str) -> str:
-    return S.with_(S.INDEX, S.EXTERNAL, f"x AS ({_EXT} AND day(trade_date) % 3 <> 0)") + f"""SELECT series_id, trade_date, CASE WHEN trade_date - ext_date <= 7 THEN ext_date END AS source_date,
-  CASE WHEN trade_date - ext_date <= 7 THEN ext_close END AS ext_close FROM idx ASOF LEFT JOIN x ON idx.trade_date {op} x.ext_date"""
+    return S.with_(S.INDEX, S.EXTERNAL, _SIDES) + f"""SELECT series_id, sig.asset, trade_date, CASE WHEN trade_date - ext_date <= 7 THEN ext_date END AS source_date,
+  CASE WHEN trade_date - ext_date <= 7 THEN ext_close END AS ext_close FROM sig ASOF LEFT JOIN x ON sig.asset = x.asset AND sig.trade_date {op} x.ext_date"""
 
 
-def _sparse(spark, d, asset="A"):
-    e = D.external_series(spark, d).where((F.col("asset") == asset) & (F.dayofmonth("trade_date") % 3 != 0))
-    return e.select(F.col("trade_date").alias("ext_date"), F.col("close").alias("ext_close"), F.lit(1).alias("k"))
+def _sides(spark, d):
+    left = D.each_asset(D.index_series(spark, d).select("series_id", "trade_date"))
+    e = D.external_series(spark, d)
+    return left, e.select("asset", F.col("trade_date").alias("ext_date"), F.col("close").alias("ext_close"), F.col("qty").alias("volume"))
 
 
-@query("j4_asof_strict", "series_id:s trade_date:d source_date:d ext_close:f", _asof(">"))
+@query("j4_asof_strict", "series_id:s asset:s trade_date:d source_date:d ext_close:f", _asof(">"))
 def j4(spark, d):
-    """Last external value strictly before the signal, at most seven days old."""
-    left = D.index_series(spark, d).select("series_id", "trade_date", F.lit(1).alias("k"))
-    return asof_join(left, _sparse(spark, d), ["k"], "trade_date", "ext_date", ["ext_close"], strict=True, max_age_days=7, span_days=60)
+    """Last value of each external series strictly before the signal, at most seven days old."""
+    return asof_join(*_sides(spark, d), ["asset"], "trade_date", "ext_date", ["ext_close"], strict=True, max_age_days=7, span_days=60)
 
 
-@query("j5_asof_inclusive", "series_id:s trade_date:d source_date:d ext_close:f", _asof(">="))
+@query("j5_asof_inclusive", "series_id:s asset:s trade_date:d source_date:d ext_close:f", _asof(">="))
 def j5(spark, d):
-    """Last external value on or before the signal."""
-    left = D.index_series(spark, d).select("series_id", "trade_date", F.lit(1).alias("k"))
-    return asof_join(left, _sparse(spark, d), ["k"], "trade_date", "ext_date", ["ext_close"], strict=False, max_age_days=7, span_days=60)
+    """Last value of each external series on or before the signal."""
+    return asof_join(*_sides(spark, d), ["asset"], "trade_date", "ext_date", ["ext_close"], strict=False, max_age_days=7, span_days=60)
 
 
-@query("j6_asof_two_policies", "series_id:s trade_date:d price_date:d price:f volume_date:d volume:f2",
-       S.with_(S.INDEX, S.EXTERNAL, "x AS (SELECT trade_date AS ext_date, close AS price, qty AS volume FROM ext WHERE asset = 'R' AND day(trade_date) % 3 <> 0)") +
-       """SELECT a.series_id, a.trade_date, a.ext_date AS price_date, a.price, b.ext_date AS volume_date, b.volume
-  FROM (SELECT * FROM idx ASOF LEFT JOIN x ON idx.trade_date >= x.ext_date) a JOIN (SELECT * FROM idx ASOF LEFT JOIN x ON idx.trade_date > x.ext_date) b USING (series_id, trade_date)""")
+@query("j6_asof_two_policies", "series_id:s asset:s trade_date:d price_date:d price:f volume_date:d volume:f2",
+       S.with_(S.INDEX, S.EXTERNAL, _SIDES) +
+       """SELECT a.series_id, a.asset, a.trade_date, a.ext_date AS price_date, a.ext_close AS price, b.ext_date AS volume_date, b.volume
+  FROM (SELECT sig.*, ext_date, ext_close FROM sig ASOF LEFT JOIN x ON sig.asset = x.asset AND sig.trade_date >= x.ext_date) a JOIN (SELECT sig.*, ext_date, volume FROM sig ASOF LEFT JOIN x ON sig.asset = x.asset AND sig.trade_date > x.ext_date) b USING (series_id, asset, trade_date)""")
 def j6(spark, d):
     """Prices may be of the same day, volumes must be older."""
-    left = D.index_series(spark, d).select("series_id", "trade_date", F.lit(1).alias("k"))
-    e = D.external_series(spark, d).where((F.col("asset") == "R") & (F.dayofmonth("trade_date") % 3 != 0))
-    e = e.select(F.lit(1).alias("k"), F.col("trade_date").alias("ext_date"), F.col("close").alias("price"), F.col("qty").alias("volume"))
-    p = asof_join(left, e, ["k"], "trade_date", "ext_date", ["price"], strict=False, source="price_date", span_days=60)
-    return asof_join(p, e, ["k"], "trade_date", "ext_date", ["volume"], strict=True, source="volume_date", span_days=60)
+    left, e = _sides(spark, d)
+    p = asof_join(left, e.withColumnRenamed("ext_close", "price"), ["asset"], "trade_date", "ext_date", ["price"], strict=False, source="price_date", span_days=60)
+    return asof_join(p, e, ["asset"], "trade_date", "ext_date", ["volume"], strict=True, source="volume_date", span_days=60)
 
 
 GRID = """
@@ -216,11 +214,11 @@ def j19(spark, d):
 
 @query("j20_training_window", "series_id:s anchor_pos:i rows:i first_pos:i last_pos:i ups:i",
        S.with_(S.STREAMS) + """SELECT a.series_id, a.pos AS anchor_pos, count(*) AS rows, min(h.pos) AS first_pos, max(h.pos) AS last_pos, sum((h.real_pct_change > 0)::INT) AS ups
-  FROM base a JOIN base h ON h.series_id = a.series_id AND h.pos < a.pos AND h.pos >= a.pos - 252 WHERE a.pos % 20 = 0 AND h.real_pct_change IS NOT NULL GROUP BY 1, 2""")
+  FROM base a JOIN base h ON h.series_id = a.series_id AND h.pos < a.pos AND h.pos >= a.pos - 252 WHERE a.pos % 5 = 0 AND h.real_pct_change IS NOT NULL GROUP BY 1, 2""")
 def j20(spark, d):
-    """Each refit anchor with the known rows of its 252 earlier positions."""
+    """Each refit anchor (every fifth position) with the known rows of its 252 earlier positions."""
     s = base_stream(spark, d)
-    a = s.where(F.col("pos") % 20 == 0).select("series_id", F.col("pos").alias("anchor_pos"))
+    a = s.where(F.col("pos") % 5 == 0).select("series_id", F.col("pos").alias("anchor_pos"))
     h = s.where(F.col("real_pct_change").isNotNull()).select("series_id", "pos", "real_pct_change")
     x = range_expand(a, h, SID, 252)
     return x.groupBy("series_id", "anchor_pos").agg(F.count("*").alias("rows"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum((F.col("real_pct_change") > 0).cast("int")).alias("ups"))

@@ -47,14 +47,14 @@ def s1(spark, d):
     return C.read_table(spark, path, BAR)
 
 
-@query("s2_raw_day_scan", "file_session:s rows:i", IDX + "SELECT strftime(trade_date, '%Y%m%d') AS file_session, count(*) AS rows FROM idx WHERE year(trade_date) = 1996 AND month(trade_date) = 3 GROUP BY 1")
+@query("s2_raw_day_scan", "file_session:s rows:i", IDX + "SELECT strftime(trade_date, '%Y%m%d') AS file_session, count(*) AS rows FROM idx GROUP BY 1")
 def s2(spark, d):
-    """One compressed file per session of a month, dates checked against the file names."""
+    """One compressed file per session, dates checked against the file paths."""
     path = landing(spark, "days")
-    march = bars(spark, d).where("year(trade_date) = 1996 AND month(trade_date) = 3")
-    march.withColumn("session", F.date_format("trade_date", "yyyyMMdd")).repartition("session").write.partitionBy("session").option("header", True).option("compression", "gzip").csv(path)
-    raw = C.read_table(spark, path, BAR).select("*", F.regexp_extract("_metadata.file_path", r"session=(\d{8})", 1).alias("file_session"))
-    return raw.where(F.date_format("trade_date", "yyyyMMdd") == F.col("file_session")).groupBy("file_session").agg(F.count("*").alias("rows"))
+    days = bars(spark, d).withColumn("session", F.date_format("trade_date", "yyyyMMdd"))
+    days.repartition("session").write.partitionBy("session").option("header", True).option("compression", "gzip").csv(path)
+    good, _ = C.read_raw_days(spark, path, BAR)
+    return good.groupBy("file_session").agg(F.count("*").alias("rows"))
 
 
 @query("s3_multi_file_union", "series_id:s rows:i", IDX + "SELECT series_id, count(*) AS rows FROM idx GROUP BY 1")
@@ -104,12 +104,12 @@ def s7(spark, d):
     return C.read_table(spark, path, BAR).groupBy("series_id").agg(F.count("*").alias("rows"), F.sum("close").alias("total"))
 
 
-@query("s8_snapshot_sink", "year:i month:i rows:i", IDX + "SELECT year(trade_date) AS year, month(trade_date) AS month, count(*) AS rows FROM idx GROUP BY 1, 2")
+@query("s8_snapshot_sink", "year:i month:i day:i rows:i", IDX + "SELECT year(trade_date) AS year, month(trade_date) AS month, day(trade_date) AS day, count(*) AS rows FROM idx GROUP BY 1, 2, 3")
 def s8(spark, d):
     """Immutable snapshot by year, month and day."""
     path = landing(spark, "snapshot")
-    C.write_snapshot(bars(spark, d).withColumn("trade_date", F.trunc("trade_date", "month")), path)
-    return spark.read.parquet(path).groupBy("year", "month").agg(F.count("*").alias("rows"))
+    C.write_snapshot(bars(spark, d), path)
+    return spark.read.parquet(path).groupBy("year", "month", "day").agg(F.count("*").alias("rows"))
 
 
 @query("s9_file_manifest", "differences:i files_hashed:b", "SELECT 0 AS differences, true AS files_hashed FROM orders LIMIT 1")
@@ -128,7 +128,7 @@ def s9(spark, d):
 @query("s10_reuse_landed_days", "trade_date:d", IDX + "SELECT trade_date FROM idx GROUP BY 1 HAVING day(trade_date) % 5 IN (0, 1)")
 def s10(spark, d):
     """Days that were not landed or whose content changed since."""
-    day = D.index_series(spark, d).groupBy("trade_date").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("series_id", "close"))), lambda x: F.concat_ws("=", x["series_id"], x["close"].cast("string")))), 256).alias("sha256"))
+    day = D.index_series(spark, d).groupBy("trade_date").agg(C.content_hash("series_id", "close").alias("sha256"))
     landed = day.where("dayofmonth(trade_date) % 5 <> 0").withColumn("sha256", F.when(F.dayofmonth("trade_date") % 5 == 1, "stale").otherwise(F.col("sha256")))
     return C.days_to_fetch(day, landed, ["trade_date"])
 

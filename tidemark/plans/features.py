@@ -167,18 +167,18 @@ def futures_features(signals: DataFrame, daily: DataFrame, calendar: DataFrame,
     return _finish(d, cols, "futures", signals, calendar, lag, ["product"])
 
 
-def fx_features(signals: DataFrame, quotes: DataFrame, max_age: int = 7) -> DataFrame:
-    """Quote-bar features of completed days before the signal, at most a week old."""
-    k = ["_k"]
+def fx_features(signals: DataFrame, quotes: DataFrame, keys: Sequence[str] = ("asset",), max_age: int = 7) -> DataFrame:
+    """Quote-bar features of completed days before the signal, at most a week old, per key of both sides."""
+    k = list(keys)
     w = ordered(k, "trade_date")
-    q = quotes.withColumn("_k", F.lit(1)).withColumn("mid", (F.col("close") + F.col("ask")) / 2).withColumn("_r", growth(F.col("mid"), w))
+    q = quotes.withColumn("mid", (F.col("close") + F.col("ask")) / 2).withColumn("_r", growth(F.col("mid"), w))
     m = F.col("mid")
     cols = {
         "return_1": F.col("_r"), "return_5": growth(m, w, 5), "return_20": growth(m, w, 20), "volatility_20": full(F.col("_r"), 20, F.stddev_samp, w),
         "bid_range": F.try_divide(F.col("high") - F.col("low"), F.lag("close").over(w)), "close_spread": (F.col("ask") - F.col("close")) / m}
-    feats = q.select("_k", F.col("trade_date").alias("_q"), *[c.alias(f"fx_{n}") for n, c in cols.items()])
-    out = asof_join(signals.withColumn("_k", F.lit(1)), feats, k, "trade_date", "_q", [f"fx_{n}" for n in cols], True, "fx_source_date", max_age, span_days=120)
-    return out.drop("_k").withColumn("fx_source_age_days", F.datediff("trade_date", "fx_source_date")).withColumn(
+    feats = q.select(*k, F.col("trade_date").alias("_q"), *[c.alias(f"fx_{n}") for n, c in cols.items()])
+    out = asof_join(signals, feats, k, "trade_date", "_q", [f"fx_{n}" for n in cols], True, "fx_source_date", max_age, span_days=120)
+    return out.withColumn("fx_source_age_days", F.datediff("trade_date", "fx_source_date")).withColumn(
         "fx_available", all_known(*[F.col(f"fx_{n}") for n in cols]))
 
 
@@ -201,7 +201,7 @@ def global_risk_features(signals: DataFrame, closes: DataFrame, assets: Sequence
     return wide.withColumn("global_available", all_known(*[F.col(f"{x}_{n}") for x in assets for n in RISK]))
 
 
-def foreign_close_features(signals: DataFrame, bars: DataFrame, policy: str, hour: int = 18, prefix: str = "foreign_") -> DataFrame:
+def foreign_close_features(signals: DataFrame, bars: DataFrame, policy: str, hour: int = 18, prefix: str = "foreign_", keys: Sequence[str] = ("asset",)) -> DataFrame:
     """A foreign market's price block under three timing policies.
 
     previous_available: everything strictly earlier, renamed _lag1.  current_prices:
@@ -210,20 +210,19 @@ def foreign_close_features(signals: DataFrame, bars: DataFrame, policy: str, hou
     """
     if policy != "previous_available":
         check_policy("foreign_close", 0, hour)
-    k = ["_k"]
-    block = Q.price_features(bars.withColumn("_k", F.lit(1)), k, prefix).withColumnRenamed("trade_date", "_q")
+    k = list(keys)
+    block = Q.price_features(bars, k, prefix).withColumnRenamed("trade_date", "_q")
     prices = [c for c in block.columns if c.startswith(prefix) and not c.endswith("vol_chg")]
     vol = f"{prefix}vol_chg"
-    left = signals.withColumn("_k", F.lit(1))
     strict = policy == "previous_available"
-    out = asof_join(left, block, k, "trade_date", "_q", prices, strict, "price_source_date", span_days=120)
+    out = asof_join(signals, block, k, "trade_date", "_q", prices, strict, "price_source_date", span_days=120)
     if policy != "augment_current_prices":
         out = asof_join(out, block, k, "trade_date", "_q", [vol], True, "volume_source_date", span_days=120)
         out = out.withColumnRenamed(vol, f"{vol}_lag1")
     if strict:
         for c in prices:
             out = out.withColumnRenamed(c, f"{c}_lag1")
-    return out.drop("_k")
+    return out
 
 
 def intraday_features(signals: DataFrame, paths: DataFrame, keys: Sequence[str] = ("series_id",), hour: int = 18) -> DataFrame:
@@ -282,8 +281,8 @@ def trend_features(signals: DataFrame, daily: DataFrame, calendar: DataFrame, ho
 
 
 def index_context_features(target: DataFrame, others: DataFrame, assets: Sequence[str], asset: str = "series_id") -> DataFrame:
-    """Price block of several indices beside a target with their relative returns."""
-    own = Q.core_features(target.withColumn("_k", F.lit(1)), ["_k"]).select("trade_date", "return_1", "momentum_5")
+    """Price block of several indices beside each target series with their relative returns."""
+    own = Q.core_features(target, [asset]).select(asset, "trade_date", "return_1", "momentum_5")
     block = Q.price_features(others.where(F.col(asset).isin(*assets)), [asset])
     names = [c for c in block.columns if c not in (asset, "trade_date")]
     wide = block.groupBy("trade_date").agg(*[F.max(F.when(F.col(asset) == a, F.col(n))).alias(f"{i}_{n}") for i, a in enumerate(assets, 1) for n in names])

@@ -89,6 +89,14 @@ def index_series(spark: SparkSession, root: str) -> DataFrame:
     return bars.withColumn("pre_close", F.lag("close").over(ordered(["series_id"], "trade_date")))
 
 
+ASSETS = ("A", "N", "R")
+
+
+def each_asset(signals: DataFrame) -> DataFrame:
+    """Every signal once for each external series."""
+    return signals.withColumn("asset", F.explode(F.array(*map(F.lit, ASSETS))))
+
+
 def external_series(spark: SparkSession, root: str) -> DataFrame:
     """Three daily quote series on their own calendar: bid/ask style fields plus closes and amounts."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")

@@ -29,7 +29,7 @@ def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
 
 def read_raw_days(spark: SparkSession, pattern: str, schema: T.StructType, date: str = "trade_date") -> tuple[DataFrame, DataFrame]:
     """Scan one file per session and split rows by whether their date equals the file's."""
-    raw = read_table(spark, pattern, schema).select("*", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1).alias("file_session"))
+    raw = read_table(spark, pattern, schema).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"(\d{8})(?=[^/]*/[^/]*$|[^/]*$)", 1).alias("file_session"))
     same = F.date_format(date, "yyyyMMdd") == F.col("file_session")
     return raw.where(same), raw.where(~F.coalesce(same, F.lit(False)))
 
@@ -165,6 +165,13 @@ def manifest_differences(stored: DataFrame, current: DataFrame) -> DataFrame:
     return j.withColumn("rule", rule).where(F.col("rule").isNotNull()).select("file", "rule")
 
 
+def content_hash(*columns: str) -> Column:
+    """Order-free hash of a group's rows: their count and the sums of four parts of each row's sha256, so partial sums suffice."""
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    half = [F.sum(F.conv(F.substring(row, i, 8), 16, 10).cast("bigint")) for i in (1, 17, 33, 49)]
+    return F.sha2(F.concat_ws("/", F.count(F.lit(1)), *half), 256)
+
+
 def days_to_fetch(wanted: DataFrame, landed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Wanted keys with no landed copy of the same content hash."""
     return wanted.join(landed.select(*keys, "sha256"), [*keys, "sha256"], "left_anti")
