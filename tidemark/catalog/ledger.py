@@ -249,8 +249,7 @@ def g17(spark, d):
     i = D.index_series(spark, d).select("series_id", "trade_date", "close")
     changed = (F.dayofmonth("trade_date") == 13) & (F.year("trade_date") == 1997)
     out, bad = G.reseed(i.where(F.col("trade_date") <= CUT), i.withColumn("close", F.when(changed, F.col("close") + 1).otherwise(F.col("close"))), KEY, "trade_date", ["close"])
-    n = bad.agg(F.count("*").alias("conflicts")).withColumn("_k", F.lit(1))
-    return out.withColumn("_k", F.lit(1)).join(n, "_k")
+    return out.withColumn("conflicts", bad.agg(F.count("*")).scalar())
 
 
 @query("g18_replay_verification", SKS + "rule:s", S.with_(S.STREAMS, PLAN) + "SELECT *, CASE status WHEN 'drifted' THEN 'different' ELSE 'not_in_ledger' END AS rule FROM plan WHERE status <> 'matching'")

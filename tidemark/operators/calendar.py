@@ -84,8 +84,8 @@ def covered_sessions(days: DataFrame, start: str, end: str) -> DataFrame:
     """Open sessions of a day table between two dates, empty unless every day is known."""
     grid = days.sparkSession.sql(f"SELECT explode(sequence(DATE'{start}', DATE'{end}')) AS cal_date")
     joined = grid.join(days.select("cal_date", "is_open"), "cal_date", "left")
-    gaps = joined.agg(F.count(F.when(F.col("is_open").isNull(), 1)).alias("_gaps"))
-    return joined.join(gaps, F.col("_gaps") == 0).where("is_open = 1").select(F.col("cal_date").alias("trade_date"))
+    gaps = joined.agg(F.count(F.when(F.col("is_open").isNull(), 1))).scalar()
+    return joined.where((gaps == 0) & (F.col("is_open") == 1)).select(F.col("cal_date").alias("trade_date"))
 
 
 def invalid_calendar(days: DataFrame) -> DataFrame:
@@ -96,16 +96,6 @@ def invalid_calendar(days: DataFrame) -> DataFrame:
 
 def missing_sessions(df: DataFrame, calendar: DataFrame, first: int | None = None) -> DataFrame:
     """Calendar sessions within the frame's span for which it has no row."""
-    b = df.join(calendar, "trade_date").agg(F.min("session_no").alias("_lo"), F.max("session_no").alias("_hi"))
-    span = calendar.join(b, F.col("session_no").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    b = df.join(calendar, "trade_date").agg(F.struct(F.min("session_no").alias("lo"), F.max("session_no").alias("hi"))).scalar()
+    span = calendar.where(F.col("session_no").between(b["lo"], b["hi"]))
     return span.join(df.select("trade_date").distinct(), "trade_date", "left_anti")
-
-
-def required_span(signals: DataFrame, calendar: DataFrame, warmup: int, lag: int = 0) -> DataFrame:
-    """Calendar rows a feature job must read to serve the signals."""
-    b = signals.join(calendar, "trade_date").agg((F.min("session_no") - warmup - lag).alias("_lo"), (F.max("session_no") - lag).alias("_hi"))
-    return calendar.join(b, F.col("session_no").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-
-
-def numbered_rows(df: DataFrame, keys: Sequence[str], order: str = "trade_date", name: str = "pos") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(ordered(keys, order)))

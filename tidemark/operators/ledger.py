@@ -119,21 +119,21 @@ def inherited_times(candidate: DataFrame, previous: DataFrame, keys: Sequence[st
 
 def extend_context(frozen: DataFrame, provider: DataFrame, calendar: DataFrame, columns: Sequence[str], date: str = "trade_date") -> tuple[DataFrame, DataFrame]:
     """Only the sessions after the frozen end, and the boundary row if it disagrees."""
-    end = frozen.agg(F.max(date).alias("_end"))
-    new = provider.join(calendar.select(date), date, "left_semi").join(frozen.select(date), date, "left_anti").join(end, F.col(date) > F.col("_end")).drop("_end")
+    end = frozen.agg(F.max(date)).scalar()
+    new = provider.join(calendar.select(date), date, "left_semi").join(frozen.select(date), date, "left_anti").where(F.col(date) > end)
     same = F.lit(True)
     for c in columns:
         same = same & close_to(F.col(f"_p.{c}"), F.col(f"_f.{c}"), RTOL, ATOL)
-    edge = frozen.join(end, F.col(date) == F.col("_end")).select(date, F.struct(*columns).alias("_f")).join(provider.select(date, F.struct(*columns).alias("_p")), date)
+    edge = frozen.where(F.col(date) == end).select(date, F.struct(*columns).alias("_f")).join(provider.select(date, F.struct(*columns).alias("_p")), date)
     return new.select(date, *columns), edge.where(~same).select(date)
 
 
 def freshness(published: DataFrame, calendar: DataFrame, now: Column, hour: int, minute: int, keys: Sequence[str]) -> DataFrame:
     """Expected as-of session at `now` against the last published one."""
     day = F.when((F.hour(now) * 60 + F.minute(now)) >= hour * 60 + minute, F.to_date(now)).otherwise(F.date_sub(F.to_date(now), 1))
-    expected = calendar.where(F.col("trade_date") <= day).agg(F.max("trade_date").alias("expected_as_of")).withColumn("_k", F.lit(1))
-    last = published.groupBy(*keys).agg(F.max("trade_date").alias("published_as_of")).withColumn("_k", F.lit(1))
-    return last.join(expected, "_k").drop("_k").withColumn("fresh", F.col("published_as_of") >= F.col("expected_as_of"))
+    expected = calendar.where(F.col("trade_date") <= day).agg(F.max("trade_date")).scalar()
+    last = published.groupBy(*keys).agg(F.max("trade_date").alias("published_as_of"))
+    return last.withColumn("expected_as_of", expected).withColumn("fresh", F.col("published_as_of") >= F.col("expected_as_of"))
 
 
 def publish_once(candidate: DataFrame, published: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,9 +150,9 @@ def atomic_dates(streams: DataFrame, stream: str, keys: Sequence[str], date: str
 def missed_sessions(calendar: DataFrame, ledger: DataFrame, now: Column, keys: Sequence[str]) -> DataFrame:
     """Open sessions not later than now and after each series' first entry that the ledger lacks."""
     span = ledger.groupBy(*keys).agg(F.min("trade_date").alias("_a"))
-    numbered = span.join(calendar.withColumnRenamed("trade_date", "_a"), "_a").select(*keys, F.col("session_no").alias("_lo")).withColumn("_k", F.lit(1))
-    last = calendar.where(F.col("trade_date") <= F.to_date(now)).agg(F.max("session_no").alias("_hi")).withColumn("_k", F.lit(1))
-    grid = numbered.join(last, "_k").select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("session_no")).join(calendar, "session_no")
+    numbered = span.join(calendar.withColumnRenamed("trade_date", "_a"), "_a").select(*keys, F.col("session_no").alias("_lo"))
+    last = calendar.where(F.col("trade_date") <= F.to_date(now)).agg(F.max("session_no")).scalar()
+    grid = numbered.withColumn("_hi", last).select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("session_no")).join(calendar, "session_no")
     return grid.select(*keys, "trade_date").join(ledger.select(*keys, "trade_date"), [*keys, "trade_date"], "left_anti")
 
 

@@ -71,22 +71,16 @@ LAYOUTS = ((r"^\d{8}$", "yyyyMMdd"), (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"
 def parse_majority(df: DataFrame, column: str, name: str = "parsed", share: float = 0.8) -> DataFrame:
     """Parse text dates by the layout most rows follow; day-first otherwise.
 
-    The layout shares are one aggregate row joined back, not a driver decision.
+    The layout shares are a scalar subquery, not a driver decision.
     """
     text = F.regexp_replace(F.trim(F.col(column)), r"\.0$", "")
     d = df.withColumn("_t", text)
-    rates = d.agg(*[F.avg(F.col("_t").rlike(rx).cast("double")).alias(f"_r{i}") for i, (rx, _) in enumerate(LAYOUTS)]).withColumn("_k", F.lit(1))
-    j = d.withColumn("_k", F.lit(1)).join(rates, "_k")
+    rates = d.agg(F.array(*[F.avg(F.col("_t").rlike(rx).cast("double")) for rx, _ in LAYOUTS]).alias("r")).scalar()
+    j = d.withColumn("_r", rates)
     out = F.coalesce(F.try_to_date("_t", "d/M/yyyy"), F.try_to_date("_t", "d-M-yyyy"))
     for i, (_, fmt) in reversed(list(enumerate(LAYOUTS))):
-        out = F.when(F.col(f"_r{i}") > share, F.try_to_date("_t", fmt)).otherwise(out)
-    return j.withColumn(name, out).drop("_k", "_t", *[f"_r{i}" for i in range(len(LAYOUTS))])
-
-
-def any_layout(column: Column) -> Column:
-    """Parse one value by any accepted layout."""
-    t = F.regexp_replace(F.trim(column), r"\.0$", "")
-    return F.coalesce(*[F.when(t.rlike(rx), F.try_to_date(t, fmt)) for rx, fmt in LAYOUTS])
+        out = F.when(F.col("_r")[i] > share, F.try_to_date("_t", fmt)).otherwise(out)
+    return j.withColumn(name, out).drop("_t", "_r")
 
 
 def canonical_features(df: DataFrame) -> tuple[DataFrame, DataFrame]:
