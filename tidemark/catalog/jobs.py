@@ -289,11 +289,12 @@ def e21(spark, d):
     return E.prospective_audit(x.where("stream_id = 'momentum'"), x.where("stream_id = 'base'"), SID, F.col("origin") == "live")
 
 
-@query("e22_replay_and_pending", "series_id:s signal_date:d record_type:s direction:s", S.with_(S.STREAMS) + "SELECT series_id, trade_date AS signal_date, CASE WHEN real_pct_change IS NULL THEN 'pending' ELSE 'validated' END AS record_type, CASE predicted_label WHEN 1 THEN 'up' ELSE 'down' END AS direction FROM base QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY trade_date DESC) <= 253")
+@query("e22_replay_and_pending", "series_id:s signal_date:d record_type:s direction:s complete:b", S.with_(S.STREAMS) + "SELECT *, count(*) OVER w = 253 AND count(*) FILTER (record_type = 'validated') OVER w = 252 AND max_by(record_type, signal_date) OVER w = 'pending' AS complete FROM (SELECT series_id, trade_date AS signal_date, CASE WHEN real_pct_change IS NULL THEN 'pending' ELSE 'validated' END AS record_type, CASE predicted_label WHEN 1 THEN 'up' ELSE 'down' END AS direction FROM base QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY trade_date DESC) <= 253) WINDOW w AS (PARTITION BY series_id)")
 def e22(spark, d):
-    """The last 252 validated sessions and the pending forecast."""
-    tail, _ = B.replay_with_pending(base_stream(spark, d), SID, 252)
-    return A.public_projection(tail)
+    """The last 252 validated sessions and the pending forecast, and whether a series has all of them."""
+    tail, short = B.replay_with_pending(base_stream(spark, d), SID, 252)
+    flagged = A.public_projection(tail).join(short.select("series_id", F.lit(False).alias("complete")), "series_id", "left")
+    return flagged.fillna(True, ["complete"])
 
 
 @query("e23_single_stream_publish", "action:s series_id:s rows:i",

@@ -179,13 +179,13 @@ def g10(spark, d):
 
 @query("g11_stateful_momentum", "code:i session_no:i mom_3:f mom_5:f mom_10:f", S.with_(S.DENSE, TREND_DAY) + "SELECT code, session_no, m3 AS mom_3, m5 AS mom_5, m10 AS mom_10 FROM tm")
 def g11(spark, d):
-    """Momentum kept in streaming state, two batches of sessions."""
+    """Momentum kept in streaming state over several batches; the files of a code's earlier sessions are older."""
     p = D.dense_panel(spark, d)
     rows = active_rows(p).join(calendar_of(p), "trade_date").where("ret > -1").select("code", F.col("session_no").cast("int").alias("session_no"), "ret")
     root = f"{shared_dir(spark)}/landed/momentum-{uuid.uuid4().hex}"
-    rows.where("session_no <= 15").coalesce(1).write.parquet(root)
-    rows.where("session_no > 15").coalesce(1).write.mode("append").parquet(root)
-    s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    rows.where("session_no <= 15").repartition(8, "code").write.parquet(root)
+    rows.where("session_no > 15").repartition(8, "code").write.mode("append").parquet(root)
+    s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(root)
     return W.run_to_table(streaming_momentum(s, (3, 5, 10)), "momentum")
 
 
