@@ -29,9 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def leave_with_session(spark: SparkSession, path: str) -> None:
+    """Have the driver delete a folder when it ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)  # noqa: SLF001
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return a scan of the written files."""
+    """Write df to the shared folder and return a scan of the written files, which last as long as the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    leave_with_session(spark, path)
     return spark.read.schema(df.schema).parquet(path)
