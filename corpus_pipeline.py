@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import apportion, bottom_k, multi_instance, prefix_join, super_kmers
 from tidemark.llm.tables import fresh, without
-from tidemark.sources.staging import shared_dir
+from tidemark.sources.staging import leave_with_session, shared_dir
 
 TOXIC = 0.3
 SHINGLE_WORDS = 5
@@ -70,4 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+    leave_with_session(spark, folder)
     return STAGES[-1][1](spark, docs, sf_dir)
