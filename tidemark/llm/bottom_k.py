@@ -8,12 +8,14 @@
    sets: the exact prefix).  Those values key the inverted lists.
 3. Links are sought so that no list is paired out.  First each list's smallest
    id is compared with the rest (a star), then one picked by a hash of list and
-   id with those that are still apart from it.  What is then left apart in some
-   list is compared inside the task that holds the list, against everything in
-   other components; a long list is cut into parts that meet two at a time.
-4. Every candidate passes the union-sketch estimate (t less five standard
-   deviations), then exact Jaccard on full sets.
-5. Links make components.
+   id with those that are still apart from it.  Those pairs pass the union-sketch
+   estimate (t less five standard deviations), then exact Jaccard on full sets;
+   links make components.
+4. Lists with one smallest id form a group (the lists of one family of copies
+   mostly have the same), which every pair of a list is in.  Where a group still
+   holds several components, its full sets meet in a task, or in tasks for two
+   parts of LIST_PART each, which gives only as many links as join components.
+5. All links make the final components.
 
 Pairs that no candidate could connect anew are not compared: membership, not the
 list of all links, is the result, and it is the same.  The chance that sketches
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected
+from tidemark.llm.tables import bounded
 from tidemark.llm.text import Words, blocks, shingles
 from tidemark.sources.staging import stage
 
@@ -40,6 +43,7 @@ K = 64
 PERCENT = 80
 LIST_PART = 4096
 DEVIATIONS = 5
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -136,27 +140,30 @@ def _compare(pairs: DataFrame, table: DataFrame, column: str, test) -> DataFrame
     return met.mapInArrow(work, "a bigint, b bigint")
 
 
-def _apart(group: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
-    """Likely pairs of one list (or of two parts of it) between different components."""
-    group = group.drop_duplicates("id").reset_index(drop=True)
-    sets = [np.frombuffer(s, np.uint64) for s in group["sketch"]]
-    ids, n, comp = (group[c].to_numpy() for c in ("id", "n", "component"))
-    value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+def _joining(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links, by exact Jaccard on full sets, that join components of one group; as many as it takes, not all of them."""
+    group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
+    sets = [np.frombuffer(f, np.uint64) for f in group["full"]]
+    ids, size = group["id"].to_numpy(), np.array([len(x) for x in sets])
+    names, comp, count = np.unique(group["component"].to_numpy(), return_inverse=True, return_counts=True)
+    value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(value, kind="stable")
     value, row = value[order], row[order]
-    names, counts = np.unique(comp, return_counts=True)
-    main = names[np.argmax(counts)]
     out = []
-    for x in np.flatnonzero(comp != main):
-        low, high = np.searchsorted(value, sets[x], side="left"), np.searchsorted(value, sets[x], side="right")
-        met = np.concatenate([row[a:b] for a, b in zip(low, high)])
-        shared = np.bincount(met, minlength=len(sets))
-        fits = (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent) & (comp != comp[x]) & ((comp == main) | (ids > ids[x])) & (shared * 2 >= np.minimum(k // 2, np.minimum(n, n[x])))
-        out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in np.flatnonzero(fits) if _likely(sets[x], sets[y], k, percent)]
+    for x in np.flatnonzero(comp != np.argmax(count)):
+        own = sets[x]
+        low = np.searchsorted(value, own, side="left")
+        span = np.searchsorted(value, own, side="right") - low
+        at = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
+        both = np.bincount(row[at], minlength=len(sets))
+        for y in np.flatnonzero((100 * both >= percent * (size + len(own) - both)) & (comp != comp[x])):
+            if comp[y] != comp[x]:
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                comp[comp == comp[y]] = comp[x]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = PERCENT, k: int = K) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = PERCENT, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     Two documents are linked if their sets have 100 * intersection >= percent *
@@ -170,7 +177,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     drawn = stage(sketches(text, shingle_words, k), "sketches")
     classes = drawn.where("n > 0 AND id IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep"))
-    heads = drawn.join(classes.withColumnRenamed("set", "_set"), (F.col("set") == F.col("_set")) & (F.col("id") == F.col("rep"))).select("id", "n", "sketch").dropDuplicates(["id"])
+    heads = drawn.join(classes.withColumnRenamed("set", "_set"), (F.col("set") == F.col("_set")) & (F.col("id") == F.col("rep"))).select("id", "n", "set", "sketch").dropDuplicates(["id"])
     reps = stage(heads.where(F.col("n") * (100 - percent) >= percent), "representatives")  # a smaller set has no similar set but itself
     lists = stage(inverted_lists(reps, k, percent), "lists")
 
@@ -178,8 +185,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch, sets in _each_set(batches, shingle_words):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "full"])
 
-    listed = stage(lists.select(F.col("id").alias("_id")).distinct(), "listed")
-    sets = stage(text.join(listed, F.col("id") == F.col("_id")).select("id", "text").mapInArrow(full, "id bigint, full binary").dropDuplicates(["id"]), "full-sets")
+    listed = bounded(lists.select(F.col("id").alias("_id")).distinct().join(reps.select("id", "set"), F.col("_id") == F.col("id")).select("_id", F.col("set").alias("_set")), "listed")
+    some = F.broadcast(listed) if listed.count() <= broadcast_rows else listed
+
+    def full(batches):
+        for batch, sets in _each_set(batches, shingle_words):
+            raw = [x.tobytes() for x in sets]
+            meant = pa.array([xxhash.xxh3_128_digest(r) == w for r, w in zip(raw, batch.column("_set").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], names=["id", "full"]).filter(meant)
+
+    sets = stage(text.join(some, F.col("id") == F.col("_id")).select("id", "text", "_set").mapInArrow(full, "id bigint, full binary"), "full-sets")
 
     def exact(x: np.ndarray, y: np.ndarray) -> bool:
         both = len(np.intersect1d(x, y, assume_unique=True))
@@ -204,15 +219,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = at.join(hubs, F.col("value") == F.col("_v")).where((F.col("component") != F.col("_hc")) & sized).select(F.least("_hub", "id").alias("a"), F.greatest("_hub", "id").alias("b")).distinct()
     links = links.unionByName(stage(_compare(stage(_compare(stars, reps, "sketch", near), "likely"), sets, "full", exact), "verified"))
 
-    at = placed()
-    mixed = at.groupBy(F.col("value").alias("_v")).agg(F.countDistinct("component").alias("_c")).where("_c > 1").select("_v")
-    parts = F.ceil(F.col("entries") / LIST_PART).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    left = at.join(mixed, F.col("value") == F.col("_v")).join(reps.select(F.col("id").alias("_id"), "sketch"), F.col("id") == F.col("_id"))
-    left = left.select("value", "id", "n", "component", "sketch", mine.alias("mine"), other.alias("other")).withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")})
-    pairs = left.select("value", "p", "q", "id", "n", "component", "sketch").groupBy("value", "p", "q").applyInPandas(lambda g: _apart(g, k, percent), "a bigint, b bigint").distinct()
-    links = links.unionByName(stage(_compare(pairs, sets, "full", exact), "verified"))
+    near_by = placed().select("first", "id", "component").distinct()
+    mixed = near_by.groupBy(F.col("first").alias("_f")).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi")
+    parts = F.ceil(F.col("_n") / LIST_PART).cast("bigint")
+    mine, other = F.pmod(F.xxhash64("id"), parts), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    dealt = near_by.join(mixed, F.col("first") == F.col("_f")).select("first", "id", "component", mine.alias("mine"), other.alias("other"))
+    dealt = dealt.select("first", "id", "component", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")).join(sets.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
+    joined = dealt.select("first", "p", "q", "id", "component", "full").groupBy("first", "p", "q").applyInPandas(lambda g: _joining(g, percent), "a bigint, b bigint")
+    links = links.unionByName(stage(joined.distinct(), "verified"))
 
     labels = connected(links).select(F.col("node").alias("_node"), "component")
     whole = classes.join(labels, F.col("rep") == F.col("_node"), "left").select(F.col("set").alias("_set"), F.coalesce("component", "rep").alias("_component"))
