@@ -229,3 +229,23 @@ def test_pages(spark):
     assert page_template.extract(frame.limit(0)).count() == 0
     slots = {r.host: r for r in page_template.templates(frame).collect()}
     assert slots["h1.example.org"].main.endswith("/main/article") and slots["h1.example.org"].root_tokens > 8
+
+
+@pytest.mark.parametrize("mark", ['id="post-{k}"', 'class="post-{k} entry"', 'id="{w}"'])
+def test_pages_with_labels_of_their_own(spark, mark):
+    body = '<html><body><div class="top">Tagline of the site</div><article {m}><h1>Head {k}</h1><p>' + "word " * 40 + "{k}</p></article><div class=\"tail\">Made with care {k}</div></body></html>"
+    names = ["".join(chr(97 + int(d)) for d in str(k * k + 1)) for k in range(40)]
+    pages = [(k, f"http://h.example.org/{k}", body.replace("{m}", mark).replace("{k}", str(k)).replace("{w}", names[k])) for k in range(40)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in page_template.extract(frame).collect()}
+    assert got == {k: f"Head {k}\n" + "word " * 40 + str(k) for k in range(40)}
+    assert page_template.recurring(page_template.occurrence_vectors(frame)).count() < 20
+
+
+def test_pages_with_articles_in_a_wide_slot(spark):
+    lone = "<html><body><div class='top'>Tagline</div><div class='c'>{a}</div></body></html>"
+    text = "word " * 30
+    pages = [(k, f"http://h.example.org/{k}", lone.replace("{a}", f"<article><p>{text}{k}</p></article><p>Aside {k}</p>" if k < 3 else f"<p>{text}{k}</p>")) for k in range(10)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in page_template.extract(frame).collect()}
+    assert got == {k: f"{text}{k}" for k in range(10)}

@@ -55,29 +55,33 @@ MARKUP = re.compile(
 )
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
+ARTICLE = re.compile(r"/article(?=[./#]|$)")
+NUMBERS = re.compile(r"[\d/]+")
 
 
 class Element:
-    """An open element; `left_out` is the path of the innermost element around it, or itself, whose role is to be left out."""
+    """An open element; `bare` is its path without labels, `left` the depth of the innermost element around it, or itself, whose role is to be left out."""
 
-    __slots__ = ("tag", "path", "left_out")
+    __slots__ = ("tag", "path", "bare", "depth", "left", "parent")
 
-    def __init__(self, tag: str, path: str, left_out: str):
-        self.tag, self.path, self.left_out = tag, path, left_out
+    def __init__(self, tag: str, label: str, rejected: bool, parent: Element | None):
+        self.tag, self.parent = tag, parent
+        self.path, self.bare, self.depth = (f"{parent.path}/{label}", f"{parent.bare}/{tag}", parent.depth + 1) if parent else ("", "", 0)
+        self.left = self.depth if rejected else parent.left if parent else 0
 
 
 def _label(tag: str, rest: str) -> tuple[str, bool]:
-    """Token name of an element, and whether its role is one to leave out."""
+    """Token name of an element, without digits (they number pages), and whether its role is one to leave out."""
     names = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in NAMED.finditer(rest)} if rest else {}
     words = {w for k in ("class", "id") for w in PARTS.split(names.get(k, ""))}
     rejected = tag in REJECT_TAGS or names.get("role") in REJECT_ROLES or (tag not in ("html", "body", "main") and bool(words & REJECT_WORDS))
     mark = "." + names["class"].split()[0] if names.get("class", "").split() else "#" + names["id"] if names.get("id") else ""
-    return tag + mark[:40], rejected
+    return tag.replace("/", "") + NUMBERS.sub("", mark)[:40], rejected
 
 
 def parse(html: str) -> Iterator[tuple[str, Element | None, str, bool]]:
     """("open", element, "", False), ("break", element, "", False) and ("text", element, decoded text, inside a link) in page order; never fails."""
-    stack = [Element("", "", "")]
+    stack = [Element("", "", False, None)]
     links, place, n = 0, 0, len(html)
     while place < n:
         m = MARKUP.search(html, place)
@@ -128,9 +132,7 @@ def parse(html: str) -> Iterator[tuple[str, Element | None, str, bool]]:
         if tag in VOID or rest.endswith("/"):
             continue
         if tag in BLOCKS or rejected:
-            top = stack[-1]
-            path = f"{top.path}/{label}"
-            stack.append(Element(tag, path, path if rejected else top.left_out))
+            stack.append(Element(tag, label, rejected, stack[-1]))
             yield "open", stack[-1], "", False
 
 
@@ -139,55 +141,89 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].lower()
 
 
+def _runs(html: str) -> Iterator[tuple[Element, str | None, int]]:
+    """(element, None, 0) where one opens, (element, text, characters outside links) for a run of its text, in page order."""
+    part, plain, at = [], 0, None
+    for what, e, text, linked in parse(html):
+        if what == "text":
+            part.append(text)
+            plain += 0 if linked else len("".join(text.split()))
+            at = e
+            continue
+        if part:
+            yield at, "".join(part), plain
+            part, plain = [], 0
+        if what == "open":
+            yield e, None, 0
+    if part:
+        yield at, "".join(part), plain
+
+
 def _role(e: Element) -> bool:
     """Whether a token counts as left out; an article is judged by itself, whatever its wrappers are called."""
-    return e.left_out == e.path if e.tag in ("article", "main") else bool(e.left_out)
+    return e.left == e.depth if e.tag in ("article", "main") else e.left > 0
 
 
 def _tokens(html: str) -> dict[str, list]:
-    """Of each path: occurrences, characters of its own text outside and inside links, whether it is left out, its tag."""
-    found: dict[str, list] = {}
-    for what, e, text, linked in parse(html):
-        if what == "open":
-            found.setdefault(e.path, [0, 0, 0, _role(e), e.tag])[0] += 1
-        elif what == "text" and e.path:
-            size = len("".join(text.split()))
-            if size:
-                found.setdefault(e.path, [0, 0, 0, _role(e), e.tag])[2 if linked else 1] += size
+    """Of each path, and of each path without labels (marked *): occurrences, characters outside links in it and below, whether all of it is left out, its tag.  The page itself is the empty path."""
+    found: dict[str, list] = {"": [1, 0, False, ""]}
+    for e, text, plain in _runs(html):
+        if text is None:
+            for key in (e.path, "*" + e.bare):
+                t = found.setdefault(key, [0, 0, True, e.tag])
+                t[0] += 1
+                t[2] &= _role(e)
+        elif plain:
+            left = e.left
+            while e.parent:
+                if left <= e.depth:
+                    found[e.path][1] += plain
+                    found["*" + e.bare][1] += plain
+                e = e.parent
+            if not left:
+                found[""][1] += plain
     return found
 
 
-TOKEN_SCHEMA = "host string, path string, tag string, rejected boolean, pages bigint, least bigint, most bigint, v1 bigint, v2 bigint, plain bigint, linked bigint"
+TOKEN_SCHEMA = "host string, path string, tag string, rejected boolean, pages bigint, least bigint, most bigint, v1 bigint, v2 bigint, plain bigint"
+RECURS = 10  # tokens on less than one in so many of a host's pages are not looked at
 
 
 def occurrence_vectors(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path): pages with the token, its fewest and most occurrences, and two sums that stand for its occurrence vector."""
+    """(host, path): pages with the token, its fewest and most occurrences, two sums that stand for its occurrence vector, and the text below it."""
 
     def work(batches):
         for batch in batches:
             sums: dict[tuple, list] = {}
             for i, url, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 host = host_of(url)
-                for path, (count, plain, linked, rejected, tag) in _tokens(html or "").items():
+                for path, (count, plain, rejected, tag) in _tokens(html or "").items():
                     a, b = (xxhash.xxh64_intdigest(f"{i}:{count}", seed=s) >> 32 for s in (1, 2))
-                    s = sums.setdefault((host, path, tag, rejected), [0, count, count, 0, 0, 0, 0])
-                    s[:] = [s[0] + 1, min(s[1], count), max(s[2], count), s[3] + a, s[4] + b, s[5] + plain, s[6] + linked]
+                    s = sums.setdefault((host, path, tag), [rejected, 0, count, count, 0, 0, 0])
+                    s[:] = [s[0] and rejected, s[1] + 1, min(s[2], count), max(s[3], count), s[4] + a, s[5] + b, s[6] + plain]
             rows = [(*k, *v) for k, v in sums.items()]
             if rows:
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[c.split()[0] for c in TOKEN_SCHEMA.split(", ")]), preserve_index=False)
 
     each = pages.select(id_col, url_col, html_col).mapInArrow(work, TOKEN_SCHEMA)
-    return each.groupBy("host", "path", "tag", "rejected").agg(
-        F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"), F.sum("plain").alias("plain"), F.sum("linked").alias("linked")
+    return each.groupBy("host", "path", "tag").agg(
+        F.min("rejected").alias("rejected"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"), F.sum("plain").alias("plain")
     )
 
 
+def recurring(vectors: DataFrame) -> DataFrame:
+    """Tokens of hosts of several pages that are on several of them and on one in RECURS at least: no more than RECURS times the tokens of a page, however many pages a host has."""
+    several = stage(vectors.where("pages > 1"), "page-tokens")
+    return several.join(several.where("path = ''").select("host", F.col("pages").alias("n")), "host").where(F.col("pages") * RECURS >= F.col("n"))
+
+
 def _template(rows: pd.DataFrame) -> pd.DataFrame:
     """Classes of one host, nested into its template, and the path of the slot with the article."""
-    rows = rows.sort_values("path", ignore_index=True)
-    n = int(rows["pages"].max())
-    root = rows[(rows.pages == n) & (rows.least == 1) & (rows.most == 1)]
-    roots = set(root.path)
+    n, total = int(rows["n"].iloc[0]), int(rows.plain[rows.path == ""].sum())
+    rows = rows[rows.path != ""].sort_values("path", ignore_index=True)
+    once = rows[(rows.pages == n) & (rows.least == 1) & (rows.most == 1)]
+    labelled = rows[rows.path.str.startswith("/")]
+    roots = set(once.path)
 
     def slot(path: str) -> str:
         while path and path not in roots:
@@ -195,63 +231,75 @@ def _template(rows: pd.DataFrame) -> pd.DataFrame:
         return path
 
     nested = 0
-    for _, same in rows[~rows.path.isin(roots)].groupby(["pages", "v1", "v2"]):
+    for _, same in labelled[~labelled.path.isin(roots)].groupby(["pages", "v1", "v2"]):
         nested += len({slot(p) for p in same.path}) == 1
-    kept = rows[~rows.rejected]
-
-    def mass(path: str) -> int:
-        return int(kept[(kept.path == path) | kept.path.str.startswith(path + "/")].plain.sum())
-
+    kept = rows[~rows.rejected.astype(bool)]
     main = ""
     for tag in ("article", "main"):
         some = kept[(kept.tag == tag) & (kept.pages * 2 >= n)]
         if len(some):
-            order = [(-p, q not in roots, -mass(q), q.count("/"), q) for p, q in zip(some.pages, some.path)]
+            order = [(-p, q not in roots, q[0] == "*", -m, q.count("/"), q) for p, m, q in zip(some.pages, some.plain, some.path)]
             main = min(order)[-1]
             break
     else:
-        total = kept.plain.sum()
-        for path in root[~root.rejected].sort_values("path", key=lambda p: p.str.count("/")).path:
-            if total and mass(path) * 10 >= total * 7:
-                main = path
-    return pd.DataFrame({"host": [rows.host.iloc[0]], "main": [main], "pages": [n], "root_tokens": [len(root)], "nested_classes": [nested]})
+        some = kept[kept.path.isin(roots)]
+        wide = [(q.count("/"), q[0] != "*", q) for m, q in zip(some.plain, some.path) if total and m * 10 >= total * 7]
+        main = max(wide, default=("",))[-1]
+    return pd.DataFrame({"host": [rows.host.iloc[0] if len(rows) else ""], "main": [main], "pages": [n], "root_tokens": [sum(p[0] == "/" for p in roots)], "nested_classes": [nested]})
 
 
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per host: path of the article's slot (empty if none stands out), pages, tokens in the root class, valid nested classes.
+    """One row per host of several pages: path of the article's slot (empty if none stands out), pages, tokens in the root class, valid nested classes.
 
-    What meets in one group is the distinct paths of a host, not its pages.
+    What meets in one group is the recurring tokens of a host, not its pages or their own paths.
     """
-    return occurrence_vectors(pages, id_col, url_col, html_col).groupBy("host").applyInPandas(_template, "host string, main string, pages bigint, root_tokens bigint, nested_classes bigint")
+    met = recurring(occurrence_vectors(pages, id_col, url_col, html_col))
+    return met.groupBy("host").applyInPandas(_template, "host string, main string, pages bigint, root_tokens bigint, nested_classes bigint")
+
 
+def _within(e: Element, slot: str) -> bool:
+    path, slot = (e.bare, slot[1:]) if slot[:1] == "*" else (e.path, slot)
+    return path == slot or path.startswith(slot + "/")
 
-OWN_ARTICLE = re.compile(r"/(?:article|main)(?=[./#]|$)[^/]*")
 
+def _own(runs: list, slot: str) -> str:
+    """Path without labels of the page's own article, or else main, with the most text in the slot; empty if that is not half of what is in the slot."""
+    depth, inside = slot.count("/"), 0
+    own: dict[str, dict[str, int]] = {"article": {}, "main": {}}
+    for e, text, _ in runs:
+        size = len(text) - text.count(" ") if text else 0
+        if not size or not _within(e, slot):
+            continue
+        inside += size if e.left <= depth else 0
+        left, outer = e.left, {}
+        while e.depth > depth:
+            if e.tag in own and left <= e.depth and e.left != e.depth:
+                outer[e.tag] = e.bare
+            e = e.parent
+        for tag, path in outer.items():
+            own[tag][path] = own[tag].get(path, 0) + size
+    for found in own.values():
+        best = max(found, key=lambda k: (found[k], k), default="")
+        if best and found[best] * 2 >= inside:
+            return "*" + best
+    return ""
 
-def _slot_end(e: Element, main: str) -> int:
-    """Length of the part of e's path that leads to the slot; 0 if e is outside."""
-    if main:
-        return len(main) if e.path == main or e.path.startswith(main + "/") else 0
-    m = OWN_ARTICLE.search(e.path)
-    return m.end() if m else 0
+
+def _slot_text(runs: list, slot: str) -> str:
+    depth = slot.count("/")
+    blocks = (" ".join(text.split()) for e, text, _ in runs if text and e.left <= depth and _within(e, slot))
+    return "\n".join(b for b in blocks if b)
 
 
 def main_text(html: str, main: str) -> str:
-    """Text of the slot at path `main`; blocks are joined by a line feed."""
-    for inside in (*((lambda e: 0 < _slot_end(e, main) and len(e.left_out) <= len(main),) if main else ()), lambda e: len(e.left_out) < _slot_end(e, ""), lambda e: not e.left_out):
-        blocks, part, seen = [], [], False
-        for what, e, text, _ in parse(html):
-            if what == "text":
-                if inside(e):
-                    part.append(text)
-                    seen = seen or not text.isspace()
-            elif part:
-                blocks.append(" ".join("".join(part).split()))
-                part = []
-        if seen:
-            blocks.append(" ".join("".join(part).split()))
-            return "\n".join(b for b in blocks if b)
-    return ""
+    """Text of the slot at path `main`, or of the page's own article in it; blocks are joined by a line feed."""
+    runs = list(_runs(html))
+    whole = main and not ARTICLE.search(main)
+    for slot in filter(None, (_own(runs, main) if whole else "", main, _own(runs, ""))):
+        found = _slot_text(runs, slot)
+        if found:
+            return found
+    return _slot_text(runs, "")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
