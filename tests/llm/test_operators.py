@@ -249,3 +249,19 @@ def test_pages_with_articles_in_a_wide_slot(spark):
     frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in page_template.extract(frame).collect()}
     assert got == {k: f"{text}{k}" for k in range(10)}
+
+
+def test_pages_by_classes(spark):
+    """Text of the template goes whatever its element is called, an article's part stays whatever it is called, and the slot is told by its text."""
+    base = "<html><body><article><p>Teaser {k}</p></article><div class='c'><h1>Head {k}</h1><p>Please mind the gap</p><p>{a}</p>{s}<ul>{l}</ul><div class='related'>See {k}</div><p>Send to a <b>friend</b></p></div></body></html>"
+    pages = []
+    for k in range(8):
+        items = "".join(f"<li><p>item {k} {i}</p><p>Read more</p></li>" for i in range(k % 3 + 1))
+        part = "<p class='social'>A social part</p>" if k == 3 else "<p>Maybe</p>" * (k % 3)
+        pages.append((k, f"http://h.example.org/{k}", base.replace("{a}", f"word{k} " * 60).replace("{s}", part).replace("{l}", items).replace("{k}", str(k))))
+    pages += [(k + 20, "http://copies.example.org/", "<html><body><article><p>Copied text</p></article></body></html>") for k in range(6)]
+    got = {r.page_id: r.text for r in page_template.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    for k in range(8):
+        part = ["A social part"] if k == 3 else ["Maybe"] * (k % 3)
+        assert got[k].split("\n") == [f"Head {k}", (f"word{k} " * 60).strip(), *part, *(f"item {k} {i}" for i in range(k % 3 + 1))], k
+    assert all(got[k + 20] == "Copied text" for k in range(6))
