@@ -17,7 +17,7 @@ from tidemark.sources.staging import shared_dir
 from tidemark.sources.streams import base_stream, forecast_streams
 from tidemark.streaming import windows as W
 from tidemark.streaming.history import streaming_momentum
-from tidemark.streaming.settlement import settle_stream
+from tidemark.streaming.settlement import settle_rest, settle_stream
 
 SID = ["series_id"]
 KEY = ["series_id", "trade_date"]
@@ -122,16 +122,16 @@ def g6(spark, d):
 @query("g6_settlement_stream", "series_id:s trade_date:d target_date:d actual_return:f correct:b",
        S.with_(S.STREAMS) + "SELECT s.series_id, s.trade_date, target_date, real_pct_change AS actual_return, correct FROM base s JOIN (SELECT series_id, trade_date, lead(trade_date) OVER (PARTITION BY series_id ORDER BY trade_date) AS target_date FROM idx) USING (series_id, trade_date) WHERE target_date - trade_date <= 14")
 def g6s(spark, d):
-    """The same as a stream-stream join with a bounded settlement delay."""
+    """The same as a stream-stream join with a bounded settlement delay; what it leaves is settled by a batch join."""
     t, i = targets(spark, d)
     root = f"{shared_dir(spark)}/landed/settle-{uuid.uuid4().hex}"
     ts = lambda c: F.col(c).cast("timestamp")
     base_stream(spark, d).drop("real_pct_change").join(t, KEY).where("target_date IS NOT NULL").select("series_id", ts("trade_date").alias("signal_at"), ts("target_date").alias("target_at"), F.col("close").alias("base_close"), "predicted_label").write.parquet(f"{root}/forecasts")
     i.select("series_id", ts("trade_date").alias("close_at"), "close").write.parquet(f"{root}/closes")
-    f = spark.readStream.schema(spark.read.parquet(f"{root}/forecasts").schema).parquet(f"{root}/forecasts")
-    c = spark.readStream.schema(spark.read.parquet(f"{root}/closes").schema).parquet(f"{root}/closes")
-    out = W.run_to_table(settle_stream(f, c), "settlement")
-    return out.where(F.col("actual_return").isNotNull()).select("series_id", F.to_date("signal_at").alias("trade_date"), F.to_date("target_at").alias("target_date"), "actual_return", "correct")
+    landed = [spark.read.parquet(f"{root}/{name}") for name in ("forecasts", "closes")]
+    f, c = (spark.readStream.schema(table.schema).parquet(f"{root}/{name}") for table, name in zip(landed, ("forecasts", "closes")))
+    out = settle_rest(W.run_to_table(settle_stream(f, c), "settlement"), *landed)
+    return out.select("series_id", F.to_date("signal_at").alias("trade_date"), F.to_date("target_at").alias("target_date"), "actual_return", "correct")
 
 
 def stamped(spark, d):

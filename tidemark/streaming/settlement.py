@@ -17,6 +17,20 @@ def settle_stream(forecasts: DataFrame, closes: DataFrame, max_delay: str = "14
     c = closes.withWatermark("close_at", max_delay).withColumnRenamed("series_id", "close_series")
     on = (F.col("series_id") == F.col("close_series")) & (F.col("target_at") == F.col("close_at")) & (F.col("close_at") >= F.col("signal_at")) & (
         F.col("close_at") <= F.col("signal_at") + F.expr(f"INTERVAL {max_delay}"))
-    j = f.join(c, on, "leftOuter")
+    return _outcome(f.join(c, on, "leftOuter"))
+
+
+def settle_rest(settled: DataFrame, forecasts: DataFrame, closes: DataFrame) -> DataFrame:
+    """Every forecast once: as the stream settled it, or else by the close of its target session however late, or with a null outcome.
+
+    settled: rows of settle_stream; forecasts and closes are the tables that it read.
+    """
+    done = settled.where("actual_return IS NOT NULL")
+    rest = forecasts.join(done.select("series_id", "signal_at"), ["series_id", "signal_at"], "left_anti")
+    c = closes.withColumnRenamed("series_id", "close_series")
+    return done.unionByName(_outcome(rest.join(c, (F.col("series_id") == F.col("close_series")) & (F.col("target_at") == F.col("close_at")), "left")))
+
+
+def _outcome(joined: DataFrame) -> DataFrame:
     r = F.col("close") / F.col("base_close") - 1
-    return j.select("series_id", "signal_at", "target_at", "predicted_label", r.alias("actual_return"), (F.col("predicted_label") == (r > 0).cast("int")).alias("correct"))
+    return joined.select("series_id", "signal_at", "target_at", "predicted_label", r.alias("actual_return"), (F.col("predicted_label") == (r > 0).cast("int")).alias("correct"))
