@@ -117,3 +117,19 @@ def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence that each document declares."""
     return licence_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_addressable_codes")
+def op11_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and identifiers, read back from directly addressable codes."""
+    import uuid
+
+    import public_tokenizers
+
+    from tidemark.llm.addressable_codes import read_documents, write_codes
+    from tidemark.sources.staging import leave_with_session, shared_dir
+
+    folder = f"{shared_dir(spark)}/codes-{uuid.uuid4().hex}"
+    write_codes(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    leave_with_session(spark, folder)
+    return read_documents(spark, folder)
