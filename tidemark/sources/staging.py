@@ -35,10 +35,10 @@ def leave_with_session(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)  # noqa: SLF001
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return a scan of the written files, which last as long as the session."""
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write df to the shared folder (with the writer's options) and return a scan of the written files, which last as long as the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     leave_with_session(spark, path)
     return spark.read.schema(df.schema).parquet(path)
