@@ -133,3 +133,21 @@ def op11_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_codes(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
     leave_with_session(spark, folder)
     return read_documents(spark, folder)
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    from tidemark.llm.conversation_repair import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of every document under two vocabularies."""
+    import public_tokenizers
+
+    from tidemark.llm.token_alignment import alignment
+
+    return alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
