@@ -2,17 +2,23 @@
 
 A byte-level pre-tokeniser never joins what a white-space boundary parts, so a
 text's identifiers are those of its chunks (a run of other characters with the
-space before it, or white space) one after the other.  The chunks of natural
-text repeat; a bounded memo in each worker keeps their identifiers as bytes.
+space before it, or white space) one after the other.  Nor does it join a letter
+or digit with ASCII punctuation behind it, so a word parts from the first mark
+after it.  The chunks of natural text repeat; a bounded memo in each worker
+keeps their identifiers as bytes.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe_count import CHUNKS, Memo, read_vocabulary
+from tidemark.llm.bpe_count import WHITE, Memo, read_vocabulary
+
+MARKS = r"!-/:-@\[-`{-~"
+CHUNKS = re.compile(rf" ?[^{WHITE}{MARKS}]++(?:(?=[{MARKS}])(?<=[^\W_])|[^{WHITE}]*+)| ?[^{WHITE}]++|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 class ChunkIds:
@@ -35,7 +41,7 @@ class ChunkIds:
 
     def _ids(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return array("I", ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if self.specials and self.specials.search(text):
