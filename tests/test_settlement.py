@@ -19,12 +19,23 @@ def test_stream_settles_what_batch_settles(spark):
     assert all(got[k] == v or abs(float(got[k][0]) - float(v[0])) < 1e-9 and got[k][1] == v[1] for k, v in want.items())
 
 
-def test_forecasts_without_a_close_stay(spark):
-    from tidemark.streaming.settlement import settle_rest
-
-    at = "TIMESTAMP'2024-{} 00:00:00'"
-    settled = spark.sql(f"SELECT 'a' AS series_id, {at.format('01-02')} AS signal_at, {at.format('01-03')} AS target_at, 1 AS predicted_label, 0.1D AS actual_return, true AS correct")
-    forecasts = spark.sql(f"SELECT 'a' AS series_id, {at.format('01-02')} AS signal_at, {at.format('01-03')} AS target_at, 10D AS base_close, 1 AS predicted_label UNION ALL SELECT 'a', {at.format('01-03')}, {at.format('03-01')}, 11D, 1 UNION ALL SELECT 'a', {at.format('03-01')}, {at.format('03-04')}, 22D, 0")
-    closes = spark.sql(f"SELECT 'a' AS series_id, {at.format('01-03')} AS close_at, 11D AS close UNION ALL SELECT 'a', {at.format('03-01')}, 22D")
-    got = sorted((r.signal_at.isoformat()[:10], r.actual_return, r.correct) for r in settle_rest(settled, forecasts, closes).collect())
-    assert got == [("2024-01-02", 0.1, True), ("2024-01-03", 1.0, True), ("2024-03-01", None, None)]
+def test_late_targets_settle_and_overdue_ones_expire_once(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tidemark.streaming import windows as W
+    from tidemark.streaming.settlement import ROCKSDB, settle_stream
+
+    day = lambda k: datetime(2024, 1, 1) + timedelta(days=k)
+    forecasts = [[("a", day(0), day(1), 10.0, 1), ("a", day(1), day(60), 11.0, 0), ("a", day(2), day(3), 5.0, 1), ("b", day(2), day(3), 8.0, 1)], [("a", day(200), day(201), 4.0, 0)], [("a", day(400), day(401), 4.0, 1)], [("a", day(401), day(402), 4.0, 1)]]
+    closes = [[("a", day(0), 10.0), ("a", day(1), 11.0)], [("a", day(60), 5.5), ("a", day(199), 3.0)], [("a", day(399), 3.0)], [("a", day(401), 5.0)]]
+    kinds = {"forecasts": "series_id string, signal_at timestamp, target_at timestamp, base_close double, predicted_label int", "closes": "series_id string, close_at timestamp, close double"}
+    for batch in range(4):
+        for (name, kind), rows in zip(kinds.items(), (forecasts, closes)):
+            spark.createDataFrame(rows[batch], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    streams = [spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/{name}") for name, kind in kinds.items()]
+    with W.setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+        out = W.run_to_table(settle_stream(*streams), "expiry")
+    got = sorted(((r.series_id, r.signal_at - day(0)).__repr__(), None if r.actual_return is None else round(r.actual_return, 6), r.correct) for r in out.collect())
+    key = lambda s, k: repr((s, timedelta(days=k)))
+    want = {key("a", 0): (0.1, True), key("a", 1): (-0.5, True), key("a", 2): (None, None), key("b", 2): (None, None), key("a", 200): (None, None), key("a", 400): (0.25, True)}
+    assert got == sorted((k, *v) for k, v in want.items())

@@ -294,22 +294,22 @@ def f16(spark, d):
     return X.trend_features(cal.select("trade_date"), P.trend_breadth(p, cal, (3, 5, 10)), cal)
 
 
-_OTHERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-_BLK = ["ret1", "ret5", "vol20", "gap", "intraday", "range", "vol_chg"]
+OTHERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+PRICE_BLOCK = ["ret1", "ret5", "vol20", "gap", "intraday", "range", "vol_chg"]
 _CTX = f"""
 ar AS (SELECT *, {S.growth('close', 1, 'series_id', 'trade_date')} AS ret1 FROM idx),
 ab AS (SELECT series_id, trade_date, ret1, {S.growth('close', 5, 'series_id', 'trade_date')} AS ret5, {S.full('stddev_samp', 'ret1', 20, 'series_id', 'trade_date')} AS vol20, open/pre_close - 1 AS gap, close/open - 1 AS intraday,
   (high - low)/pre_close AS range, ln(vol) - lag(ln(vol)) OVER (PARTITION BY series_id ORDER BY trade_date) AS vol_chg FROM ar)"""
 
 
-@query("f17_index_context", "series_id:s trade_date:d return_1:f momentum_5:f " + _f(*[f"{i}_{n}" for i in (1, 2, 3, 4, 5) for n in (*_BLK, "relative_return_1", "relative_return_5")]),
+@query("f17_index_context", "series_id:s trade_date:d return_1:f momentum_5:f " + _f(*[f"{i}_{n}" for i in (1, 2, 3, 4, 5) for n in (*PRICE_BLOCK, "relative_return_1", "relative_return_5")]),
        S.with_(S.INDEX, _CTX) + "SELECT t.series_id, t.trade_date, t.ret1 AS return_1, t.ret5 AS momentum_5, " + ", ".join(
-           ", ".join(f"max(CASE WHEN o.series_id = '{a}' THEN o.{n} END) AS \"{i}_{n}\"" for n in _BLK) + f", max(CASE WHEN o.series_id = '{a}' THEN o.ret1 END) - t.ret1 AS \"{i}_relative_return_1\", max(CASE WHEN o.series_id = '{a}' THEN o.ret5 END) - t.ret5 AS \"{i}_relative_return_5\""
-           for i, a in enumerate(_OTHERS, 1)) + " FROM ab t LEFT JOIN ab o ON o.trade_date = t.trade_date GROUP BY t.series_id, t.trade_date, t.ret1, t.ret5")
+           ", ".join(f"max(CASE WHEN o.series_id = '{a}' THEN o.{n} END) AS \"{i}_{n}\"" for n in PRICE_BLOCK) + f", max(CASE WHEN o.series_id = '{a}' THEN o.ret1 END) - t.ret1 AS \"{i}_relative_return_1\", max(CASE WHEN o.series_id = '{a}' THEN o.ret5 END) - t.ret5 AS \"{i}_relative_return_5\""
+           for i, a in enumerate(OTHERS, 1)) + " FROM ab t LEFT JOIN ab o ON o.trade_date = t.trade_date GROUP BY t.series_id, t.trade_date, t.ret1, t.ret5")
 def f17(spark, d):
     """Price blocks of all indices beside each."""
     i = D.index_series(spark, d)
-    return X.index_context_features(i, i, _OTHERS)
+    return X.index_context_features(i, i, OTHERS)
 
 
 CORE = f"""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tidemark.catalog import features as FQ
 from tidemark.catalog import forecasts as M
 from tidemark.catalog import learning as LQ
 from tidemark.catalog import ledger as LG
@@ -18,6 +21,7 @@ from tidemark.operators import evaluate as E
 from tidemark.operators import ledger as G
 from tidemark.operators import overlay as V
 from tidemark.operators import panel as P
+from tidemark.operators import residual as N
 from tidemark.operators import rules as R
 from tidemark.operators import series as Q
 from tidemark.operators import walkforward as L
@@ -25,9 +29,10 @@ from tidemark.operators.calendar import calendar_of
 from tidemark.operators.joins import prepend_history
 from tidemark.plans import features as X
 from tidemark.plans import jobs as B
+from tidemark.plans import publishing as PB
 from tidemark.sources import derive as D
 from tidemark.sources import scan as A
-from tidemark.sources.staging import stage
+from tidemark.sources.staging import shared_dir, stage
 from tidemark.sources.streams import STREAM_KEYS, base_stream, forecast_streams
 
 SID = ["series_id"]
@@ -77,21 +82,31 @@ def e3(spark, d):
 
 @query("e4_alternate_engine", M.CHECK_SPEC)
 def e4(spark, d):
-    """Stability rule as the engine, then the gate."""
+    """The stability rule and the nested learners as engines; the one that development years choose meets the gate."""
     b = base_stream(spark, d)
-    return E.non_regression_gate(b, stage(B.adopt_labels(b, R.stability_signal(RQ.panel(spark, d))), "engine"), SID, M.START)
+    engines = {"stability": R.stability_signal(RQ.panel(spark, d)), "nested_ml": LQ.nested_ml(spark, d).withColumn("predicted_label", (F.col("probability") >= 0.5).cast("int"))}
+    adopted = B.by_policy({name: B.adopt_labels(b, signal) for name, signal in engines.items()}, "engine")
+    return B.sweep_and_gate(stage(adopted, "engine"), b, SID, ["engine"], YEARS, M.START)
 
 
 _SEL = "series_id:s threshold:f minimum_gain:f changed_rows:i eligible:b selected:b"
 
 
-@query("e5_residual_family", _SEL)
+def residual_selection(spark, d, forecasts):
+    """Candidates swept over certainty thresholds; development years choose among both."""
+    swept = V.selective_replacement(V.threshold_sweep(stage(forecasts, "residual"), SWEEP), "proposed_label", "probability_up", F.col("threshold"), STREAM_KEYS, calibrate=False)
+    return E.development_selection(swept, base_stream(spark, d), SID, ["candidate", "threshold"], YEARS)
+
+
+@query("e5_residual_family", "candidate:s " + _SEL)
 def e5(spark, d):
-    """Boosted residual model swept over certainty thresholds."""
-    x = LQ.l5(spark, d).select("series_id", "trade_date", F.col("probability").alias("up"))
-    s = base_stream(spark, d).join(x, ["series_id", "trade_date"]).withColumn("new", (F.col("up") >= 0.5).cast("int"))
-    swept = V.selective_replacement(V.threshold_sweep(stage(s, "residual"), SWEEP), "new", "up", F.col("threshold"), STREAM_KEYS, calibrate=False)
-    return E.development_selection(swept, base_stream(spark, d), SID, ["threshold"], YEARS)
+    """Residual candidates on the index context, and those that see funding and valuation too."""
+    x = LQ.context_stream(spark, d)
+    funding = FQ.f7(spark, d)
+    names = [c for c in funding.columns if c.startswith("funding_") and c not in ("funding_available", "funding_source_date")]
+    wider = x.join(funding.select("trade_date", *names), "trade_date", "left")
+    parts = N.residual_family(x, LQ.RESIDUAL, "context").unionByName(N.residual_family(x, LQ.RESIDUAL, "error"))
+    return residual_selection(spark, d, parts.unionByName(N.residual_family(wider, (*LQ.RESIDUAL, *names), "funding").select(*parts.columns)))
 
 
 def error_family(stream, features, spark, d, **kw):
@@ -100,13 +115,13 @@ def error_family(stream, features, spark, d, **kw):
     return E.development_selection(swept, base_stream(spark, d), SID, ["threshold"], YEARS)
 
 
-@query("e6_long_history", _SEL)
+@query("e6_long_history", "candidate:s " + _SEL)
 def e6(spark, d):
-    """Error model on a history prepended with older rows, ten-year window."""
-    h = LQ.history(spark, d)
+    """Residual candidates with a ten-year window on a history prepended with older rows."""
+    h = LQ.context_stream(spark, d)
     cols = [c for c in h.columns if c not in ("series_id", "trade_date")]
     merged, _ = prepend_history(h.where("trade_date >= '1997-01-01'"), h.where("trade_date <= '1997-02-01'"), ["series_id", "trade_date"], cols)
-    return error_family(merged, LQ.HIST, spark, d, window=2520)
+    return residual_selection(spark, d, N.residual_family(merged, LQ.RESIDUAL, "history"))
 
 
 @query("e7_selective_sweep", M.CHECK_SPEC,
@@ -116,13 +131,13 @@ def e7(spark, d):
     return B.sweep_and_gate(stage(M.sweep(spark, d), "sweep"), base_stream(spark, d), SID, ["threshold"], YEARS, M.START)
 
 
-@query("e8_breadth_family", _SEL)
+@query("e8_breadth_family", "candidate:s " + _SEL)
 def e8(spark, d):
-    """Error model with market breadth beside the incumbent's history."""
+    """Residual candidates with market breadth beside the index context."""
     cal = stock_calendar(spark, d)
     br = X.breadth_features(cal.select("trade_date"), P.market_breadth(C.stocks(spark, d)), cal).select("trade_date", *X.BREADTH_COLUMNS)
-    h = LQ.history(spark, d).join(br, "trade_date", "left")
-    return error_family(h, (*LQ.HIST, *X.BREADTH_COLUMNS), spark, d, fitted=all_known(*[F.col(c) for c in X.BREADTH_COLUMNS]))
+    h = LQ.context_stream(spark, d).join(br, "trade_date", "left")
+    return residual_selection(spark, d, N.residual_family(h, (*LQ.RESIDUAL, *X.BREADTH_COLUMNS), "breadth"))
 
 
 @query("e9_directional_error_family", _SEL)
@@ -202,7 +217,7 @@ def e14(spark, d):
 
 @query("e15_fx_family", "series_id:s variant:s rows:i accuracy:f balanced_accuracy:f")
 def e15(spark, d):
-    """Nested selection with quote features admitted as one block, learned threshold, control beside it."""
+    """Quote features admitted as one block: nested, paired and learned-threshold choice, and the pooled error model, control beside them."""
     signals = D.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("trade_date")).distinct()
     fx = X.fx_features(D.each_asset(signals), D.external_series(spark, d))
     each = {f"{a}_{n}": (a, n) for a in D.ASSETS for n in ("fx_return_1", "fx_volatility_20", "fx_close_spread")}
@@ -210,14 +225,27 @@ def e15(spark, d):
     wide = fx.groupBy("trade_date").agg(*[F.max(F.when(F.col("asset") == a, F.col(n))).alias(k) for k, (a, n) in each.items()])
     s = LQ.core_stream(spark, d).join(wide, "trade_date", "left")
     sets = {"base": LQ.SETS["base"], "extended": (*LQ.SETS["base"], *names)}
-    up = (F.col("predicted_label") == 1) & all_known(*[F.col(n) for n in sets["extended"]])
-    f = stage(L.folds(s, SID, up, up & F.col("real_pct_change").isNotNull(), F.col("real_pct_change") <= 0, minimum=240, interval=60), "fx")
-    choice = L.select_choice(L.nested_attempts(f, SID, sets, thresholds=(0.55, 0.6)), SID, paired=True, learn_threshold=True)
-    p = L.nested_probabilities(f, choice, SID, sets)
-    j = base_stream(spark, d).join(p.select("series_id", "pos", "probability", "training_rows", "selected_threshold"), ["series_id", "pos"], "left").fillna(0, ["training_rows"])
-    out = V.two_sided_flip(j, "probability", "training_rows", F.coalesce("selected_threshold", F.lit(2.0)))
+    known, real, label = all_known(*[F.col(n) for n in sets["extended"]]), F.col("real_pct_change"), F.col("predicted_label")
+    up = (label == 1) & known
+    f = stage(L.folds(s, SID, up, up & real.isNotNull(), real <= 0, minimum=240), "fx")
+    attempts = stage(L.nested_attempts(f, SID, sets, thresholds=(0.55, 0.6, 0.65)), "fx-attempts")
+    at = attempts.where("correction_threshold = 0.6")
+    both = {k: LQ.both_ways(v) for k, v in sets.items()}
+    g = stage(L.folds(X.direction_interactions(s, sets["extended"]), SID, known, known & real.isNotNull(), (label != (real > 0).cast("int")).cast("int"), minimum=240), "fx-error")
+    wrong = L.nested_attempts(g, SID, both, thresholds=(0.55, 0.6, 0.65))
+    choices = {
+        "nested": (f, sets, L.select_choice(at, SID)), "paired": (f, sets, L.select_choice(at, SID, paired=True)),
+        "learned_threshold": (f, sets, L.select_choice(attempts, SID, paired=True, learn_threshold=True)),
+        "pooled_error": (g, both, L.select_choice(wrong, SID, paired=True, learn_threshold=True)),
+    }
     cols = ["series_id", "trade_date", "predicted_label", "predicted_pct_change", "real_pct_change", "confidence", "calibrated_confidence"]
-    return E.stream_metrics(B.by_policy({"control": base_stream(spark, d).select(*cols), "candidate": out.select(*cols)}, "variant"), ["series_id", "variant"])
+    variants = {"control": base_stream(spark, d).select(*cols)}
+    for name, (folded, features, choice) in choices.items():
+        p = L.nested_probabilities(folded, choice, SID, features)
+        j = base_stream(spark, d).join(p.select("series_id", "pos", "probability", "training_rows", "selected_threshold"), ["series_id", "pos"], "left").fillna(0, ["training_rows"])
+        flip = V.two_sided_flip if name == "pooled_error" else V.downside_flip
+        variants[name] = flip(j, "probability", "training_rows", F.coalesce("selected_threshold", F.lit(2.0))).select(*cols)
+    return E.stream_metrics(B.by_policy(variants, "variant"), ["series_id", "variant"])
 
 
 @query("e16_context_ablation", "variant:s series_id:s rows:i brier:f4 log_loss:f4")
@@ -297,12 +325,18 @@ def e22(spark, d):
     return flagged.fillna(True, ["complete"])
 
 
-@query("e23_single_stream_publish", "action:s series_id:s rows:i",
-       S.with_(S.STREAMS) + f"SELECT 'insert' AS action, series_id, count(*) AS rows FROM base WHERE NOT ({LG._IN}) GROUP BY 2 UNION ALL SELECT 'settle', series_id, count(*) FROM base WHERE real_pct_change IS NOT NULL GROUP BY 2")
+@query("e23_single_stream_publish", "series_id:s trade_date:d predicted_label:i run_id:s target_date:d actual_return:f settled_by:s",
+       S.with_(S.STREAMS) + f"SELECT *, CASE WHEN {LG._IN} THEN 'first' ELSE 'second' END AS run_id, real_pct_change AS actual_return, CASE WHEN target_date <= DATE '{LG.CUT}' THEN 'first' WHEN target_date IS NOT NULL THEN 'second' END AS settled_by FROM base LEFT JOIN (SELECT series_id, trade_date, lead(trade_date) OVER (PARTITION BY series_id ORDER BY trade_date) AS target_date FROM idx) USING (series_id, trade_date)")
 def e23(spark, d):
-    """Rows inserted and outcomes settled by one publish."""
-    c = G.forecast_fingerprint(base_stream(spark, d))
-    t, i = LG.targets(spark, d)
-    new, done = B.publish(c, c.where(F.col("trade_date") <= LG.CUT), t, i, ["stream_id", "series_id", "trade_date"])
-    count = lambda df, a: df.groupBy("series_id").agg(F.count("*").alias("rows")).withColumn("action", F.lit(a))
-    return count(new, "insert").unionByName(count(done.where("target_date IS NOT NULL"), "settle"))
+    """Two publishes of one stream and a repeat of the second: forecasts, the run that added each, and the run that settled it."""
+    b = stage(base_stream(spark, d).select("series_id", "trade_date", "close", "predicted_label", "predicted_pct_change", "predicted_close", "confidence", "calibrated_confidence"), "to-publish")
+    i = stage(D.index_series(spark, d).select("series_id", "trade_date", "close"), "bars")
+    common = calendar_of(i.groupBy("trade_date").agg(F.count("*").alias("n")).where(F.col("n") == i.agg(F.count_distinct("series_id")).scalar()))
+    root = f"{shared_dir(spark)}/landed/publish-{uuid.uuid4().hex}"
+
+    def forecast(history):
+        return G.forecast_fingerprint(b.join(history.select("series_id", "trade_date"), ["series_id", "trade_date"], "left_semi"))
+
+    for run, rows in (("first", i.where(F.col("trade_date") <= LG.CUT)), ("second", i), ("second", i)):
+        done = PB.publish_stream(spark, root, run, rows, common, forecast, SID, ["close"])
+    return PB.published_forecasts(done, SID)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import sqltext as S
+from tidemark.catalog import features as C
 from tidemark.catalog.features import specialist
 from tidemark.catalog.registry import query
 from tidemark.functions.scalars import all_known
 from tidemark.operators import calibrate as K
 from tidemark.operators import overlay as V
 from tidemark.operators import panel as P
+from tidemark.operators import residual as N
 from tidemark.operators import series as Q
+from tidemark.operators import trees as T
 from tidemark.operators import walkforward as L
 from tidemark.operators.calendar import calendar_of
 from tidemark.plans import features as X
@@ -93,46 +96,57 @@ def l4b(spark, d):
     return L.error_probabilities(history(spark, d), HIST, G, window=252, balanced=True)
 
 
-CUTS = ("1997-01-01", "1999-01-01", "2000-06-01")
+#: Three indices beside each series; of each its price block and returns relative to the series.
+CONTEXT = tuple(f"{i}_{n}" for i in (1, 2, 3) for n in (*C.PRICE_BLOCK, "relative_return_1", "relative_return_5"))
+RESIDUAL = (*X.CORE_COLUMNS, *CONTEXT)
 
 
-def margin_set(spark, d):
-    h = history(spark, d)
-    prior = F.when(F.col("predicted_label") == 1, F.greatest(F.lit(.01), F.least(F.lit(.99), "calibrated_confidence"))).otherwise(1 - F.greatest(F.lit(.01), F.least(F.lit(.99), "calibrated_confidence")))
-    return h.withColumn("prior_margin", F.ln(prior / (1 - prior))).withColumn("target", (F.col("real_pct_change") > 0).cast("int"))
+def context_stream(spark, d, stream=None):
+    """The incumbent with core features and the index context; unknown values stay null."""
+    i = D.index_series(spark, d)
+    stream = base_stream(spark, d) if stream is None else stream
+    core = Q.core_features(i, G).select("series_id", "trade_date", *X.CORE_COLUMNS)
+    context = X.index_context_features(i, i, C.OTHERS[:3]).select("series_id", "trade_date", *CONTEXT)
+    return stage(stream.join(core, ["series_id", "trade_date"], "left").join(context, ["series_id", "trade_date"], "left"), "context")
 
 
-@query("l5_residual_boosting", "series_id:s trade_date:d fold_start:s probability:f4")
+_RES = "candidate:s series_id:s trade_date:d probability_up:f4 proposed_label:i training_rows:i last_training_date:d"
+
+
+@query("l5_residual_boosting", _RES)
 def l5(spark, d):
-    """Boosted direction model over all series; the incumbent's margin enters as a feature."""
-    from pyspark.ml.classification import GBTClassifier
+    """Boosted corrections toward the direction, from the incumbent's margin: stumps, shallow trees and balanced classes."""
+    return N.residual_family(context_stream(spark, d), RESIDUAL, "context")
+
+
+@query("l5_residual_error", _RES)
+def l5_error(spark, d):
+    """Boosted corrections of the incumbent's probability of being right over three, one and half a year."""
+    return N.residual_family(context_stream(spark, d), RESIDUAL, "error")
+
 
-    gbt = GBTClassifier(maxIter=10, maxDepth=2, stepSize=0.05, minInstancesPerNode=10, maxBins=64, seed=42)
-    return L.pooled_walk_forward(margin_set(spark, d), ["prior_margin", *HIST], "target", gbt, CUTS)
+@query("l5_residual_history", _RES)
+def l5_history(spark, d):
+    """The same over ten years of history for direction, balanced direction and correctness."""
+    return N.residual_family(context_stream(spark, d), RESIDUAL, "history")
 
 
-@query("l6_random_forest", "series_id:s trade_date:d fold_start:s probability:f4")
+@query("l6_random_forest", PROB)
 def l6(spark, d):
-    """Forest of shallow trees over all series' earlier up-forecasts."""
-    from pyspark.ml.classification import RandomForestClassifier
+    """Downside probability by a forest of 200 shallow trees, refitted every fifth up-forecast."""
+    return L.downside_probabilities(core_stream(spark, d), X.CORE_COLUMNS, F.col("core_available"), learner=T.forest(), block=L.SHORT_BLOCK)
 
-    x = core_stream(spark, d).where("core_available AND predicted_label = 1").withColumn("target", (F.col("real_pct_change") <= 0).cast("int"))
-    forest = RandomForestClassifier(numTrees=200, maxDepth=3, minInstancesPerNode=20, featureSubsetStrategy="0.5", seed=42)
-    return L.pooled_walk_forward(x, X.CORE_COLUMNS, "target", forest, CUTS)
 
+@query("l6_downside_boosting", PROB)
+def l6b(spark, d):
+    """Downside probability by boosting without a margin."""
+    return L.downside_probabilities(core_stream(spark, d), X.CORE_COLUMNS, F.col("core_available"), learner=T.boosted(least_hessian=10, margin=False), block=L.SHORT_BLOCK)
 
-@query("l7_rolling_probability", "series_id:s trade_date:d probability:f4 history_rows:i fallback:b")
-def l7(spark, d):
-    """Rolling up-probability with a smoothed rate where history is short."""
-    from pyspark.ml.classification import RandomForestClassifier
 
-    x = core_stream(spark, d).withColumn("target", (F.col("real_pct_change") > 0).cast("int"))
-    base = L.laplace_fallback(x, G, F.col("target"))
-    forest = RandomForestClassifier(numTrees=50, maxDepth=4, minInstancesPerNode=30, featureSubsetStrategy="0.7", seed=42)
-    scored = L.pooled_walk_forward(x.where("core_available"), X.CORE_COLUMNS, "target", forest, CUTS).select("series_id", "trade_date", F.col("probability").alias("_p"))
-    j = base.join(scored, ["series_id", "trade_date"], "left")
-    short = (F.col("history_rows") < 252) | F.col("_p").isNull()
-    return j.withColumn("fallback", short).withColumn("probability", F.when(short, F.col("fallback_probability")).otherwise(F.col("_p")))
+@query("l7_rolling_probability", "series_id:s trade_date:d probability:f4 training_rows:i last_training_date:d fallback:b")
+def l7(spark, d):
+    """Rolling up-probability by 200 extremely randomised trees, with a smoothed rate where history is short."""
+    return L.rolling_probabilities(core_stream(spark, d), X.CORE_COLUMNS, F.when(F.col("real_pct_change").isNotNull(), (F.col("real_pct_change") > 0).cast("int")), learner=T.extra_trees())
 
 
 @query("l7_laplace_fallback", "series_id:s trade_date:d history_rows:i fallback_probability:f",
@@ -158,33 +172,57 @@ EXTENDED = ("return_1", "momentum_5", "volatility_20", "momentum_20", "intraday_
 SETS = {"base": EXTENDED[:3], "extended": EXTENDED}
 
 
-def nested_folds(spark, d, interval=20):
+def nested_folds(spark, d):
     s = core_stream(spark, d)
     up = (F.col("predicted_label") == 1) & all_known(*[F.col(n) for n in EXTENDED])
-    return stage(L.folds(s, G, up, up & F.col("real_pct_change").isNotNull(), F.col("real_pct_change") <= 0, minimum=240, interval=interval), "folds")
+    return stage(L.folds(s, G, up, up & F.col("real_pct_change").isNotNull(), F.col("real_pct_change") <= 0, minimum=240), "folds")
+
+
+def error_folds(spark, d):
+    """Folds of the incumbent's errors in either direction, with every feature beside its product with the signed direction."""
+    s = core_stream(spark, d)
+    known = all_known(*[F.col(n) for n in EXTENDED])
+    s = X.direction_interactions(s, EXTENDED)
+    real = F.col("real_pct_change")
+    wrong = (F.col("predicted_label") != (real > 0).cast("int")).cast("int")
+    return stage(L.folds(s, G, known, known & real.isNotNull(), wrong, minimum=240), "error-folds")
+
+
+def both_ways(names):
+    return ("incumbent_direction", *names, *(f"{n}__direction" for n in names))
 
 
+ERROR_SETS = {k: both_ways(v) for k, v in SETS.items()}
 _ATT = "series_id:s anchor_pos:i features:s inverse_penalty:f correction_threshold:f "
+_NEST = "series_id:s trade_date:d pos:i probability:f4 training_rows:i selected_features:s selected_c:f selected_threshold:f"
 
 
-@query("l10_nested_selection", "series_id:s trade_date:d pos:i probability:f4 training_rows:i selected_features:s selected_c:f selected_threshold:f")
+@query("l10_nested_selection", _NEST)
 def l10(spark, d):
-    """Probabilities from the penalty and feature set chosen on forward-chained validation blocks."""
+    """Probabilities from the penalty and feature set chosen on forward-chained validation blocks, at every fifth up-forecast."""
     f = nested_folds(spark, d)
     chosen = L.select_choice(L.nested_attempts(f, G, SETS), G)
     return L.nested_probabilities(f, chosen, G, SETS).join(f.select("series_id", "pos", "trade_date"), ["series_id", "pos"])
 
 
+@query("l10_nested_error", _NEST)
+def l10_error(spark, d):
+    """The same for the incumbent's error in either direction, chosen by paired non-regression."""
+    f = error_folds(spark, d)
+    chosen = L.select_choice(L.nested_attempts(f, G, ERROR_SETS), G, paired=True)
+    return L.nested_probabilities(f, chosen, G, ERROR_SETS).join(f.select("series_id", "pos", "trade_date"), ["series_id", "pos"])
+
+
 @query("l11_paired_validation", _ATT + "block:i corrected:i damaged:i accuracy_delta:f balanced_accuracy_delta:f nondecreasing:b")
 def l11(spark, d):
-    """Corrections and damage in each validation block."""
-    return L.paired_report(L.nested_attempts(nested_folds(spark, d, 60), G, SETS, thresholds=(0.55, 0.6)))
+    """Corrections and damage in each validation block of every attempt."""
+    return L.paired_report(L.nested_attempts(nested_folds(spark, d), G, SETS, thresholds=(0.55, 0.6)))
 
 
 @query("l12_choice_ordering", _ATT + "pooled_accuracy_gain:f pooled_balanced_gain:f")
 def l12(spark, d):
     """Threshold and model chosen by paired accuracy gain."""
-    return L.select_choice(L.nested_attempts(nested_folds(spark, d, 60), G, SETS, thresholds=(0.55, 0.6)), G, paired=True, learn_threshold=True)
+    return L.select_choice(L.nested_attempts(nested_folds(spark, d), G, SETS, thresholds=(0.55, 0.6)), G, paired=True, learn_threshold=True)
 
 
 def portfolio(spark, d):
@@ -227,22 +265,27 @@ def l14(spark, d):
     return portfolio(spark, d).where("stream_id = 'pooled'")
 
 
-@query("l15_alternate_engine", "series_id:s trade_date:d engine:s probability:f4 final_label:i")
-def l15(spark, d):
-    """Best of three pooled engines by accuracy on earlier rows (own definition)."""
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-    from pyspark.sql import Window
+#: Learners of the alternate engine (own definition); the incumbent's history and prices are their features.
+ENGINES = {
+    "logistic": L.logistic(0.1), "logistic_free": L.logistic(1.0), "boosted": T.boosted(depth=1, least_hessian=10, margin=False),
+    "forest": T.forest(trees=60), "extra_trees": T.extra_trees(trees=60),
+}
+NESTED_ML = {"window": 1008, "minimum": 252, "interval": 5}
 
-    from tidemark.functions.frames import prior
 
-    x = core_stream(spark, d).where("core_available").withColumn("target", (F.col("real_pct_change") > 0).cast("int"))
-    engines = {"forest": RandomForestClassifier(numTrees=30, maxDepth=3, minInstancesPerNode=20, seed=42), "boosted": GBTClassifier(maxIter=5, maxDepth=2, seed=42), "logistic": LogisticRegression(regParam=0.01)}
+def nested_ml(spark, d):
+    """Every engine walked forward over its training window, then the best three by their own earlier losses."""
+    x = core_stream(spark, d)
+    up = F.when(F.col("real_pct_change").isNotNull(), (F.col("real_pct_change") > 0).cast("int"))
     parts = None
-    for name, e in engines.items():
-        p = L.pooled_walk_forward(x, X.CORE_COLUMNS, "target", e, CUTS[:2]).withColumn("engine", F.lit(name))
+    for name, learner in ENGINES.items():
+        p = L.rolling_probabilities(x, X.CORE_COLUMNS, up, learner=learner, **NESTED_ML).select("series_id", "pos", "probability", up.alias("label"), F.lit(name).alias("engine"))
         parts = p if parts is None else parts.unionByName(p)
-    hit = ((F.col("probability") >= 0.5).cast("int") == F.col("label")).cast("double")
-    w = prior(Window.partitionBy("series_id", "engine").orderBy("trade_date"), 252)
-    parts = parts.withColumn("_a", F.coalesce(F.avg(hit).over(w), F.lit(0.5)))
-    best = Window.partitionBy("series_id", "trade_date").orderBy(F.desc("_a"), "engine")
-    return parts.withColumn("_r", F.row_number().over(best)).where("_r = 1").withColumn("final_label", (F.col("probability") >= 0.5).cast("int"))
+    return L.best_engines(stage(parts, "engines"), F.col("label"), G, top=3)
+
+
+@query("l15_alternate_engine", "series_id:s trade_date:d engines:s probability:f4 final_label:i")
+def l15(spark, d):
+    """Mean of the three best of five engines, trained on 1,008 rows and refitted every fifth (own definition)."""
+    p = nested_ml(spark, d).join(base_stream(spark, d).select("series_id", "pos", "trade_date"), ["series_id", "pos"])
+    return p.withColumn("final_label", (F.col("probability") >= 0.5).cast("int"))

@@ -12,12 +12,14 @@ from tidemark.catalog.registry import query
 from tidemark.operators import ledger as G
 from tidemark.operators.calendar import calendar_of
 from tidemark.operators.panel import active_rows
+from tidemark.plans.publishing import publish_stream_batches
 from tidemark.sources import derive as D
+from tidemark.sources.pointer import Publication
 from tidemark.sources.staging import shared_dir
 from tidemark.sources.streams import base_stream, forecast_streams
 from tidemark.streaming import windows as W
 from tidemark.streaming.history import streaming_momentum
-from tidemark.streaming.settlement import settle_rest, settle_stream
+from tidemark.streaming.settlement import ROCKSDB, settle_stream
 
 SID = ["series_id"]
 KEY = ["series_id", "trade_date"]
@@ -120,17 +122,20 @@ def g6(spark, d):
 
 
 @query("g6_settlement_stream", "series_id:s trade_date:d target_date:d actual_return:f correct:b",
-       S.with_(S.STREAMS) + "SELECT s.series_id, s.trade_date, target_date, real_pct_change AS actual_return, correct FROM base s JOIN (SELECT series_id, trade_date, lead(trade_date) OVER (PARTITION BY series_id ORDER BY trade_date) AS target_date FROM idx) USING (series_id, trade_date) WHERE target_date - trade_date <= 14")
+       S.with_(S.STREAMS) + "SELECT s.series_id, s.trade_date, target_date, real_pct_change AS actual_return, correct FROM base s JOIN (SELECT series_id, trade_date, lead(trade_date) OVER (PARTITION BY series_id ORDER BY trade_date) AS target_date FROM idx) USING (series_id, trade_date) WHERE target_date IS NOT NULL")
 def g6s(spark, d):
-    """The same as a stream-stream join with a bounded settlement delay; what it leaves is settled by a batch join."""
+    """The same in a stream: forecasts wait for their target session's close, which comes in a later batch and may be late."""
     t, i = targets(spark, d)
     root = f"{shared_dir(spark)}/landed/settle-{uuid.uuid4().hex}"
     ts = lambda c: F.col(c).cast("timestamp")
-    base_stream(spark, d).drop("real_pct_change").join(t, KEY).where("target_date IS NOT NULL").select("series_id", ts("trade_date").alias("signal_at"), ts("target_date").alias("target_at"), F.col("close").alias("base_close"), "predicted_label").write.parquet(f"{root}/forecasts")
-    i.select("series_id", ts("trade_date").alias("close_at"), "close").write.parquet(f"{root}/closes")
-    landed = [spark.read.parquet(f"{root}/{name}") for name in ("forecasts", "closes")]
-    f, c = (spark.readStream.schema(table.schema).parquet(f"{root}/{name}") for table, name in zip(landed, ("forecasts", "closes")))
-    out = settle_rest(W.run_to_table(settle_stream(f, c), "settlement"), *landed)
+    f = base_stream(spark, d).drop("real_pct_change").join(t, KEY).where("target_date IS NOT NULL").select("series_id", ts("trade_date").alias("signal_at"), ts("target_date").alias("target_at"), F.col("close").alias("base_close"), "predicted_label")
+    c = i.select("series_id", ts("trade_date").alias("close_at"), "close")
+    for half in ("< '1999-01-01'", ">= '1999-01-01'"):  # two batches: forecasts of the first wait for closes of the second
+        f.where(f"signal_at {half}").coalesce(1).write.mode("append").parquet(f"{root}/forecasts")
+        c.where(f"close_at {half}").coalesce(1).write.mode("append").parquet(f"{root}/closes")
+    streams = (spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}") for table, name in ((f, "forecasts"), (c, "closes")))
+    with W.setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+        out = W.run_to_table(settle_stream(*streams), "settlement")
     return out.select("series_id", F.to_date("signal_at").alias("trade_date"), F.to_date("target_at").alias("target_date"), "actual_return", "correct")
 
 
@@ -212,6 +217,20 @@ def g14(spark, d):
     return G.atomic_dates(s.where(~gone), "stream_id", SID, "trade_date", 4)
 
 
+@query("g14_atomic_publish", SKS + "predicted_label:i published:b", S.with_(S.STREAMS) + "SELECT stream_id, series_id, trade_date, predicted_label, series_id <> '2-HIGH' AS published FROM streams WHERE NOT (series_id = '2-HIGH' AND stream_id = 'volume' AND pos % 50 = 0)")
+def g14p(spark, d):
+    """Micro-batches of all streams published by pointer, each series with all its streams or not at all; a replay adds nothing."""
+    s = forecast_streams(spark, d).select("stream_id", "series_id", "trade_date", "pos", "predicted_label")
+    gone = (F.col("series_id") == "2-HIGH") & (F.col("stream_id") == "volume") & (F.col("pos") % 50 == 0)
+    root = f"{shared_dir(spark)}/landed/atomic-{uuid.uuid4().hex}"
+    s.where(~gone).repartition(4, "series_id").write.parquet(f"{root}/incoming")
+    table = Publication(spark, f"{root}/published")
+    for attempt in ("first", "replayed"):
+        incoming = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/incoming")
+        publish_stream_batches(incoming, table, f"{root}/progress-{attempt}", SID, "stream_id", 4)
+    return table.read("streams").withColumn("published", F.lit(True)).unionByName(table.read("withheld").withColumn("published", F.lit(False)))
+
+
 @query("g15_catch_up", K.strip(), S.with_(S.INDEX) + "SELECT b.series_id, c.trade_date FROM (SELECT series_id, min(trade_date) AS a FROM idx GROUP BY 1) b JOIN ical c ON c.trade_date >= b.a AND c.trade_date <= DATE '2000-12-31' ANTI JOIN idx i ON i.series_id = b.series_id AND i.trade_date = c.trade_date")
 def g15(spark, d):
     """Open sessions the ledger lacks up to a moment."""

@@ -168,9 +168,7 @@ scales AS (SELECT stream_id, series_id, apos, any_value(n) AS rows, CASE WHEN an
        S.with_(S.STREAMS, SCALE.format(src="base")) + "SELECT b.stream_id, b.series_id, b.trade_date, coalesce(s.scale, 0) AS scale, coalesce(s.rows, 0) AS rows FROM base b LEFT JOIN scales s ON s.series_id = b.series_id AND s.stream_id = b.stream_id AND s.apos = b.pos")
 def w15(spark, d):
     """Weighted median of realised over predicted returns on earlier rows."""
-    f = base_stream(spark, d)
-    fit = Q.weighted_median_scale(F.col("uncalibrated_predicted_return"), F.col("real_pct_change"), _s(), 252, 60)
-    return f.withColumn("fit", fit).select("stream_id", "series_id", "trade_date", "fit.scale", "fit.rows")
+    return Q.weighted_median_scale(base_stream(spark, d), STREAM_KEYS, "pos", "uncalibrated_predicted_return", "real_pct_change", 252, 60)
 
 
 RUNS = f"""

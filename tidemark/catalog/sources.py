@@ -21,7 +21,8 @@ from tidemark.operators.calendar import calendar_of, covered_sessions, invalid_c
 from tidemark.plans.features import PUBLICATION
 from tidemark.sources import derive as D
 from tidemark.sources import scan as C
-from tidemark.sources.staging import shared_dir
+from tidemark.sources.pointer import Files
+from tidemark.sources.staging import shared_dir, stage
 from tidemark.sources.streams import base_stream, forecast_streams
 
 SID = ["series_id"]
@@ -112,16 +113,22 @@ def s8(spark, d):
     return spark.read.parquet(path).groupBy("year", "month", "day").agg(F.count("*").alias("rows"))
 
 
-@query("s9_file_manifest", "differences:i files_hashed:b", "SELECT 0 AS differences, true AS files_hashed FROM orders LIMIT 1")
+@query("s9_file_manifest", "folder:s rule:s files:i",
+       IDX + "SELECT 'year=' || y AS folder, rule, 1 AS files FROM (SELECT min(year(trade_date)) AS a, max(year(trade_date)) AS z FROM idx), (VALUES ('changed'), ('missing'), ('unexpected')) t(rule), LATERAL (SELECT CASE rule WHEN 'changed' THEN a WHEN 'missing' THEN z ELSE 0 END AS y)")
 def s9(spark, d):
-    """A second hash of landed files matches the stored manifest."""
-    path = landing(spark, "hashed")
-    bars(spark, d).write.parquet(path)
-    a = C.file_manifest(spark, path)
-    diff = C.manifest_differences(a, C.file_manifest(spark, path)).agg(F.count("*").alias("differences"))
-    return diff.withColumn("files_hashed", a.agg(F.count("*") > 0).scalar())
-
-
+    """Landed files against their manifest after one was altered, one was lost and one was added."""
+    path, other = landing(spark, "hashed"), landing(spark, "altered")
+    day = bars(spark, d).withColumn("year", F.year("trade_date"))
+    day.repartition(1).write.partitionBy("year").parquet(path)
+    stored = stage(C.file_manifest(spark, path), "manifest")
+    files = Files(spark)
+    years = [n for n in files.names(path) if n.startswith("year=")]
+    first, last = f"{path}/{years[0]}", f"{path}/{years[-1]}"
+    day.where(F.col("year") == int(years[0].removeprefix("year="))).withColumn("close", F.col("close") + 1).drop("year").coalesce(1).write.parquet(other)
+    part = lambda folder: next(n for n in files.names(folder) if n.endswith(".parquet"))
+    files.move(f"{other}/{part(other)}", f"{first}/{part(first)}")
+    files.move(f"{last}/{part(last)}", f"{path}/year=0/added.parquet")
+    return C.manifest_differences(stored, C.file_manifest(spark, path)).groupBy(F.element_at(F.split("file", "/"), 1).alias("folder"), "rule").agg(F.count("*").alias("files"))
 
 
 @query("s10_reuse_landed_days", "trade_date:d", IDX + "SELECT trade_date FROM idx GROUP BY 1 HAVING day(trade_date) % 5 IN (0, 1)")
@@ -173,11 +180,22 @@ def s14(spark, d):
     return C.lineage_mismatch(used.withColumn("sha256", F.when(stale, "old").otherwise(F.col("sha256"))), now)
 
 
-@query("p1_alias_resolution", K + "close:f2 vol:f", IDX + "SELECT * FROM idx")
+@query("p1_alias_resolution", "vendor:s series_id:s trade_date:d open:f2 close:f2 pre_close:f2 vol:f",
+       IDX + "SELECT vendor, series_id, trade_date, open, close, pre_close, vol FROM idx, (VALUES ('terminal'), ('site'), ('plain')) v(vendor)")
 def p1(spark, d):
-    """Columns under other spellings resolved to canonical names."""
-    i = D.index_series(spark, d).select("series_id", F.col("trade_date").alias("日期"), F.col("close").alias("收盘价"), F.col("vol").alias("Volume"))
-    return C.resolve_aliases(i, {"series_id": ("series_id",), **C.ALIASES})
+    """Exports of three vendors under their own spellings, resolved to canonical names."""
+    i = D.index_series(spark, d)
+    spelled = {
+        "terminal": {"trade_date": "TRADE_DT", "open": "S_DQ_OPEN", "close": "s_dq_close", "pre_close": "S_DQ_PRECLOSE", "vol": "S_DQ_VOLUME"},
+        "site": {"trade_date": "日期", "open": "今开", "close": "最新价", "pre_close": "昨收", "vol": "成交量"},
+        "plain": {"trade_date": "opdate", "open": "adj_open", "close": "Adj_Close", "pre_close": "previous_close", "vol": " Volume "},
+    }
+    parts = None
+    for vendor, names in spelled.items():
+        export = i.select("series_id", *[F.col(c).alias(n) for c, n in names.items()])
+        one = C.resolve_aliases(export, {"series_id": ("series_id",), **C.ALIASES}).withColumn("vendor", F.lit(vendor))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
 
 
 @query("p2_majority_layout", K + "parsed:d", IDX + "SELECT series_id, trade_date, CASE WHEN day(trade_date) <= 27 THEN trade_date END AS parsed FROM idx")

@@ -1,7 +1,7 @@
 """Rolling calibration and pooling that only sees resolved history.
 
-Frames are rows of one series; a frame holds a fixed number of earlier rows, so
-the arrays folded inside an expression have a constant bound.
+Fits over a fixed number of earlier rows run in blocks of a series with a halo
+(`operators/blocks.py`); the fits of a block are solved together.
 """
 
 from __future__ import annotations
@@ -9,17 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.frames import ordered, prior, spread
+from tidemark.functions.frames import ordered, prior
+from tidemark.operators.blocks import earlier, in_blocks
 from tidemark.operators.series import weighted_median_scale
 
 NEWTON_STEPS = 8
 RIDGE = 1e-6
-FIT = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
 
 
 def shrink_returns(df: DataFrame, keys: Sequence[str], pos: str = "pos", window: int = 252, minimum: int = 60) -> DataFrame:
@@ -29,76 +28,46 @@ def shrink_returns(df: DataFrame, keys: Sequence[str], pos: str = "pos", window:
     base close, or kept where a forecast of -100 % leaves no base.
     """
     x = F.col("predicted_pct_change")
-    fit = weighted_median_scale(x, F.col("real_pct_change"), ordered(keys, pos), window, minimum)
     lost = F.abs(1 + x) <= 1e-12
-    out = spread(df, keys).withColumn("_fit", fit).withColumn("_x", x).withColumn("_scale", F.col("_fit.scale"))
+    out = weighted_median_scale(df, keys, pos, "predicted_pct_change", "real_pct_change", window, minimum, ("_scale", "_rows")).withColumn("_x", x)
     base = F.try_divide(F.col("predicted_close"), 1 + F.col("_x"))
     return out.select(
         *[c for c in df.columns if c not in ("predicted_pct_change", "predicted_close", "uncalibrated_predicted_return", "return_calibration_scale", "return_calibration_rows", "return_calibration_close_fallback")],
-        F.col("_x").alias("uncalibrated_predicted_return"), F.col("_scale").alias("return_calibration_scale"), F.col("_fit.rows").alias("return_calibration_rows"),
+        F.col("_x").alias("uncalibrated_predicted_return"), F.col("_scale").alias("return_calibration_scale"), F.col("_rows").alias("return_calibration_rows"),
         (F.col("_x") * F.col("_scale")).alias("predicted_pct_change"),
         F.when(lost, F.col("predicted_close")).otherwise(base * (1 + F.col("_x") * F.col("_scale"))).alias("predicted_close"),
         lost.cast("int").alias("return_calibration_close_fallback"))
 
 
-def _newton_udf():
-    """Built per use, so workers need no copy of this package."""
-
-    @F.pandas_udf(FIT)
-    def solve(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        """Intercept and slope of ridge logistic fits, one per row.
-
-        The rows of an Arrow batch are solved together: segmented sums over the
-        concatenated pairs, a fixed number of Newton steps.
-        """
-        out = np.full((len(xs), 2), np.nan)
-        rows = np.flatnonzero(xs.notna().to_numpy())
-        if len(rows):
-            x = np.concatenate([np.asarray(xs.iloc[i], dtype=float) for i in rows])
-            y = np.concatenate([np.asarray(ys.iloc[i], dtype=float) for i in rows])
-            size = np.array([len(xs.iloc[i]) for i in rows])
-            start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            total = lambda v: np.add.reduceat(v, start)
-            a, b = np.zeros(len(rows)), np.zeros(len(rows))
-            for _ in range(NEWTON_STEPS):
-                q = 1 / (1 + np.exp(-(np.repeat(a, size) + np.repeat(b, size) * x)))
-                v = q * (1 - q)
-                g0, g1 = total(q - y) + RIDGE * a, total((q - y) * x) + RIDGE * b
-                h00, h01, h11 = total(v) + RIDGE, total(v * x), total(v * x * x) + RIDGE
-                det = h00 * h11 - h01 * h01
-                a, b = a - (h11 * g0 - h01 * g1) / det, b - (h00 * g1 - h01 * g0) / det
-            out[rows, 0], out[rows, 1] = a, b
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return solve
-
-
-def _isotonic_udf():
-    """Built per use, so workers need no copy of this package."""
-
-    @F.pandas_udf(T.DoubleType())
-    def evaluate(xs: pd.Series, ys: pd.Series, at: pd.Series) -> pd.Series:
-        """Isotonic fit of each row's pairs evaluated at its own score."""
-
-        def one(x, y, v):
-            if x is None:
-                return None
-            u, inverse = np.unique(np.asarray(x, dtype=float), return_inverse=True)
-            weight = np.bincount(inverse).astype(float)
-            mean = np.bincount(inverse, weights=np.asarray(y, dtype=float)) / weight
-            blocks: list[list[float]] = []
-            for m, k in zip(mean, weight):
-                block = [m, k, 1]
-                while blocks and blocks[-1][0] >= block[0]:
-                    last = blocks.pop()
-                    mass = last[1] + block[1]
-                    block = [(last[0] * last[1] + block[0] * block[1]) / mass, mass, last[2] + block[2]]
-                blocks.append(block)
-            return float(np.interp(v, u, np.repeat([k[0] for k in blocks], [k[2] for k in blocks])))
-
-        return pd.Series([one(x, y, v) for x, y, v in zip(xs, ys, at)], dtype="float64")
-
-    return evaluate
+def _newton(x: np.ndarray, y: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intercept and slope of a ridge logistic fit per row of x and y: a fixed number of Newton steps for all rows together."""
+    x, y = np.where(used, x, 0.0), np.where(used, y, 0.0)
+    a, b = np.zeros(len(x)), np.zeros(len(x))
+    for _ in range(NEWTON_STEPS):
+        q = used / (1 + np.exp(-(a[:, None] + b[:, None] * x)))
+        v = q * (used - q)
+        error, slope = q - y, v * x
+        g0, g1 = error.sum(1) + RIDGE * a, np.einsum("ij,ij->i", error, x) + RIDGE * b
+        h00, h01, h11 = v.sum(1) + RIDGE, slope.sum(1), np.einsum("ij,ij->i", slope, x) + RIDGE
+        det = h00 * h11 - h01 * h01
+        a, b = a - (h11 * g0 - h01 * g1) / det, b - (h00 * g1 - h01 * g0) / det
+    return a, b
+
+
+def _isotonic(x: np.ndarray, y: np.ndarray, at: float) -> float:
+    """Isotonic fit of the pairs, evaluated at one score."""
+    u, inverse = np.unique(x, return_inverse=True)
+    weight = np.bincount(inverse).astype(float)
+    mean = np.bincount(inverse, weights=y) / weight
+    blocks: list[list[float]] = []
+    for m, k in zip(mean.tolist(), weight.tolist()):
+        block = [m, k, 1]
+        while blocks and blocks[-1][0] >= block[0]:
+            last = blocks.pop()
+            mass = last[1] + block[1]
+            block = [(last[0] * last[1] + block[0] * block[1]) / mass, mass, last[2] + block[2]]
+        blocks.append(block)
+    return float(np.interp(at, u, np.repeat([k[0] for k in blocks], [k[2] for k in blocks])))
 
 
 def platt_calibrate(df: DataFrame, keys: Sequence[str], pos: str = "pos", window: int = 300, minimum: int = 60, name: str = "calibrated_confidence") -> DataFrame:
@@ -106,21 +75,21 @@ def platt_calibrate(df: DataFrame, keys: Sequence[str], pos: str = "pos", window
 
     Identity, flagged as fallback, with fewer than `minimum` rows or one class.
     """
-    w = prior(ordered(keys, pos), window)
-    hit = F.col("correct").cast("double")
-    pair = F.when(F.col("correct").isNotNull() & F.col("confidence").isNotNull(), F.struct(F.col("confidence").alias("x"), hit.alias("y")))
-    out = spread(df, keys).withColumn("_pairs", F.collect_list(pair).over(w))
-    ups = F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p["y"])
-    out = out.withColumn("_ups", ups)
-    ready = (F.size("_pairs") >= minimum) & (F.col("_ups") > 0) & (F.col("_ups") < F.size("_pairs"))
-    out = out.withColumn("_ready", ready)
-    for n in ("x", "y"):
-        out = out.withColumn(f"_{n}s", F.when(F.col("_ready"), F.col(f"_pairs.{n}")))
-    out = out.withColumn("_c", _newton_udf()("_xs", "_ys"))
-    p = 1 / (1 + F.exp(-(F.col("_c.a") + F.col("_c.b") * F.col("confidence"))))
-    drop = {name, "confidence_calibration_rows", "confidence_calibration_fallback"}
-    return out.select(*[c for c in df.columns if c not in drop], F.when(F.col("_ready"), p).otherwise(F.col("confidence")).alias(name),
-                      F.size("_pairs").alias("confidence_calibration_rows"), (~F.col("_ready")).cast("int").alias("confidence_calibration_fallback"))
+    added = [T.StructField("_p", T.DoubleType()), T.StructField("confidence_calibration_rows", T.IntegerType()), T.StructField("confidence_calibration_fallback", T.IntegerType())]
+
+    def fit(values, start):
+        x, y = earlier(values["confidence"], start, window), earlier(values["_hit"], start, window)
+        used = ~np.isnan(x) & ~np.isnan(y)
+        rows, ups = used.sum(1), np.where(used, y, 0.0).sum(1)
+        ready = (rows >= minimum) & (ups > 0) & (ups < rows)
+        p = np.full(len(x), np.nan)
+        a, b = _newton(x[ready], y[ready], used[ready])
+        p[ready] = 1 / (1 + np.exp(-(a + b * values["confidence"][start:][ready])))
+        return {"_p": p, "confidence_calibration_rows": rows, "confidence_calibration_fallback": (~ready).astype(int)}
+
+    rest = [c for c in df.columns if c not in {name, "confidence_calibration_rows", "confidence_calibration_fallback"}]
+    out = in_blocks(df.select(*rest, F.col("correct").cast("int").alias("_hit")), keys, pos, window, ["confidence", "_hit"], added, fit)
+    return out.select(*rest, F.when(F.col("confidence_calibration_fallback") == 0, F.col("_p")).otherwise(F.col("confidence")).alias(name), "confidence_calibration_rows", "confidence_calibration_fallback")
 
 
 def reliability_bins(df: DataFrame, keys: Sequence[str], edges: Sequence[float], confidence: str = "confidence") -> DataFrame:
@@ -191,18 +160,24 @@ def isotonic_calibrate(df: DataFrame, keys: Sequence[str], score: str, target: s
                        window: int = 252, minimum: int = 60) -> DataFrame:
     """Isotonic map of scores fitted on earlier eligible resolved rows; identity where too few or one class.
 
-    The earlier pairs of each row come from a bounded frame.
+    Rows without a score are not fitted on.
     """
-    w = prior(ordered(keys, pos), window)
-    known = eligible & F.col(target).isNotNull()
-    pair = F.when(known, F.struct(F.col(score).alias("x"), F.col(target).cast("double").alias("y")))
-    out = spread(df, keys).withColumn("_p", F.collect_list(pair).over(w)).withColumn("_el", eligible)
-    ups = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p["y"])
-    out = out.withColumn("_ready", F.col("_el") & (F.size("_p") >= minimum) & (ups > 0) & (ups < F.size("_p")))
-    out = out.withColumn("_xs", F.when(F.col("_ready"), F.col("_p.x"))).withColumn("_ys", F.when(F.col("_ready"), F.col("_p.y")))
-
-    out = out.withColumn("_f", _isotonic_udf()("_xs", "_ys", score))
-    return out.select(*df.columns, F.when(F.col("_ready"), F.col("_f")).otherwise(F.col(score)).alias("calibrated_probability"),
-                      F.when(F.col("_el"), F.size("_p")).otherwise(0).alias("calibration_rows"), F.col("_ready").alias("calibration_applied"))
-
-
+    known = F.coalesce(eligible & F.col(target).isNotNull(), F.lit(False))
+    rows = df.withColumn("_el", F.coalesce(eligible, F.lit(False)).cast("int")).withColumn("_y", F.when(known, F.col(target).cast("double")))
+    added = [T.StructField("_f", T.DoubleType()), T.StructField("_n", T.IntegerType()), T.StructField("_ready", T.IntegerType())]
+
+    def fit(values, start):
+        own, at = values["_el"][start:] > 0, values[score][start:]
+        x, y = earlier(values[score], start, window), earlier(values["_y"], start, window)
+        used = ~np.isnan(x) & ~np.isnan(y)
+        size, ups = used.sum(1), np.where(used, y, 0.0).sum(1)
+        ready = own & (size >= minimum) & (ups > 0) & (ups < size)
+        f = np.full(len(at), np.nan)
+        for i in np.flatnonzero(ready):
+            f[i] = _isotonic(x[i][used[i]], y[i][used[i]], at[i])
+        return {"_f": f, "_n": size, "_ready": ready.astype(int)}
+
+    out = in_blocks(rows, keys, pos, window, [score, "_y", "_el"], added, fit)
+    ready = F.col("_ready") == 1
+    return out.select(*df.columns, F.when(ready, F.col("_f")).otherwise(F.col(score)).alias("calibrated_probability"),
+                      F.when(F.col("_el") == 1, F.col("_n")).otherwise(0).alias("calibration_rows"), ready.alias("calibration_applied"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.frames import diff, full, growth, ordered, prior
+from tidemark.operators.blocks import earlier, in_blocks
 
 
 def price_features(df: DataFrame, keys: Sequence[str], prefix: str = "", lag: int = 0) -> DataFrame:
@@ -85,51 +87,42 @@ def direction_runs(df: DataFrame, keys: Sequence[str], pos: str, label: str, bro
     return runs
 
 
-def weighted_median_scale(x: Column, y: Column, w: WindowSpec, window: int, minimum: int) -> Column:
-    """Weighted median of y/x (weights |x|) over earlier resolved rows, clipped to [0, 1].
+def weighted_median_scale(df: DataFrame, keys: Sequence[str], pos: str, x: str, y: str, window: int, minimum: int, names: tuple[str, str] = ("scale", "rows")) -> DataFrame:
+    """Add the weighted median of y/x (weights |x|) over earlier resolved rows, clipped to [0, 1], and their number; 0 below `minimum`."""
 
-    Returns struct(scale, rows).  The frame holds at most `window` pairs, which
-    are sorted once and folded inside one row's expression; lambda arguments
-    keep the sorted array and its half weight from being evaluated again.
-    """
-    usable = y.isNotNull() & (F.abs(x) > 1e-12)
-    pair = F.when(usable, F.struct((y / x).alias("r"), F.abs(x).alias("w")))
-    pairs = F.array_sort(F.collect_list(pair).over(prior(w, window)))
-
-    def step(a, p):
-        c = a["c"] + p["w"]
-        return F.struct(c.alias("c"), F.coalesce(a["v"], F.when(c >= a["h"], p["r"])).alias("v"), a["h"].alias("h"))
-
-    def solve(s):
-        half = F.aggregate(s, F.lit(0.0), lambda a, p: a + p["w"]) / 2
-        start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("v"), half.alias("h"))
-        median = F.coalesce(F.aggregate(s, start, step)["v"], F.try_element_at(s, F.lit(-1))["r"])
-        value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), median))
-        return F.struct(F.when(F.size(s) >= minimum, value).otherwise(0.0).alias("scale"), F.size(s).alias("rows"))
+    def medians(values, start):
+        xs, ys = earlier(values[x], start, window), earlier(values[y], start, window)
+        usable = ~np.isnan(ys) & (np.abs(xs) > 1e-12)
+        ratio = np.divide(ys, xs, out=np.full(xs.shape, np.inf), where=usable)
+        weight = np.where(usable, np.abs(xs), 0.0)
+        ratio, weight = ratio.ravel(), weight.ravel()
+        order = np.lexsort((weight, ratio, np.repeat(np.arange(len(xs)), window))).reshape(len(xs), window)
+        mass = weight[order].cumsum(1)
+        size = usable.sum(1)
+        middle = np.minimum((mass < mass[:, -1:] / 2).sum(1), np.maximum(size - 1, 0))
+        value = np.clip(ratio[order[np.arange(len(xs)), middle]], 0.0, 1.0)
+        return {names[0]: np.where(size >= max(minimum, 1), value, 0.0), names[1]: size}
 
-    return F.transform(F.array(pairs), solve)[0]
+    return in_blocks(df, keys, pos, window, [x, y], [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())], medians)
 
 
 def prior_quantiles(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], probs: Sequence[float],
                     window: int, minimum: int) -> DataFrame:
     """Add <column>_q<i>: linear quantiles of up to `window` earlier rows, at least `minimum` known.
 
-    A percentile over a sliding frame re-reads the frame for every row, so each
-    series (one row per session) is swept once by pandas' ordered rolling window
-    instead.  Series are spread over tasks by their keys.
+    A percentile over a sliding frame re-reads the frame for every row; here a
+    block is swept once by an ordered rolling window that starts on its halo.
     """
     cols = list(columns)
-    out = T.StructType([*df.schema.fields, *[T.StructField(f"{c}_q{i}", T.DoubleType()) for c in cols for i in range(len(probs))]])
 
-    def sweep(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
+    def sweep(values, start):
+        made = {}
         for c in cols:
-            seen = part[c].astype("float64").shift(1).rolling(window, min_periods=minimum)
-            for i, p in enumerate(probs):
-                part[f"{c}_q{i}"] = seen.quantile(p)
-        return part
+            seen = pd.Series(values[c]).shift(1).rolling(window, min_periods=minimum)
+            made |= {f"{c}_q{i}": seen.quantile(p).to_numpy()[start:] for i, p in enumerate(probs)}
+        return made
 
-    return df.groupBy(*keys).applyInPandas(sweep, out)
+    return in_blocks(df, keys, order, window, cols, [T.StructField(f"{c}_q{i}", T.DoubleType()) for c in cols for i in range(len(probs))], sweep)
 
 
 def half_life_weights(df: DataFrame, group: Sequence[str], age: Column, half_life: float, name: str = "weight") -> DataFrame:

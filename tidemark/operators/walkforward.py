@@ -2,9 +2,10 @@
 
 Eligibility, refit anchors and training counts are plain window expressions.
 Fits run in grouped maps keyed by (series, block of positions).  A block holds
-its own rows, those of the block before it as training history, and the rows its
-anchors serve, so a row is shipped at most three times, a task's size is fixed by
-the block length, and the number of groups grows with series x history.
+the training history of its anchors, at most one window before it, and the rows
+its anchors serve, so a row is shipped a fixed number of times, a group's size
+is fixed by the block and window length, and the number of groups grows with
+series x history.
 """
 
 from __future__ import annotations
@@ -16,64 +17,71 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.group import GroupedData
 
 from tidemark.functions.frames import ordered
 from tidemark.operators.series import chained_anchors, modular_anchors, window_sum, with_running
 
 WINDOW, MINIMUM, INTERVAL, BLOCK = 756, 120, 5, 756
+SHORT_BLOCK = 252
 
-CANDIDATES: dict[str, Callable] = {}
-
-
-def register_candidate(name: str, factory: Callable) -> Callable:
-    """Make a learner available by name.  factory() -> fit(X, y, w) -> predict(X)."""
-    CANDIDATES[name] = factory
-    return factory
-
-
-def logistic(c: float = 0.1, scale: bool = True) -> Callable:
-    """L2-penalised weighted logistic regression with a free intercept.
+class Logistic:
+    """Solution of an L2-penalised weighted logistic regression with a free intercept.
 
     Minimises c * sum(w * loss) + |b|^2 / 2, by default on features scaled by the
-    weighted mean and population deviation of the training rows.
+    weighted mean and population deviation of the training rows.  `start` is the
+    solution for a neighbouring window: its coefficients are carried over to the
+    new scale, which leaves Newton's method a step or two; the minimum is the
+    same from any start.
     """
 
-    def fit(x, y, w):
+    def __init__(self, x, y, w, c: float, scale: bool = True, start: Logistic | None = None):
         total = w.sum()
-        mean = (w[:, None] * x).sum(0) / total
-        spread = np.sqrt((w[:, None] * (x - mean) ** 2).sum(0) / total)
-        spread[spread <= 1e-12] = 1.0
+        self.mean = (w[:, None] * x).sum(0) / total
+        self.spread = np.sqrt((w[:, None] * (x - self.mean) ** 2).sum(0) / total)
+        self.spread[self.spread <= 1e-12] = 1.0
         if not scale:
-            mean, spread = np.zeros_like(mean), np.ones_like(spread)
-        z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
+            self.mean, self.spread = np.zeros_like(self.mean), np.ones_like(self.spread)
+        z = self._scaled(x)
         ridge = np.ones(z.shape[1])
         ridge[0] = 0.0
         beta = np.zeros(z.shape[1])
+        if start is not None:
+            slope = start.beta[1:] / start.spread
+            beta = np.concatenate(([start.beta[0] + slope @ (self.mean - start.mean)], slope * self.spread))
 
         def loss(b):
             m = z @ b
             return c * (w * (np.logaddexp(0, m) - y * m)).sum() + 0.5 * (ridge * b * b).sum()
 
-        now = loss(beta)
+        now, self.steps = loss(beta), 0
         for _ in range(50):
             q = 1 / (1 + np.exp(-np.clip(z @ beta, -500, 500)))
             grad = c * (z.T @ (w * (q - y))) + ridge * beta
+            if np.abs(grad).max() < 1e-9:
+                break
             hess = c * (z.T * (w * q * (1 - q))) @ z + np.diag(ridge + 1e-12)
             step, length = np.linalg.solve(hess, grad), 1.0
             while loss(beta - length * step) > now + 1e-12 and length > 1e-6:
                 length /= 2
             beta = beta - length * step
+            self.steps += 1
             new = loss(beta)
-            if np.abs(grad).max() < 1e-9 or now - new < 1e-14:
+            if now - new < 1e-14:
                 break
             now = new
-        return lambda v: 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(v)), (v - mean) / spread]) @ beta, -500, 500)))
+        self.beta = beta
+
+    def _scaled(self, v):
+        return np.column_stack([np.ones(len(v)), (v - self.mean) / self.spread])
 
-    return fit
+    def __call__(self, v):
+        return 1 / (1 + np.exp(-np.clip(self._scaled(v) @ self.beta, -500, 500)))
 
 
-for _name, _c in (("logistic_0.1", 0.1), ("logistic_1", 1.0)):
-    register_candidate(_name, lambda c=_c: logistic(c))
+def logistic(c: float = 0.1, scale: bool = True) -> Callable:
+    """fit(X, y, w) -> predict(X) of `Logistic`."""
+    return lambda x, y, w: Logistic(x, y, w, c, scale)
 
 
 def folds(df: DataFrame, keys: Sequence[str], eligible: Column, known: Column, target: Column, *, chained: bool = True,
@@ -92,32 +100,38 @@ def folds(df: DataFrame, keys: Sequence[str], eligible: Column, known: Column, t
     return assign(base, keys, "pos", ready, interval)
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
-    """Training copies of each row for its own and the next block, and a scoring copy in its anchor's block.
-
-    With block >= window an anchor finds its whole training window in its block.
-    """
+def _blocks(df: DataFrame, keys: Sequence[str], window: int, block: int) -> DataFrame:
+    """Training copies of each row for every block with an anchor at most `window` later, and a scoring copy in its anchor's block."""
     b = F.floor(F.col("pos") / block)
     role = lambda k, own: F.struct(k.alias("_block"), F.lit(own).alias("_own"))
-    roles = F.array(role(b, False), role(b + 1, False), F.when(F.col("anchor_pos").isNotNull(), role(F.floor(F.col("anchor_pos") / block), True)))
+    ahead = [role(b + k, False) for k in range(2 + (window - 1) // block)]
+    roles = F.array(*ahead, F.when(F.col("anchor_pos").isNotNull(), role(F.floor(F.col("anchor_pos") / block), True)))
     return df.withColumn("_role", F.explode(F.filter(roles, lambda r: r.isNotNull()))).select("*", "_role.*").drop("_role")
 
 
+def _groups(rows: DataFrame, keys: Sequence[str]) -> GroupedData:
+    """Blocks dealt over all partitions: fits cost time, not bytes, and adaptive execution would pack groups of few bytes into one task."""
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys, "_block").groupBy(*keys, "_block")
+
+
 RESULT = (T.StructField("probability", T.DoubleType()), T.StructField("training_rows", T.LongType()), T.StructField("last_training_date", T.DateType()),
           T.StructField("effective_rows", T.DoubleType()), T.StructField("largest_weight_share", T.DoubleType()))
 
 
 def walk_forward(folded: DataFrame, keys: Sequence[str], features: Sequence[str], learner: Callable, *, weight: str = "uniform",
-                 magnitude: str = "real_pct_change", half_life: float = 126.0, window: int = WINDOW) -> DataFrame:
+                 magnitude: str = "real_pct_change", half_life: float = 126.0, window: int = WINDOW, block: int | None = None) -> DataFrame:
     """Score every anchored row with the model fitted at its anchor.
 
     weight: uniform, recent (half-life by age), magnitude (absolute outcome, zero
-    excluded) or balanced (by outcome direction).  Returns keys, pos and RESULT.
+    excluded), balanced (by outcome direction) or classes (by target).  `block`
+    is the length of a group; slow learners take short ones, so that more tasks
+    share the fits.  Returns keys, pos and RESULT.
     """
     keys = list(keys)
-    block = max(BLOCK, window)
+    block = block or max(BLOCK, window)
     need = [*keys, "pos", "trade_date", "fold_known", "fold_target", "anchor_pos", magnitude, *features]
-    rows = _blocks(folded.select(*dict.fromkeys(need)), keys, block)
+    rows = _blocks(folded.select(*dict.fromkeys(need)), keys, window, block)
     out = T.StructType([*[f for f in folded.schema.fields if f.name in keys or f.name == "pos"], *RESULT])
     cols, names, fit = list(features), [f.name for f in out.fields], learner
 
@@ -143,6 +157,8 @@ def walk_forward(folded: DataFrame, keys: Sequence[str], features: Sequence[str]
             elif weight == "balanced":
                 up = (size[h] > 0).astype(int)
                 w = len(h) / (2 * np.maximum(np.bincount(up, minlength=2)[up], 1))
+            elif weight == "classes":
+                w = len(h) / (2 * np.bincount(y[h].astype(int), minlength=2)[y[h].astype(int)])
             w = w / w.mean()
             p = fit(x[h], y[h], w)(now[cols].to_numpy(dtype=float))
             done.append(now[[*keys, "pos"]].assign(
@@ -150,17 +166,18 @@ def walk_forward(folded: DataFrame, keys: Sequence[str], features: Sequence[str]
                 effective_rows=float(w.sum() ** 2 / (w * w).sum()), largest_weight_share=float(w.max() / w.sum())))
         return pd.concat(done)[names] if done else pd.DataFrame(columns=names)
 
-    return rows.groupBy(*keys, "_block").applyInPandas(run, out)
+    return _groups(rows, keys).applyInPandas(run, out)
 
 
-def downside_probabilities(stream: DataFrame, features: Sequence[str], available: Column, keys: Sequence[str] = ("series_id",), *, weight: str = "uniform", c: float = 0.1) -> DataFrame:
-    """Probability that an up-forecast fails, learned on earlier up-forecasts."""
+def downside_probabilities(stream: DataFrame, features: Sequence[str], available: Column, keys: Sequence[str] = ("series_id",), *, weight: str = "uniform",
+                           learner: Callable | None = None, block: int | None = None) -> DataFrame:
+    """Probability that an up-forecast fails, learned on earlier up-forecasts (by default a logistic model)."""
     up = F.col("predicted_label") == 1
     known = up & available & F.col("real_pct_change").isNotNull()
     if weight == "magnitude":
         known = known & (F.col("real_pct_change") != 0)
     f = folds(stream, keys, up & available, known, F.col("real_pct_change") <= 0)
-    return _attach(stream, walk_forward(f, keys, features, logistic(c), weight=weight), keys)
+    return _attach(stream, walk_forward(f, keys, features, learner or logistic(), weight=weight, block=block), keys)
 
 
 def _attach(stream: DataFrame, scores: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -202,26 +219,41 @@ def laplace_fallback(df: DataFrame, keys: Sequence[str], label: Column, window:
     return d.withColumn("history_rows", window_sum("_n", w, window)).withColumn("fallback_probability", (window_sum("_u", w, window) + 1) / (F.col("history_rows") + 2)).drop("_n", "_u")
 
 
-def pooled_walk_forward(df: DataFrame, features: Sequence[str], target: str, estimator, cuts: Sequence[str], keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    """Train one pyspark.ml model per cut date on all series' earlier rows and score up to the next cut.
+def rolling_probabilities(df: DataFrame, features: Sequence[str], label: Column, keys: Sequence[str] = ("series_id",), *, learner: Callable, window: int = WINDOW,
+                          minimum: int = 252, interval: int = INTERVAL, block: int = SHORT_BLOCK) -> DataFrame:
+    """Probability of label 1 for every row with known features, refitted where pos % interval == 0.
 
-    Rows are (keys, trade_date, target, features); only the list of cut dates is
-    walked on the driver, training and scoring are distributed.
+    Adds probability, training_rows, last_training_date and fallback.  Where
+    earlier labelled rows are too few or of one class, the probability is the
+    smoothed rate (ups + 1) / (rows + 2); a row with an unknown feature has none.
+    """
+    known = F.lit(True)
+    for name in features:
+        known = known & F.col(name).isNotNull() & ~F.isnan(name)
+    rows = df.withColumn("_label", F.when(known, label.cast("int")))
+    f = folds(rows, keys, known, F.col("_label").isNotNull(), F.col("_label"), chained=False, window=window, minimum=minimum, interval=interval)
+    scores = walk_forward(f, keys, features, learner, window=window, block=block).drop("effective_rows", "largest_weight_share")
+    j = laplace_fallback(rows, keys, F.col("_label"), window).join(scores, [*keys, "pos"], "left").withColumn("fallback", F.col("probability").isNull())
+    rate = F.when(known, F.col("fallback_probability"))
+    return j.withColumn("probability", F.coalesce("probability", rate)).withColumn("training_rows", F.when(known, F.coalesce("training_rows", "history_rows"))).drop("_label", "fallback_probability", "history_rows")
+
+
+def best_engines(engines: DataFrame, label: Column, keys: Sequence[str] = ("series_id",), *, name: str = "engine", top: int = 3, window: int = 252) -> DataFrame:
+    """Mean probability of the `top` engines by log loss on earlier out-of-sample rows.
+
+    `engines` has one row per engine, key and position.  An engine's own
+    probabilities are walked forward, so ranking them by earlier rows selects
+    without looking ahead; engines without a scored row come last, equals by name.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df).withColumn("label", F.col(target).cast("double"))
-    parts = None
-    for i, cut in enumerate(cuts):
-        train = data.where((F.col("trade_date") < cut) & F.col("label").isNotNull())
-        test = data.where(F.col("trade_date") >= cut)
-        if i + 1 < len(cuts):
-            test = test.where(F.col("trade_date") < cuts[i + 1])
-        model = estimator.copy().setFeaturesCol("_x").setLabelCol("label").fit(train)
-        scored = model.transform(test).select(*keys, "trade_date", F.lit(cut).alias("fold_start"), vector_to_array("probability")[1].alias("probability"), "label")
-        parts = scored if parts is None else parts.unionByName(scored)
-    return parts
+    from pyspark.sql import Window
+
+    p = F.least(F.greatest(F.col("probability"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    loss = F.when(label.isNotNull(), -F.when(label == 1, F.ln(p)).otherwise(F.ln(1 - p)))
+    own = Window.partitionBy(name, *keys).orderBy("pos").rowsBetween(-window, -1)
+    ranked = engines.where("probability IS NOT NULL").withColumn("_l", F.avg(loss).over(own))
+    place = F.row_number().over(Window.partitionBy(*keys, "pos").orderBy(F.col("_l").asc_nulls_last(), name))
+    chosen = ranked.withColumn("_r", place).where(F.col("_r") <= top)
+    return chosen.groupBy(*keys, "pos").agg(F.avg("probability").alias("probability"), F.array_join(F.sort_array(F.collect_list(name)), "+").alias("engines"), F.min("_l").alias("best_log_loss"))
 
 
 CHOICE = (T.StructField("anchor_pos", T.IntegerType()), T.StructField("features", T.StringType()), T.StructField("inverse_penalty", T.DoubleType()), T.StructField("correction_threshold", T.DoubleType()),
@@ -236,15 +268,15 @@ def nested_attempts(folded: DataFrame, keys: Sequence[str], feature_sets: dict[s
 
     The last blocks of known rows before an anchor are validated in order, each on
     the rows before it; paired counts compare corrections with the incumbent on
-    all resolved rows between the block's ends.
+    all resolved rows between the block's ends.  Each fit starts from the last
+    one of its feature set, penalty and validation block.
     """
     keys = list(keys)
     modes = {k: list(v) for k, v in feature_sets.items()}
     allf = list(dict.fromkeys(n for v in modes.values() for n in v))
     need = [*keys, "pos", "trade_date", "fold_known", "fold_target", "anchor_pos", "predicted_label", "real_pct_change", *allf]
-    rows = _blocks(folded.select(*dict.fromkeys(need)), keys, max(BLOCK, window))
+    rows = _blocks(folded.select(*dict.fromkeys(need)), keys, window, SHORT_BLOCK)
     out = T.StructType([*[f for f in folded.schema.fields if f.name in keys], *CHOICE])
-    learners = {c: logistic(c) for c in penalties}
     names = [f.name for f in out.fields]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -253,7 +285,7 @@ def nested_attempts(folded: DataFrame, keys: Sequence[str], feature_sets: dict[s
         pos, known, y = part["pos"].to_numpy(), part["fold_known"].to_numpy(dtype=bool), part["fold_target"].to_numpy(dtype=float)
         label, real = part["predicted_label"].to_numpy(dtype=int), part["real_pct_change"].to_numpy(dtype=float)
         x = {m: part[cols].to_numpy(dtype=float) for m, cols in modes.items()}
-        done = []
+        done, last = [], {}
         for anchor in own["pos"]:
             h = np.flatnonzero(known & (pos < anchor) & (pos >= anchor - window))
             first = len(h) - blocks * block_rows
@@ -265,8 +297,9 @@ def nested_attempts(folded: DataFrame, keys: Sequence[str], feature_sets: dict[s
                 res = span[np.isfinite(real[span])]
                 truth = real[res] > 0
                 for m in modes:
-                    for c, fit in learners.items():
-                        p = np.clip(fit(x[m][train], y[train], np.ones(len(train)))(x[m][test]), 1e-12, 1 - 1e-12)
+                    for c in penalties:
+                        model = last[m, c, b] = Logistic(x[m][train], y[train], np.ones(len(train)), c, start=last.get((m, c, b)))
+                        p = np.clip(model(x[m][test]), 1e-12, 1 - 1e-12)
                         loss = float(-np.mean(y[test] * np.log(p) + (1 - y[test]) * np.log1p(-p)))
                         for t in thresholds:
                             flip = np.isin(res, test[p >= t])
@@ -275,7 +308,7 @@ def nested_attempts(folded: DataFrame, keys: Sequence[str], feature_sets: dict[s
                                          int(truth.sum()), int((~truth).sum()), int(delta[truth].sum()), int(delta[~truth].sum()), len(h), part["trade_date"].iloc[test[-1]]))
         return pd.DataFrame(done, columns=names)
 
-    return rows.groupBy(*keys, "_block").applyInPandas(run, out)
+    return _groups(rows, keys).applyInPandas(run, out)
 
 
 def paired_report(attempts: DataFrame) -> DataFrame:
@@ -320,11 +353,11 @@ def nested_probabilities(folded: DataFrame, selected: DataFrame, keys: Sequence[
     modes = {k: list(v) for k, v in feature_sets.items()}
     allf = list(dict.fromkeys(n for v in modes.values() for n in v))
     need = [*keys, "pos", "trade_date", "fold_known", "fold_target", "anchor_pos", "_mode", "_c", "selected_threshold", *allf]
-    parts = _blocks(rows.select(*dict.fromkeys(need)), keys, max(BLOCK, window))
+    parts = _blocks(rows.select(*dict.fromkeys(need)), keys, window, SHORT_BLOCK)
     extra = [T.StructField("probability", T.DoubleType()), T.StructField("training_rows", T.LongType()), T.StructField("last_training_date", T.DateType()),
              T.StructField("selected_features", T.StringType()), T.StructField("selected_c", T.DoubleType()), T.StructField("selected_threshold", T.DoubleType())]
     out = T.StructType([*[f for f in folded.schema.fields if f.name in keys or f.name == "pos"], *extra])
-    names, make = [f.name for f in out.fields], logistic
+    names = [f.name for f in out.fields]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos", kind="stable")
@@ -334,8 +367,8 @@ def nested_probabilities(folded: DataFrame, selected: DataFrame, keys: Sequence[
         for (anchor, mode, c), now in own.groupby(["anchor_pos", "_mode", "_c"]):
             cols = modes[mode]
             h = np.flatnonzero(known & (pos < anchor) & (pos >= anchor - window))
-            p = make(c)(part[cols].to_numpy(dtype=float)[h], y[h], np.ones(len(h)))(now[cols].to_numpy(dtype=float))
+            p = Logistic(part[cols].to_numpy(dtype=float)[h], y[h], np.ones(len(h)), c)(now[cols].to_numpy(dtype=float))
             done.append(now[[*keys, "pos", "selected_threshold"]].assign(probability=p, training_rows=len(h), last_training_date=part["trade_date"].iloc[h[-1]], selected_features=mode, selected_c=c))
         return pd.concat(done)[names] if done else pd.DataFrame(columns=names)
 
-    return parts.groupBy(*keys, "_block").applyInPandas(run, out)
+    return _groups(parts, keys).applyInPandas(run, out)

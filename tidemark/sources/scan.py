@@ -5,16 +5,25 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.frames import ordered
 
-# Accepted spellings per canonical price column (fixed values).
+# Accepted spellings per canonical price column, first match wins (fixed values).
 ALIASES = {
-    "trade_date": ("trade_date", "date", "日期", "tradedate"), "open": ("open", "开盘", "开盘价"), "high": ("high", "最高", "最高价"),
-    "low": ("low", "最低", "最低价"), "close": ("close", "收盘", "收盘价"), "latest": ("latest", "最新价"), "pre_close": ("pre_close", "preclose", "昨收", "前收盘"),
-    "change": ("change", "涨跌额"), "pct_chg": ("pct_chg", "pctchange", "涨跌幅"), "vol": ("vol", "volume", "成交量"), "amount": ("amount", "成交额"),
+    "trade_date": ("trade_date", "trade_dt", "date", "日期", "tradedate", "datetime", "time", "opdate"),
+    "open": ("open", "今开", "开盘", "开盘价", "s_dq_open", "s_open", "adj_open"),
+    "high": ("high", "最高", "最高价", "s_dq_high", "s_high", "adj_high"),
+    "low": ("low", "最低", "最低价", "s_dq_low", "s_low", "adj_low"),
+    "close": ("close", "latest", "最新价", "收盘", "收盘价", "s_dq_close", "s_close", "adj_close"),
+    "pre_close": ("pre_close", "preclose", "prev_close", "previous_close", "昨收", "前收盘", "s_dq_preclose"),
+    "change": ("change", "chg", "涨跌额"),
+    "pct_chg": ("pct_chg", "pct_change", "change_pct", "pctchange", "涨跌幅", "s_dq_pctchange"),
+    "vol": ("vol", "volume", "成交量", "s_dq_volume", "s_volume"),
+    "amount": ("amount", "amt", "turnover", "成交额", "s_dq_amount", "s_amount"),
+    "swing": ("swing", "振幅"),
 }
 
 
@@ -147,13 +156,40 @@ def write_snapshot(df: DataFrame, path: str, date: str = "trade_date") -> None:
     out.hint("rebalance", F.col("year"), F.col("month"), F.col("day")).write.mode("errorifexists").partitionBy("year", "month", "day").parquet(path)
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, length and sha256 of every file under a folder; hashing runs where the files are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet", leaf_bytes: int = 16 << 20, fan: int = 1024) -> DataFrame:
+    """file (path under the folder), length and sha256 of every file: the root of a hash tree over its byte ranges.
+
+    Files are read as records between newline bytes, whole by no task, and no
+    file or range is one cell.  A record's place is the running length of the
+    records before it: within its split, after the splits before that.  A leaf
+    is an order-free sum over the places and bytes of the records that start in
+    its `leaf_bytes`, so it does not depend on how files were split; leaves are
+    hashed in order by `fan` into nodes, and nodes with the length into the
+    root.  Compressed text is read uncompressed.  Spark's scans pass over files
+    of no bytes, so they are not listed.
+    """
+    root = path.rstrip("/").split("/")[-1]
+    named = lambda c: F.regexp_extract(F.url_decode(F.regexp_replace(c, "\\+", "%2B")), f"/{root}/(.*)$", 1)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    files = found.select(named(F.col("path")).alias("file"), "length")
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    records = lines.select(named(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"),
+                           F.col("value").cast("binary").alias("bytes")).withColumn("size", F.octet_length("bytes") + F.lit(1).cast("bigint"))
+    earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    splits = records.groupBy("file", "split").agg(F.sum("size").alias("n"))
+    splits = splits.select("file", "split", F.coalesce(F.sum("n").over(earlier(["file"], "split")), F.lit(0)).alias("base"))
+    hashed = records.select("file", "split", "seq", "size", F.sha2("bytes", 256).alias("h"))
+    placed = hashed.withColumn("at", F.coalesce(F.sum("size").over(earlier(["file", "split"], "seq")), F.lit(0))).join(splits, ["file", "split"]).withColumn("at", F.col("at") + F.col("base"))
+    leaf = F.floor(F.col("at") / leaf_bytes)
+    leaves = placed.withColumn("leaf", leaf).groupBy("file", "leaf").agg(content_hash("at", "h").alias("h"))
+    in_order = lambda key: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), "/"), 256)
+    nodes = leaves.withColumn("node", F.floor(F.col("leaf") / fan)).groupBy("file", "node").agg(in_order("leaf").alias("h"))
+    roots = nodes.groupBy("file").agg(in_order("node").alias("h"))
+    return files.join(roots, "file", "left").select("file", "length", F.sha2(F.concat_ws("/", F.col("length").cast("string"), F.coalesce("h", F.lit(""))), 256).alias("sha256"))
 
 
 def manifest_differences(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """Files that are missing, unexpected or changed since the stored manifest."""
     j = stored.select("file", F.col("sha256").alias("s")).join(current.select("file", F.col("sha256").alias("c")), "file", "full")
     rule = F.when(F.col("c").isNull(), "missing").when(F.col("s").isNull(), "unexpected").when(F.col("s") != F.col("c"), "changed")
     return j.withColumn("rule", rule).where(F.col("rule").isNotNull()).select("file", "rule")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,17 @@ EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("t
                        T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting for the streams started inside; the former one afterwards."""
+    former = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, former)
+
+
 def event_stream(spark: SparkSession, root: str) -> DataFrame:
     """The event files as a stream with an instant column `at`."""
     raw = spark.readStream.schema(EVENTS).parquet(f"{root}/event[s].parquet")
