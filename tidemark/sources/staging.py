@@ -41,4 +41,13 @@ def stage(df: DataFrame, name: str, **options) -> DataFrame:
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").options(**options).parquet(path)
     leave_with_session(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read again; what was computed from them must have been written."""
+    for table in staged:
+        target = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_at)  # noqa: SLF001
+        target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
