@@ -435,6 +435,14 @@ def m13(spark, d):
     return E.multi_stream_comparison(J.common_dates(s, "stream_id", G, "base", 60), s, window, G, "stream_id", 60)
 
 
+@query("m13_running_comparison", GKEY + "trade_date:d predicted_label:i running_accuracy:f disagreement:b", S.with_(S.STREAMS, THIN.replace("NOT (stream_id", "real_pct_change IS NOT NULL AND NOT (stream_id", 1), SHARED)
+       + f"SELECT *, avg(correct::INT) {S.over(SPART, 'trade_date')} AS running_accuracy, count(DISTINCT predicted_label) OVER (PARTITION BY series_id, trade_date) > 1 AS disagreement FROM thin JOIN shared USING (series_id, trade_date)")
+def m13r(spark, d):
+    """Accuracy of each stream up to every shared date, and the dates on which streams disagree."""
+    s = E.resolved(thinned(spark, d))
+    return E.running_comparison(J.common_dates(s, "stream_id", G, "base", 60), G, "stream_id")
+
+
 @query("m14_overlay_attribution", "series_id:s sample:s rows:i trigger_rate:f accuracy:f accuracy_lift:f directional_return_lift:f",
        S.with_(S.STREAMS, PROPOSED, D2SQL, """att AS (SELECT r.*, b.predicted_label AS bl, row_number() OVER (PARTITION BY r.series_id ORDER BY r.trade_date DESC) AS back FROM rep r JOIN base b USING (series_id, trade_date) WHERE r.real_pct_change IS NOT NULL)""")
        + " UNION ALL ".join(f"""SELECT series_id, '{n}' AS sample, sum(correction_selected::INT) AS rows, avg(correction_selected::INT) AS trigger_rate, avg(CASE WHEN correction_selected THEN correct::INT END) AS accuracy,

@@ -14,7 +14,7 @@ from tidemark.catalog import panels as C
 from tidemark.catalog import rules as RQ
 from tidemark.catalog import sqltext as S
 from tidemark.catalog.features import BREADTH, FUT, OPT, aligned, spec, stock_calendar
-from tidemark.catalog.registry import query
+from tidemark.catalog.registry import ORACLES, QUERIES, query
 from tidemark.functions.scalars import all_known
 from tidemark.operators import calibrate as K
 from tidemark.operators import evaluate as E
@@ -51,6 +51,16 @@ def m15(spark, d):
     return E.prospective_audit(x.where("stream_id = 'level'"), x.where("stream_id = 'base'"), SID, F.col("live"))
 
 
+@query("m5_live_statistics", "series_id:s rows:i accuracy:f start_date:d end_date:d date_basis:s live_rows:i",
+       S.with_(S.STREAMS, LG.STAMP) + """SELECT series_id, count(*) AS rows, avg(correct::INT) AS accuracy, CASE WHEN count(t) = count(*) THEN min(t) ELSE min(trade_date) END AS start_date, CASE WHEN count(t) = count(*) THEN max(t) ELSE max(trade_date) END AS end_date,
+  CASE WHEN count(t) = count(*) THEN 'target_trade_date' ELSE 'signal_date' END AS date_basis, count(*) FILTER (created_at < opens) AS live_rows FROM (SELECT *, CASE WHEN NOT (series_id = '5-LOW' AND day(trade_date) = 20) THEN target_date END AS t FROM stp WHERE real_pct_change IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY trade_date DESC) <= 60) GROUP BY 1""")
+def m5_live(spark, d):
+    """Statistics of the last 60 settled rows by target session, where all are known, with the rows generated live."""
+    lost = (F.col("series_id") == "5-LOW") & (F.dayofmonth("trade_date") == 20)
+    s = LG.stamped(spark, d).withColumn("origin", G.origin(F.col("created_at"), F.col("target_date"))).withColumn("target_date", F.when(~lost, F.col("target_date")))
+    return E.settled_statistics(s, SID, 60, "target_date", "origin")
+
+
 @query("e1_freeze_baseline", "series_id:s window:s rows:i accuracy:f balanced_accuracy:f return_mae:f",
        S.with_(S.STREAMS, M.windows_sql("base", M.START, M.DEV, (252, 20))) + f"SELECT series_id, \"window\", {M.M} FROM wrows WHERE \"window\" NOT IN ('test', 'development') GROUP BY 1, 2")
 def e1(spark, d):
@@ -60,10 +70,13 @@ def e1(spark, d):
 
 @query("e2_strict_acceptance", "series_id:s checks:i passed_checks:i violations:i accepted:b",
        S.with_(S.STREAMS, M.PROPOSED, M.D2SQL, "bres AS (SELECT * FROM base WHERE real_pct_change IS NOT NULL)", "rres AS (SELECT * FROM rep WHERE real_pct_change IS NOT NULL)", M.platt_sql("rres", 300, 60, "pc"), M.platt_sql("bres", 300, 60, "pr")).rstrip()
-       + M.strict_sql().replace(" SELECT series_id, w AS", ", chk AS (SELECT series_id, w AS", 1) + ") SELECT series_id, count(*) AS checks, sum(passed::INT) AS passed_checks, 0 AS violations, bool_and(passed) AS accepted FROM chk GROUP BY 1")
+       + M.strict_sql().replace(" SELECT series_id, w AS", ", chk AS (SELECT series_id, w AS", 1) + """), bad AS (SELECT series_id, sum((predicted_label NOT IN (0, 1))::INT + (predicted_pct_change <> 0 AND (predicted_pct_change > 0)::INT <> predicted_label)::INT + (correct IS DISTINCT FROM (predicted_label = (real_pct_change > 0)::INT))::INT
+  + (NOT (confidence BETWEEN 0 AND 1 AND calibrated_confidence BETWEEN 0 AND 1))::INT) AS violations FROM (SELECT * REPLACE (CASE WHEN day(trade_date) = 9 THEN 1.5 ELSE calibrated_confidence END AS calibrated_confidence) FROM rres) GROUP BY 1)
+SELECT *, violations = 0 AND checks = passed_checks AS accepted FROM (SELECT series_id, count(*) AS checks, sum(passed::INT) AS passed_checks FROM chk GROUP BY 1) JOIN bad USING (series_id)""")
 def e2(spark, d):
-    """Candidate invariants and the strict gate."""
-    return B.strict_acceptance(base_stream(spark, d), stage(M.replaced(spark, d), "candidate"), SID, M.START)
+    """Candidate invariants, broken on some days, and the strict gate."""
+    spoiled = F.when(F.dayofmonth("trade_date") == 9, F.lit(1.5)).otherwise(F.col("calibrated_confidence"))
+    return B.strict_acceptance(base_stream(spark, d), stage(M.replaced(spark, d).withColumn("calibrated_confidence", spoiled), "candidate"), SID, M.START)
 
 
 def adopted_sql(sql: str) -> str:
@@ -124,11 +137,32 @@ def e6(spark, d):
     return residual_selection(spark, d, N.residual_family(merged, LQ.RESIDUAL, "history"))
 
 
-@query("e7_selective_sweep", M.CHECK_SPEC,
-       S.with_(S.STREAMS, M.PROPOSED, M.SWEPT, M._SEL).rstrip() + ", pick AS (SELECT series_id, threshold FROM se WHERE eligible QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY minimum_gain DESC, balanced_accuracy DESC, changed_rows, threshold) = 1), chosen AS (SELECT swp.* FROM swp JOIN pick USING (series_id, threshold))" + M.gate_sql("chosen"))
+#: Years before the others' development years, in which some challenger improves on the incumbent.
+EARLY_YEARS = (1996, 1997)
+_CH = "(CASE WHEN nl = 1 THEN pu ELSE 1 - pu END)"
+_CHOSEN = f"(nl <> predicted_label AND {_CH} >= threshold)"
+_E7 = S.with_(
+    S.STREAMS, M.PROPOSED.replace("SELECT b.*, ", "SELECT b.*, m.stream_id AS challenger, ").replace("m.stream_id = 'level'", "m.stream_id <> 'base'"),
+    "swp AS (" + M.flipped(_CHOSEN, f"CASE WHEN {_CHOSEN} THEN nl ELSE predicted_label END", _CH, "(SELECT * FROM prop, unnest([0.55, 0.6, 0.65, 0.7, 0.75]::DOUBLE[]) t(threshold))", ", challenger, threshold") + ")",
+    f"""dev AS (SELECT * FROM swp WHERE real_pct_change IS NOT NULL AND year(trade_date) IN {EARLY_YEARS}),
+sb AS (SELECT series_id, year(trade_date) AS y, {M.M} FROM base WHERE real_pct_change IS NOT NULL AND year(trade_date) IN {EARLY_YEARS} GROUP BY 1, 2),
+sy AS (SELECT series_id, challenger, threshold, year(trade_date) AS y, sum(correction_selected::INT) AS ch, {M.M} FROM dev GROUP BY 1, 2, 3, 4),
+sw AS (SELECT series_id, challenger, threshold, {M.M} FROM dev GROUP BY 1, 2, 3),
+sg AS (SELECT series_id, challenger, threshold, min(least(a.accuracy - b.accuracy, a.balanced_accuracy - b.balanced_accuracy)) AS minimum_gain, sum(ch) AS changed_rows, count(*) AS ny FROM sy a JOIN sb b USING (series_id, y) GROUP BY 1, 2, 3),
+pick AS (SELECT series_id, challenger, threshold FROM sg JOIN sw USING (series_id, challenger, threshold) WHERE minimum_gain >= -1e-12 AND changed_rows >= 5 AND ny = 2
+  QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY minimum_gain DESC, balanced_accuracy DESC, changed_rows, challenger, threshold) = 1),
+chosen AS (SELECT swp.* FROM swp JOIN pick USING (series_id, challenger, threshold))""")
+
+
+@query("e7_selective_sweep", M.CHECK_SPEC, _E7 + M.gate_sql("chosen"))
 def e7(spark, d):
-    """Threshold selected on development years, gate on the selection."""
-    return B.sweep_and_gate(stage(M.sweep(spark, d), "sweep"), base_stream(spark, d), SID, ["threshold"], YEARS, M.START)
+    """Challenger and threshold selected on development years, gate on the selection."""
+    s = forecast_streams(spark, d)
+    up = F.when(F.col("predicted_label") == 1, F.col("confidence")).otherwise(1 - F.col("confidence"))
+    others = s.where("stream_id <> 'base'").select("series_id", "pos", F.col("stream_id").alias("challenger"), F.col("predicted_label").alias("new_label"), up.alias("probability_up"))
+    swept = V.threshold_sweep(base_stream(spark, d).join(others, ["series_id", "pos"]), SWEEP)
+    swept = stage(V.selective_replacement(swept, "new_label", "probability_up", F.col("threshold"), STREAM_KEYS, calibrate=False), "sweep")
+    return B.sweep_and_gate(swept, base_stream(spark, d), SID, ["challenger", "threshold"], EARLY_YEARS, M.START)
 
 
 @query("e8_breadth_family", "candidate:s " + _SEL)
@@ -250,12 +284,15 @@ def e15(spark, d):
 
 @query("e16_context_ablation", "variant:s series_id:s rows:i brier:f4 log_loss:f4")
 def e16(spark, d):
-    """Specialist with and without the breadth block, scored on identical rows."""
-    s = LQ.special(spark, d)
+    """Specialist with and without trend breadth, fitted and scored on identical rows."""
+    trend = FQ.f16(spark, d).select("trade_date", "trend_available", *C.TREND_FEATURES)
+    s = LQ.special(spark, d).join(trend, "trade_date", "left")
+    ok = F.col("specialist_available") & F.coalesce("trend_available", F.lit(False)) & all_known(*[F.col(c) for c in C.TREND_FEATURES])
+    s = stage(s.withColumn("both_available", ok), "ablation")
     y = (F.col("real_pct_change") <= 0).cast("int")
     parts = {}
-    for name, cols in (("control", [c for c in LQ.SPECIAL if not c.startswith("breadth_")]), ("candidate", LQ.SPECIAL)):
-        p = L.downside_probabilities(s, cols, F.col("specialist_available")).where("downside_training_rows > 0 AND real_pct_change IS NOT NULL")
+    for name, cols in (("control", LQ.SPECIAL), ("candidate", (*LQ.SPECIAL, *C.TREND_FEATURES))):
+        p = L.downside_probabilities(s, cols, F.col("both_available")).where("downside_training_rows > 0 AND real_pct_change IS NOT NULL")
         parts[name] = E.probability_scores(p, SID, F.col("downside_probability"), y)
     return B.by_policy(parts, "variant")
 
@@ -283,6 +320,38 @@ def e18(spark, d):
     return X.breadth_features(cal.select("trade_date"), day, cal, lag=0)
 
 
+#: What the daily builds make: name, feature query and its availability column.
+PANELS = (("breadth", "f1_breadth_features", "breadth_available"), ("distribution", "f2_distribution_features", "distribution_available"), ("moneyflow", "f3_moneyflow_features", "moneyflow_available"),
+          ("capital", "f4_capital_features", "capital_available"), ("intraday", "f12_intraday_features", "intraday_available"), ("trend", "f16_trend_features", "trend_available"))
+CONTEXTS = (("moneyflow", "f3_moneyflow_features", "moneyflow_available"), ("capital", "f5_capital_close_features", "capital_available"), ("shares", "f6_share_change_features", "etf_available"),
+            ("funding", "f7_funding_features", "funding_available"), ("futures", "f8_futures_features", "futures_available"), ("fx", "f9_fx_features", "fx_available"),
+            ("overseas", "f10_global_risk_features", "global_available"), ("liquidity", "f13_liquidity_features", "liquidity_available"), ("option", "f14_option_features", "option_available"),
+            ("option_position", "f15_option_position_features", "option_position_available"))
+
+
+def builds_sql(parts):
+    return " UNION ALL ".join(f"SELECT '{name}' AS build, trade_date, count(*) AS rows, sum({available}) AS available_rows FROM ({ORACLES[source]}) GROUP BY 2" for name, source, available in parts)
+
+
+def builds(spark, d, parts):
+    """Each set built and landed as a table, then counted by session from the landed rows."""
+    landed = {name: stage(QUERIES[source](spark, d), f"build-{name}") for name, source, _ in parts}
+    counted = {name: landed[name].groupBy("trade_date").agg(F.count("*").alias("rows"), F.sum(available).alias("available_rows")) for name, _, available in parts}
+    return B.by_policy(counted, "build")
+
+
+@query("e18_all_panels", "build:s trade_date:d rows:i available_rows:i", builds_sql(PANELS))
+def e18_all(spark, d):
+    """Six daily panels built and landed, with their rows and available rows by session."""
+    return builds(spark, d, PANELS)
+
+
+@query("e19_all_contexts", "build:s trade_date:d rows:i available_rows:i", builds_sql(CONTEXTS))
+def e19_all(spark, d):
+    """Ten derived contexts built and landed, with their rows and available rows by session."""
+    return builds(spark, d, CONTEXTS)
+
+
 @query("e19_derived_context_build", "context:s trade_date:d available:b", S.with_(S.FUTURES, C.FUTURES_DAY, "cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS session_no FROM (SELECT DISTINCT trade_date FROM fut0))",
        "fx_ AS (SELECT * FROM (WITH " + aligned("futures", FUT, "fday", 1, keys="product").strip().lstrip(",").strip() + "))", S.OPTION, C.OPTION_DAY, "ox_ AS (SELECT * FROM (WITH " + aligned("option", OPT, "oday", 1, cal="ocal").strip().lstrip(",").strip() + "))")
        + "SELECT 'futures_' || product AS context, trade_date, futures_available AS available FROM fx_ UNION ALL SELECT 'option', trade_date, option_available FROM ox_")

@@ -12,6 +12,7 @@ from tidemark.operators import series as Q
 from tidemark.operators.asof import asof_join, range_expand
 from tidemark.operators.calendar import calendar_of, densify, lag_align, next_session
 from tidemark.sources import derive as D
+from tidemark.sources.staging import stage
 from tidemark.sources.streams import STREAM_KEYS, base_stream, forecast_streams
 
 SID = ["series_id"]
@@ -133,7 +134,7 @@ LIVE = "live AS (SELECT ts_code, c.trade_date FROM contracts JOIN ocal c ON c.tr
 @query("j12_validity_interval", "trade_date:d listed:i", S.with_(S.OPTION, LIVE) + "SELECT trade_date, count(*) AS listed FROM live GROUP BY 1")
 def j12(spark, d):
     """Contracts listed on each session."""
-    o = D.option_daily(spark, d)
+    o = stage(D.option_daily(spark, d), "options")
     return J.validity_expand(D.option_contracts(o), calendar_of(o), "ts_code", "list_date", "delist_date").groupBy("trade_date").agg(F.count("*").alias("listed"))
 
 

@@ -225,44 +225,73 @@ def l12(spark, d):
     return L.select_choice(L.nested_attempts(nested_folds(spark, d), G, SETS, thresholds=(0.55, 0.6)), G, paired=True, learn_threshold=True)
 
 
-def portfolio(spark, d):
-    """Four streams from one incumbent with a shared availability mask."""
-    s = special(spark, d)
+FLOW_NAMES = tuple(f"moneyflow_{n}" for n in (*P.FLOW_MEASURES, "large_net_change_1", "large_net_mean_5", "large_net_mean_20"))
+FLOW_PRICE_NAMES = tuple(f"moneyflow_{n}" for n in (*P.PRICE_FLOW_MEASURES, "up_sell_mean_5", "down_buy_mean_5"))
+OPTION_NAMES = tuple(f"option_put_{m}_{n}" for m in ("volume", "amount", "interest") for n in ("share", "change_1", "mean_20"))
+POSITION_NAMES = tuple(f"option_position_{n}" for n in (*P.POSITION_MEASURES, "matched_imbalance_mean_5"))
+#: Threshold of each corrected stream of the portfolio.
+THRESHOLDS = {"moneyflow": 0.60, "moneyflow_price": 0.55, "option_moneyflow": 0.55}
+
+
+def portfolio_features(spark, d):
+    """The incumbent with specialist, order-flow, option and position features and two availability masks.
+
+    `flow_mask` asks for the specialist and order-flow sets, `shared_mask` for the
+    option positions too.  Options are those of the signal's own session,
+    published at half past six in the evening.
+    """
     o = D.option_daily(spark, d)
     cal = calendar_of(o)
-    day = P.option_activity(o)
-    opt = X.option_features(day.select("trade_date"), day, cal)
-    names = [c for c in opt.columns if c.startswith("option_put_")]
-    both = s.join(opt.select("trade_date", "option_available", *names), "trade_date", "left")
-    mask = F.col("specialist_available") & F.coalesce("option_available", F.lit(False))
-    base = L.downside_probabilities(s.join(both.select("series_id", "trade_date", mask.alias("shared")), ["series_id", "trade_date"]), SPECIAL, F.col("shared"))
-    ext = L.downside_probabilities(both.withColumn("shared", mask), [*SPECIAL, *names], F.col("shared"))
-    base, ext = stage(base, "portfolio_base"), stage(ext, "portfolio_extended")
-    mean = K.mean_pool(base, ext, ["series_id", "trade_date"])
-    keep = ["series_id", "trade_date", "pos", "predicted_label", "uncalibrated_predicted_return", "predicted_pct_change", "predicted_close", "confidence", "calibrated_confidence", "real_pct_change", "correct"]
-    inc = s.select(*keep)
+    dates = o.select("trade_date").distinct()
+    evening = {"lag": 0, "hour": 18, "minute": 30}
+    options = X.option_features(dates, P.option_activity(o), cal, **evening)
+    positions = X.option_position_features(dates, P.option_positions(o).join(P.matched_interest(o, cal), "trade_date", "left"), cal, **evening)
+    flow = C.f3(spark, d).select("trade_date", "moneyflow_available", *FLOW_NAMES, *FLOW_PRICE_NAMES)
+    x = special(spark, d).join(flow, "trade_date", "left").join(options.select("trade_date", *OPTION_NAMES), "trade_date", "left")
+    x = x.join(positions.select("trade_date", "option_position_available", *POSITION_NAMES), "trade_date", "left")
+    known = lambda names: all_known(*[F.col(n) for n in names])
+    flow_mask = F.col("specialist_available") & F.coalesce("moneyflow_available", F.lit(False)) & known([*FLOW_NAMES, *FLOW_PRICE_NAMES])
+    x = x.withColumn("flow_mask", flow_mask)
+    shared = F.col("flow_mask") & F.coalesce("option_position_available", F.lit(False)) & known([*OPTION_NAMES, *POSITION_NAMES])
+    return stage(x.withColumn("shared_mask", shared), "portfolio")
 
-    def stream(name, probs, threshold):
-        j = inc.join(probs.select("series_id", "trade_date", "downside_probability", "downside_training_rows"), ["series_id", "trade_date"])
-        return V.downside_flip(j, "downside_probability", "downside_training_rows", F.lit(threshold)).withColumn("stream_id", F.lit(name)).drop("downside_probability", "downside_training_rows")
 
-    parts = [inc.withColumn("stream_id", F.lit("incumbent")).withColumn("correction_selected", F.lit(False)), stream("base", base, 0.60), stream("extended", ext, 0.55), stream("pooled", mean, 0.55)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def portfolio(spark, d):
+    """Four streams from one incumbent: itself, order flow, order flow with prices, and options with order flow.
+
+    The last pools two models on the shared mask, so its order-flow model is not
+    the one of the second stream.
+    """
+    x = portfolio_features(spark, d)
+    keys = ["series_id", "trade_date"]
+
+    def fitted(name, features, mask):
+        return stage(L.downside_probabilities(x, [*SPECIAL, *features], F.col(mask)).select(*keys, "downside_probability", "downside_training_rows", "downside_last_training_date"), name)
+
+    flow, price = fitted("flow", FLOW_NAMES, "flow_mask"), fitted("flow-price", (*FLOW_NAMES, *FLOW_PRICE_NAMES), "flow_mask")
+    paired, option = fitted("paired-flow", FLOW_NAMES, "shared_mask"), fitted("option", (*OPTION_NAMES, *POSITION_NAMES), "shared_mask")
+    probabilities = {"moneyflow": flow, "moneyflow_price": K.mean_pool(flow, price, keys), "option_moneyflow": K.mean_pool(paired, option, keys)}
+    keep = ["series_id", "trade_date", "pos", "predicted_label", "uncalibrated_predicted_return", "predicted_pct_change", "predicted_close", "confidence", "calibrated_confidence", "real_pct_change", "correct"]
+    incumbent = x.select(*keep)
+    out = incumbent.withColumn("correction_selected", F.lit(False)).withColumn("stream_id", F.lit("baseline"))
+    for name, p in probabilities.items():
+        j = incumbent.join(p.select(*keys, "downside_probability", "downside_training_rows"), keys)
+        flipped = V.downside_flip(j, "downside_probability", "downside_training_rows", F.lit(THRESHOLDS[name]))
+        calibrated = K.shrink_returns(K.platt_calibrate(flipped, G), G)
+        out = out.unionByName(calibrated.withColumn("stream_id", F.lit(name)).select(*out.columns))
     return out
 
 
-@query("l13_stream_portfolio", "stream_id:s series_id:s trade_date:d predicted_label:i confidence:f4 correction_selected:b")
+@query("l13_stream_portfolio", "stream_id:s series_id:s trade_date:d predicted_label:i confidence:f4 calibrated_confidence:f4 correction_selected:b")
 def l13(spark, d):
-    """Incumbent and three corrected streams on identical rows."""
+    """Incumbent and three corrected, recalibrated streams on identical rows."""
     return portfolio(spark, d)
 
 
-@query("l14_fixed_candidate", "series_id:s trade_date:d predicted_label:i correction_selected:b")
+@query("l14_fixed_candidate", "series_id:s trade_date:d predicted_label:i calibrated_confidence:f4 correction_selected:b")
 def l14(spark, d):
-    """Mean of base and extended probabilities at a threshold of 0.55."""
-    return portfolio(spark, d).where("stream_id = 'pooled'")
+    """Mean of the order-flow and the price-extended probabilities at a threshold of 0.55."""
+    return portfolio(spark, d).where("stream_id = 'moneyflow_price'")
 
 
 #: Learners of the alternate engine (own definition); the incumbent's history and prices are their features.

@@ -90,8 +90,13 @@ def stability(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return monthly.join(rolled, list(keys))
 
 
-def settled_statistics(df: DataFrame, keys: Sequence[str], days: int) -> DataFrame:
-    """Statistics over the last `days` settled rows of each stream."""
+def settled_statistics(df: DataFrame, keys: Sequence[str], days: int, target: str | None = None, origin: str | None = None) -> DataFrame:
+    """Statistics over the last `days` settled rows of each stream.
+
+    With `target`, a column of target sessions, dates are those sessions where
+    every row of the stream has one, else signal dates, and `date_basis` tells
+    which.  With `origin`, `live_rows` counts rows that were generated live.
+    """
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("trade_date")))
     d = resolved(df).withColumn("_back", back).withColumn("_all", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_back") <= days)
     up, pup = F.col("real_pct_change") > 0, F.col("predicted_label") == 1
@@ -102,7 +107,25 @@ def settled_statistics(df: DataFrame, keys: Sequence[str], days: int) -> DataFra
         _rate(hit, pup).alias("up_accuracy"), _rate(hit, ~pup).alias("down_accuracy"), _rate(hit, up).alias("up_recall"), _rate(hit, ~up).alias("down_recall"),
         F.avg(up.cast("double")).alias("baseline_accuracy"), (F.avg(hit.cast("double")) - F.avg(up.cast("double"))).alias("accuracy_lift"),
         F.avg("calibrated_confidence").alias("mean_confidence"), F.avg(F.abs(F.col("predicted_pct_change") - F.col("real_pct_change"))).alias("mae"),
-        F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"))
+        *_dated(target), *([F.sum((F.col(origin) == "live").cast("int")).alias("live_rows")] if origin else []))
+
+
+def _dated(target: str | None) -> list[Column]:
+    first, last = F.min("trade_date"), F.max("trade_date")
+    if target is None:
+        return [first.alias("start_date"), last.alias("end_date")]
+    whole = F.count(target) == F.count("*")
+    return [F.when(whole, F.min(target)).otherwise(first).alias("start_date"), F.when(whole, F.max(target)).otherwise(last).alias("end_date"),
+            F.when(whole, "target_trade_date").otherwise("signal_date").alias("date_basis")]
+
+
+def running_comparison(common: DataFrame, keys: Sequence[str], stream: str) -> DataFrame:
+    """Of every stream and shared date: accuracy up to it, and whether the streams of the date disagree."""
+    hit = (F.col("predicted_label") == (F.col("real_pct_change") > 0).cast("int")).cast("double")
+    day = Window.partitionBy(*keys, "trade_date")
+    upto = ordered([*keys, stream], "trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    return resolved(common).select(*keys, stream, "trade_date", "predicted_label", "real_pct_change", F.avg(hit).over(upto).alias("running_accuracy"),
+                                   (F.min("predicted_label").over(day) != F.max("predicted_label").over(day)).alias("disagreement"))
 
 
 def direction_alerts(df: DataFrame, keys: Sequence[str], session: str, days: int, minimum: int = 20, rate: float = 0.8, gap: float = 0.2, streak: int = 10) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.staging import stage
+
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join after dropping keys that are not unique on both sides."""
@@ -23,19 +25,25 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 def validity_expand(dim: DataFrame, calendar: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """One row per contract and session inside its validity interval.
 
-    The interval is turned into session numbers by two as-of lookups and then
-    exploded, so the later comparison with observed contracts is an equality
-    join instead of a range scan over all contracts and days.
+    The calendar, written once, is spread to one row per calendar day with the
+    last session up to it.  Both ends of an interval look their session up by
+    equality on the day, and the sessions between are counted out, so neither
+    contracts nor days are compared by range.  Days after the last session count
+    as that session's, days before the first have none.
     """
-    from tidemark.operators.asof import asof_join
-
-    cal = calendar.select(F.lit(1).alias("_k"), F.col("trade_date").alias("_d"), "session_no")
-    d = dim.select(key, start, end, F.lit(1).alias("_k"))
-    first = asof_join(d.withColumn("_day", F.date_sub(start, 1)), cal, ["_k"], "_day", "_d", ["session_no"], strict=False, source="_sd", span_days=64)
-    first = first.withColumn("_lo", F.coalesce("session_no", F.lit(0)) + 1).drop("session_no", "_sd", "_day")
-    both = asof_join(first, cal, ["_k"], end, "_d", ["session_no"], strict=False, source="_sd", span_days=64).withColumn("_hi", F.col("session_no"))
-    live = both.where(F.col("_lo") <= F.col("_hi")).select(key, F.explode(F.sequence("_lo", "_hi")).alias("session_no"))
-    return live.join(calendar, "session_no")
+    sessions = stage(calendar.select("trade_date", "session_no"), "sessions")
+    following = F.lead("trade_date").over(Window.orderBy("session_no"))
+    spread = sessions.withColumn("_next", F.coalesce(F.date_sub(following, 1), "trade_date"))
+    days = spread.select(F.explode(F.sequence("trade_date", "_next")).alias("_day"), F.col("session_no").alias("_no"))
+    last = sessions.agg(F.max("trade_date")).scalar()
+
+    def session_upto(rows: DataFrame, day: Column, name: str) -> DataFrame:
+        looked = rows.withColumn("_at", F.least(day, last)).join(days, F.col("_at") == F.col("_day"), "left")
+        return looked.withColumn(name, F.coalesce("_no", F.lit(0))).drop("_at", "_day", "_no")
+
+    spans = session_upto(session_upto(dim.select(key, start, end), F.date_sub(start, 1), "_lo"), F.col(end), "_hi")
+    live = spans.where(F.col("_lo") < F.col("_hi")).select(key, F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))).alias("session_no"))
+    return live.join(sessions, "session_no")
 
 
 def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], equal: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -1,10 +1,12 @@
 """Exact quantiles and leading parts of groups, by rank selection.
 
-There is one plan for every group size.  A group is histogrammed by value (with
-partial sums), the histogram is summed over order-preserving buckets, and only
-the buckets that contain a wanted rank are ordered.  A window then sees a group's
-bucket totals or one bucket's distinct values, never the group.  NaN is larger
-than any number, as it is in Spark's order.
+There is one plan for every group size.  Rows are counted by order-preserving
+buckets (with partial sums), which tells the buckets that contain a wanted rank.
+Those few are written, and the rows in them are picked out where they are, by a
+broadcast where Spark measures the buckets small enough; only these rows are
+shuffled by value and ordered.  A window then sees a group's bucket totals or one
+bucket's distinct values, never the group.  The input is read twice, so callers
+stage a derived one.  NaN is larger than any number, as it is in Spark's order.
 """
 
 from __future__ import annotations
@@ -16,19 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.frames import before, ordered
+from tidemark.sources.staging import stage
 
 _LOG_STEPS = 256
 _ZERO_OFFSET = 745 * _LOG_STEPS + 1
 
 
 def _bucket(df: DataFrame, value: str) -> Column:
-    """A number that grows with the value.  Strings are one bucket: as tie keys they are codes, of which a group has few distinct ones."""
+    """A number that grows with the value: of a string its first seven bytes, of a number its logarithm in fine steps."""
     kind = df.schema[value].dataType
     c = F.col(value)
     if isinstance(kind, T.IntegralType):
         return F.floor(c / 4096)
     if isinstance(kind, T.StringType):
-        return F.lit(0)
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
     size = F.abs(c)
     magnitude = F.when(size == float("inf"), F.lit(4 * _ZERO_OFFSET)).otherwise(F.floor(F.ln(F.when(size != float("inf"), size)) * _LOG_STEPS) + _ZERO_OFFSET)
     return F.when(F.isnan(c), F.lit(8 * _ZERO_OFFSET)).when(c == 0, F.lit(0)).when(c > 0, magnitude).otherwise(-magnitude).cast("bigint")
@@ -45,15 +48,16 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
-    hist = rows.groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_b", _bucket(df, value))
-    buckets = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    rows = rows.withColumn("_b", _bucket(df, value))
+    buckets = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_bc"))
     placed = buckets.withColumn("_start", F.coalesce(F.sum("_bc").over(before(ordered(keys, "_b"))), F.lit(0))).withColumn(
         "rank_rows", F.sum("_bc").over(Window.partitionBy(*keys)))
     names = list(ranks)
     wanted = F.array(*[ranks[n](F.col("rank_rows")).cast("bigint") for n in names])
     hit = F.filter(F.array_distinct(wanted), lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_bc")))
-    targets = placed.withColumn("_hit", hit).where(F.size("_hit") > 0).drop("_bc")
-    near = hist.join(targets, [*keys, "_b"])
+    targets = stage(placed.withColumn("_hit", hit).where(F.size("_hit") > 0).drop("_bc"), "rank-targets")
+    inside = rows.select(*keys, "_b", value).join(targets.select(*keys, "_b"), [*keys, "_b"], "left_semi")
+    near = inside.groupBy(*keys, "_b", value).agg(F.count("*").alias("_c")).join(targets, [*keys, "_b"])
     run = F.sum("_c").over(ordered([*keys, "_b"], value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_start")
     got = near.withColumn("_end", run).where(F.exists("_hit", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_c"))))
     found = F.struct(F.col(value).alias("value"), F.col("_end").alias("upto"), F.col("_c").alias("ties"))
