@@ -11,10 +11,12 @@
    id with those that are still apart from it.  Those pairs pass the union-sketch
    estimate (t less five standard deviations), then exact Jaccard on full sets;
    links make components.
-4. Lists with one smallest id form a group (the lists of one family of copies
-   mostly have the same), which every pair of a list is in.  Where a group still
-   holds several components, its full sets meet in a task, or in tasks for two
-   parts of LIST_PART each, which gives only as many links as join components.
+4. Only lists that hold several components can join any; all others are left
+   behind.  Those with one smallest id form a group (the lists of one family of
+   copies mostly have the same).  Its sketches meet in a task, or in tasks for two
+   parts of at most LIST_PART sets and PART_SHINGLES shingles each, and leave the
+   sets that may be similar to one of another component; the full sets of those
+   meet likewise and give only as many links as join components.
 5. All links make the final components.
 
 Pairs that no candidate could connect anew are not compared: membership, not the
@@ -35,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected
-from tidemark.llm.tables import bounded
 from tidemark.llm.text import Words, blocks, shingles
-from tidemark.sources.staging import stage
+from tidemark.sources.staging import discard, stage
 
 K = 64
 PERCENT = 80
 LIST_PART = 4096
+PART_SHINGLES = 1 << 22
 DEVIATIONS = 5
 BROADCAST_ROWS = 1_000_000
 
@@ -108,7 +110,7 @@ def inverted_lists(reps: DataFrame, k: int = K, percent: int = PERCENT) -> DataF
     prefix = F.when(F.col("n") * 100 <= k * percent, exact).otherwise(kept - k // 2 + 1)
     left = (prefix - (kept - F.size("v"))).cast("int")
     listed = shared.where(left > 0).select("id", "n", F.explode(F.slice("v", F.lit(1), left)).alias("v")).select(F.col("v.value").alias("value"), "id", "n")
-    lists = stage(listed, "lists")
+    lists = stage(listed, "listed-values")
     real = lists.groupBy(F.col("value").alias("_v")).agg(F.count(F.lit(1)).alias("entries"), F.min("id").alias("first")).where("entries > 1")
     return lists.join(real, F.col("value") == F.col("_v")).drop("_v")
 
@@ -140,23 +142,51 @@ def _compare(pairs: DataFrame, table: DataFrame, column: str, test) -> DataFrame
     return met.mapInArrow(work, "a bigint, b bigint")
 
 
+def _overlaps(sets: list[np.ndarray]):
+    """A function of x that gives the number of values set x has in common with every set."""
+    value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+
+    def shared(x: int) -> np.ndarray:
+        low = np.searchsorted(value, sets[x], side="left")
+        span = np.searchsorted(value, sets[x], side="right") - low
+        at = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
+        return np.bincount(row[at], minlength=len(sets))
+
+    return shared
+
+
+def _touching(group: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
+    """Rows of one group whose sketch may be that of a set similar to one of another component.
+
+    Sketches of sizes up to m that share fewer values than the least estimate
+    allows for a union of m values cannot pass it, for any larger union either.
+    """
+    group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
+    sets = [np.frombuffer(f, np.uint64) for f in group["sketch"]]
+    kept, size, comp = np.array([len(x) for x in sets]), group["n"].to_numpy(), group["component"].to_numpy()
+    shared, t, found = _overlaps(sets), percent / 100, np.zeros(len(sets), bool)
+    names, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+    for x in np.flatnonzero(which != np.argmax(count)):
+        m = np.maximum(kept, kept[x])
+        close = (shared(x) >= m * t - DEVIATIONS * np.sqrt(m * t * (1 - t))) & (comp != comp[x])
+        close &= 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
+        found |= close
+        found[x] |= close.any()
+    return group.loc[found, ["first", "p", "q", "id", "component"]]
+
+
 def _joining(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links, by exact Jaccard on full sets, that join components of one group; as many as it takes, not all of them."""
     group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
     sets = [np.frombuffer(f, np.uint64) for f in group["full"]]
     ids, size = group["id"].to_numpy(), np.array([len(x) for x in sets])
     names, comp, count = np.unique(group["component"].to_numpy(), return_inverse=True, return_counts=True)
-    value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(value, kind="stable")
-    value, row = value[order], row[order]
-    out = []
+    shared, out = _overlaps(sets), []
     for x in np.flatnonzero(comp != np.argmax(count)):
-        own = sets[x]
-        low = np.searchsorted(value, own, side="left")
-        span = np.searchsorted(value, own, side="right") - low
-        at = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
-        both = np.bincount(row[at], minlength=len(sets))
-        for y in np.flatnonzero((100 * both >= percent * (size + len(own) - both)) & (comp != comp[x])):
+        both = shared(x)
+        for y in np.flatnonzero((100 * both >= percent * (size + size[x] - both)) & (comp != comp[x])):
             if comp[y] != comp[x]:
                 out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
                 comp[comp == comp[y]] = comp[x]
@@ -181,12 +211,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = stage(heads.where(F.col("n") * (100 - percent) >= percent), "representatives")  # a smaller set has no similar set but itself
     lists = stage(inverted_lists(reps, k, percent), "lists")
 
-    def full(batches):
-        for batch, sets in _each_set(batches, shingle_words):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "full"])
-
-    listed = bounded(lists.select(F.col("id").alias("_id")).distinct().join(reps.select("id", "set"), F.col("_id") == F.col("id")).select("_id", F.col("set").alias("_set")), "listed")
-    some = F.broadcast(listed) if listed.count() <= broadcast_rows else listed
+    def full_sets(ids: DataFrame) -> DataFrame:
+        """(id, full) of the documents `_id`, from their texts; a row of the id with another set is not its."""
+        listed = stage(ids.distinct().join(reps.select("id", "set"), F.col("_id") == F.col("id")).select("_id", F.col("set").alias("_set")), "listed")
+        some = F.broadcast(listed) if listed.count() <= broadcast_rows else listed
+        sets = stage(text.join(some, F.col("id") == F.col("_id")).select("id", "text", "_set").mapInArrow(full, "id bigint, full binary"), "full-sets")
+        discard(listed)
+        return sets
 
     def full(batches):
         for batch, sets in _each_set(batches, shingle_words):
@@ -194,8 +225,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             meant = pa.array([xxhash.xxh3_128_digest(r) == w for r, w in zip(raw, batch.column("_set").to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], names=["id", "full"]).filter(meant)
 
-    sets = stage(text.join(some, F.col("id") == F.col("_id")).select("id", "text", "_set").mapInArrow(full, "id bigint, full binary"), "full-sets")
-
     def exact(x: np.ndarray, y: np.ndarray) -> bool:
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both)
@@ -203,30 +232,46 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def near(x: np.ndarray, y: np.ndarray) -> bool:
         return _likely(x, y, k, percent)
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs that pass the union-sketch estimate, then exact Jaccard; full sets are made for those of the first kind alone."""
+        likely = stage(_compare(pairs, reps, "sketch", near), "likely")
+        sets = full_sets(likely.select(F.explode(F.array("a", "b")).alias("_id")))
+        found = stage(_compare(likely, sets, "full", exact), "verified")
+        discard(likely, sets)
+        return found
+
+    def mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Rows of the lists that hold several components; no other list can have a link that joins any."""
+        labels = connected(links).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+        at = rows.join(labels, F.col("id") == F.col("_node"), "left").withColumn("component", F.coalesce("_component", "id")).drop("_node", "_component")
+        torn = at.groupBy(F.col("value").alias("_v")).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("_v")
+        return stage(at.join(torn, F.col("value") == F.col("_v")).drop("_v"), "mixed")
+
     sized = (F.least("n", "_n") * 100) >= (F.greatest("n", "_n") * percent)
     hubs = lists.where("id = first").select(F.col("value").alias("_v"), F.col("id").alias("_hub"), F.col("n").alias("_n")).dropDuplicates(["_v"])
     stars = lists.join(hubs, F.col("value") == F.col("_v")).where((F.col("id") != F.col("_hub")) & sized).select(F.col("_hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = stage(_compare(stage(_compare(stars, reps, "sketch", near), "likely"), sets, "full", exact), "verified")
-
-    def placed() -> DataFrame:
-        labels = connected(links)
-        return stage(lists.join(labels.select(F.col("node").alias("_node"), "component"), F.col("id") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "id")).drop("_node"), "placed")
-
-    at = placed()
-    mixed = at.groupBy(F.col("value").alias("_v")).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min_by("id", F.xxhash64("value", "id")).alias("_hub")).where("_lo <> _hi").select("_v", "_hub")
-    hub = at.select(F.col("value").alias("_hv"), F.col("id").alias("_hid"), F.col("n").alias("_n"), F.col("component").alias("_hc"))
-    hubs = mixed.join(hub, (F.col("_v") == F.col("_hv")) & (F.col("_hub") == F.col("_hid"))).dropDuplicates(["_v"])
-    stars = at.join(hubs, F.col("value") == F.col("_v")).where((F.col("component") != F.col("_hc")) & sized).select(F.least("_hub", "id").alias("a"), F.greatest("_hub", "id").alias("b")).distinct()
-    links = links.unionByName(stage(_compare(stage(_compare(stars, reps, "sketch", near), "likely"), sets, "full", exact), "verified"))
-
-    near_by = placed().select("first", "id", "component").distinct()
-    mixed = near_by.groupBy(F.col("first").alias("_f")).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi")
-    parts = F.ceil(F.col("_n") / LIST_PART).cast("bigint")
+    links = verified(stars)
+
+    at = mixed(lists, links)
+    discard(lists)
+    picked = at.groupBy(F.col("value").alias("_v")).agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("value", "id")).alias("_h")).select("_v", F.col("_h.id").alias("_hub"), F.col("_h.n").alias("_n"), F.col("_h.component").alias("_hc"))
+    stars = at.join(picked, F.col("value") == F.col("_v")).where((F.col("component") != F.col("_hc")) & sized).select(F.least("_hub", "id").alias("a"), F.greatest("_hub", "id").alias("b")).distinct()
+    links = links.unionByName(verified(stars))
+
+    still = mixed(at.drop("component"), links)
+    near_by = still.select("first", "id", "n", "component").distinct()
+    torn = near_by.groupBy(F.col("first").alias("_f")).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_size")).where("_lo <> _hi")
+    parts = F.ceil(F.greatest(F.col("_rows") / LIST_PART, F.col("_size") / PART_SHINGLES)).cast("bigint")
     mine, other = F.pmod(F.xxhash64("id"), parts), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
-    dealt = near_by.join(mixed, F.col("first") == F.col("_f")).select("first", "id", "component", mine.alias("mine"), other.alias("other"))
-    dealt = dealt.select("first", "id", "component", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")).join(sets.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
-    joined = dealt.select("first", "p", "q", "id", "component", "full").groupBy("first", "p", "q").applyInPandas(lambda g: _joining(g, percent), "a bigint, b bigint")
+    dealt = near_by.join(torn, F.col("first") == F.col("_f")).select("first", "id", "component", mine.alias("mine"), other.alias("other"))
+    dealt = dealt.select("first", "id", "component", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    drawn_by = dealt.join(reps.select(F.col("id").alias("_id"), "n", "sketch"), F.col("id") == F.col("_id")).drop("_id")
+    dealt = stage(drawn_by.groupBy("first", "p", "q").applyInPandas(lambda g: _touching(g, k, percent), "first bigint, p bigint, q bigint, id bigint, component bigint"), "dealt")
+    sets = full_sets(dealt.select(F.col("id").alias("_id")))
+    met = dealt.join(sets.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
+    joined = met.select("first", "p", "q", "id", "component", "full").groupBy("first", "p", "q").applyInPandas(lambda g: _joining(g, percent), "a bigint, b bigint")
     links = links.unionByName(stage(joined.distinct(), "verified"))
+    discard(at, still, dealt, sets)
 
     labels = connected(links).select(F.col("node").alias("_node"), "component")
     whole = classes.join(labels, F.col("rep") == F.col("_node"), "left").select(F.col("set").alias("_set"), F.coalesce("component", "rep").alias("_component"))
