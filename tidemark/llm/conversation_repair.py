@@ -322,3 +322,41 @@ def repair(rows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 
     whole = decided.repartition("conv").sortWithinPartitions("conv", "block")
     return whole.mapInArrow(chain, f"`{conv_col}` {kind}, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string")
+
+
+def repair_sql() -> str:
+    """Damage and repair in DuckDB's dialect, over `conversations`, by pairs of cost and letters instead of integers.
+
+    Rows of one turn would be ordered by role alone, so the rows must not repeat turns.
+    """
+    return """
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS d FROM keyed),
+hurt AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE d <> 0),
+placed AS (SELECT *, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, copy) AS spot FROM hurt),
+rows_ AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY spot) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'clean' END AS fault,
+  CASE initial WHEN 's' THEN [2, NULL, NULL, NULL] WHEN 'u' THEN [3, 3, NULL, 3] WHEN 'a' THEN [NULL, NULL, 4, NULL] ELSE [NULL, NULL, NULL, NULL]::INT[] END AS fits, lag(initial) OVER (PARTITION BY conv_id ORDER BY spot) AS before FROM placed),
+ends AS (SELECT conv_id, max(spot) AS n FROM rows_ GROUP BY 1),
+best(conv_id, i, v) AS (
+  SELECT conv_id, n, [{'c': 0, 'a': ''}, {'c': 10, 'a': 'II'}, {'c': 5, 'a': 'I'}, {'c': 0, 'a': ''}] FROM ends
+  UNION ALL
+  SELECT conv_id, i - 1, list_transform([1, 2, 3, 4], lambda s: list_sort([taken[s], {'c': once[[3, 3, 4, 3][s]].c + 5, 'a': 'I' || once[[3, 3, 4, 3][s]].a}])[1])
+  FROM (SELECT *, list_transform([1, 2, 3, 4], lambda s: list_sort([taken[s], {'c': taken[[3, 3, 4, 3][s]].c + 5, 'a': 'I' || taken[[3, 3, 4, 3][s]].a}])[1]) AS once
+  FROM (SELECT b.conv_id, b.i, list_transform([1, 2, 3, 4], lambda s: list_sort(list_filter([{'c': v[s].c + 2, 'a': 'D' || v[s].a},
+    CASE WHEN r.fault IN ('clean', 'truncated') THEN {'c': v[[3, 3, 4, 3][s]].c + 1 + 5 * (r.fault = 'truncated')::INT, 'a': 'R' || v[[3, 3, 4, 3][s]].a} END,
+    CASE WHEN r.fault IN ('clean', 'truncated') AND r.fits[s] IS NOT NULL THEN {'c': v[r.fits[s]].c + 5 * (r.fault = 'truncated')::INT, 'a': 'K' || v[r.fits[s]].a} END], lambda x: x IS NOT NULL))[1]) AS taken
+  FROM best b JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.spot = b.i))),
+chosen AS (SELECT conv_id, v[1].c AS cost, v[1].a AS audit FROM best WHERE i = 0),
+walk(conv_id, audit, p, row, state, kept) AS (
+  SELECT conv_id, audit, 0, 0, 1, []::VARCHAR[] FROM chosen
+  UNION ALL
+  SELECT conv_id, audit, p + 1, row + (letter <> 'I')::INT, after, CASE WHEN letter = 'D' THEN kept ELSE list_append(kept, CASE WHEN letter = 'K' THEN role WHEN after = 3 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END) END
+  FROM (SELECT w.*, r.role, r.text, w.audit[w.p + 1] AS letter, CASE w.audit[w.p + 1] WHEN 'D' THEN w.state WHEN 'K' THEN r.fits[w.state] ELSE [3, 3, 4, 3][w.state] END AS after
+    FROM walk w LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.spot = w.row + 1 WHERE w.p < len(w.audit))),
+repaired AS (SELECT conv_id, sha256(array_to_string(kept, chr(10))) AS repaired_sha256 FROM walk WHERE p = len(audit)),
+facts AS (SELECT conv_id, CASE WHEN count(turn) > 0 THEN max(turn) - min(turn) + 1 - count(DISTINCT turn) ELSE 0 END AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""

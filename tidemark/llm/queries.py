@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.apportion import mix_to_targets, mixing_sql
+from tidemark.llm.conversation_repair import damage, repair, repair_sql
 from tidemark.llm.licence_dice import licence_scan, licence_sql
 from tidemark.llm.prefix_join import contamination, contamination_sql
 
@@ -135,11 +136,9 @@ def op11_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, folder)
 
 
-@query("op12_conversation_repair")
+@query("op12_conversation_repair", sql=repair_sql())
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every conversation after damage."""
-    from tidemark.llm.conversation_repair import damage, repair
-
     return repair(damage(table(spark, sf_dir, "conversations")))
 
 
