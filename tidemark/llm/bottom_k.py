@@ -14,9 +14,10 @@
 4. Only lists that hold several components can join any; all others are left
    behind.  Those with one smallest id form a group (the lists of one family of
    copies mostly have the same).  Its sketches meet in a task, or in tasks for two
-   parts of at most LIST_PART sets and PART_SHINGLES shingles each, and leave the
-   sets that may be similar to one of another component; the full sets of those
-   meet likewise and give only as many links as join components.
+   parts of SKETCHES_PER_SET * LIST_PART each, and leave the sets that may be
+   similar to one of another component.  The full sets of those meet likewise, in
+   parts of at most LIST_PART sets and PART_SHINGLES shingles, and give only as
+   many links as join components.
 5. All links make the final components.
 
 Pairs that no candidate could connect anew are not compared: membership, not the
@@ -33,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected
@@ -44,6 +45,8 @@ K = 64
 PERCENT = 80
 LIST_PART = 4096
 PART_SHINGLES = 1 << 22
+SKETCHES_PER_SET = 8
+GROUPS_ROWS = 4096
 DEVIATIONS = 5
 BROADCAST_ROWS = 1_000_000
 
@@ -157,24 +160,78 @@ def _overlaps(sets: list[np.ndarray]):
     return shared
 
 
-def _touching(group: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
-    """Rows of one group whose sketch may be that of a set similar to one of another component.
+def _touching(group: np.ndarray, sets: list[np.ndarray], size: np.ndarray, comp: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """Which rows have a sketch that may be that of a set similar to one of another component of their group.
 
     Sketches of sizes up to m that share fewer values than the least estimate
     allows for a union of m values cannot pass it, for any larger union either.
+    Two that share enough also share one of the values that are rarest in the
+    group, so only those are followed to other rows.  Groups are handled
+    together: a value counts in each group by itself.
     """
-    group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
-    sets = [np.frombuffer(f, np.uint64) for f in group["sketch"]]
-    kept, size, comp = np.array([len(x) for x in sets]), group["n"].to_numpy(), group["component"].to_numpy()
-    shared, t, found = _overlaps(sets), percent / 100, np.zeros(len(sets), bool)
-    names, which, count = np.unique(comp, return_inverse=True, return_counts=True)
-    for x in np.flatnonzero(which != np.argmax(count)):
-        m = np.maximum(kept, kept[x])
-        close = (shared(x) >= m * t - DEVIATIONS * np.sqrt(m * t * (1 - t))) & (comp != comp[x])
-        close &= 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
-        found |= close
-        found[x] |= close.any()
-    return group.loc[found, ["first", "p", "q", "id", "component"]]
+    kept, t = np.array([len(x) for x in sets]), percent / 100
+    least = lambda m: np.maximum(1, np.ceil(m * t - DEVIATIONS * np.sqrt(m * t * (1 - t)))).astype(int)
+    row = np.repeat(np.arange(len(sets)), kept)
+    _, plain = np.unique(np.concatenate(sets), return_inverse=True)
+    _, value, often = np.unique(group[row] * (plain.max() + 1) + plain, return_inverse=True, return_counts=True)
+    starts = np.cumsum(kept) - kept
+    table = np.full((len(sets), k), len(often))
+    table[row, np.arange(len(row)) - starts[row]] = value
+    # The rarest values of each row, and the rows that have a value among theirs.
+    order = np.lexsort((value, often[value], row))
+    rare = order[np.arange(len(row)) - starts[row] <= (kept - least(kept))[row]]
+    rare = rare[often[value[rare]] > 1]
+    rare_value, rare_row = value[rare], row[rare]
+    mine = np.searchsorted(rare_row, np.arange(len(sets) + 1))
+    by_value = np.argsort(rare_value, kind="stable")
+    holders, first = rare_row[by_value], np.searchsorted(rare_value[by_value], np.arange(len(often) + 1))
+
+    found, marked, met = np.zeros(len(sets), bool), np.zeros(len(often) + 1, bool), np.zeros(len(sets), bool)
+    for x in range(len(sets)):
+        for v in rare_value[mine[x] : mine[x + 1]]:
+            met[holders[first[v] : first[v + 1]]] = True
+        near = np.flatnonzero(met)
+        met[near] = False
+        near = near[(comp[near] != comp[x]) & (100 * np.minimum(size[near], size[x]) >= percent * np.maximum(size[near], size[x]))]
+        if len(near):
+            own = table[x, : kept[x]]
+            marked[own] = True
+            found[x] = (marked[table[near]].sum(1) >= least(np.maximum(kept[near], kept[x]))).any()
+            marked[own] = False
+    return found
+
+
+def _close(met: DataFrame, k: int, percent: int) -> DataFrame:
+    """Distinct (first, id, component) of the rows that `_touching` finds in the groups (first, p, q)."""
+
+    def work(batches):
+        held: list[pa.RecordBatch] = []
+
+        def found(rows: pa.Table) -> pa.RecordBatch:
+            first, p, q = (rows[c].to_numpy() for c in ("first", "p", "q"))
+            starts = np.concatenate(([True], (first[1:] != first[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+            sets = [np.frombuffer(x, np.uint64) for x in rows["sketch"].to_pylist()]
+            some = pa.array(_touching(starts.cumsum(), sets, rows["n"].to_numpy(), rows["component"].to_numpy(), k, percent))
+            return rows.select(["first", "id", "component"]).filter(some).combine_chunks()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < GROUPS_ROWS:
+                continue
+            rows = pa.Table.from_batches(held)
+            last = [rows[c][-1].as_py() for c in ("first", "p", "q")]
+            whole = len(rows) - int(np.logical_and.reduce([rows[c].to_numpy() == v for c, v in zip(("first", "p", "q"), last)]).sum())
+            if whole:
+                yield from found(rows.slice(0, whole)).to_batches()
+                held = rows.slice(whole).combine_chunks().to_batches()
+        if held:
+            yield from found(pa.Table.from_batches(held)).to_batches()
+
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = met.repartition(tasks, "first", "p", "q").sortWithinPartitions("first", "p", "q")
+    return ordered.select("first", "p", "q", "id", "component", "n", "sketch").mapInArrow(work, "first bigint, id bigint, component bigint").distinct()
 
 
 def _joining(group: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -259,19 +316,24 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(verified(stars))
 
     still = mixed(at.drop("component"), links)
-    near_by = still.select("first", "id", "n", "component").distinct()
-    torn = near_by.groupBy(F.col("first").alias("_f")).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_size")).where("_lo <> _hi")
-    parts = F.ceil(F.greatest(F.col("_rows") / LIST_PART, F.col("_size") / PART_SHINGLES)).cast("bigint")
-    mine, other = F.pmod(F.xxhash64("id"), parts), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
-    dealt = near_by.join(torn, F.col("first") == F.col("_f")).select("first", "id", "component", mine.alias("mine"), other.alias("other"))
-    dealt = dealt.select("first", "id", "component", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-    drawn_by = dealt.join(reps.select(F.col("id").alias("_id"), "n", "sketch"), F.col("id") == F.col("_id")).drop("_id")
-    dealt = stage(drawn_by.groupBy("first", "p", "q").applyInPandas(lambda g: _touching(g, k, percent), "first bigint, p bigint, q bigint, id bigint, component bigint"), "dealt")
+    near_by = still.select("first", "id", "component").distinct()
+    torn = near_by.groupBy(F.col("first").alias("_f")).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_rows")).where("_lo <> _hi")
+
+    def dealt_out(rows: DataFrame, sizes: DataFrame, parts: Column) -> DataFrame:
+        """Rows of each group for every two of its parts, (first, p, q)."""
+        mine, other = F.pmod(F.xxhash64("id"), parts), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+        placed = rows.join(sizes, F.col("first") == F.col("_f")).select("first", "id", "component", mine.alias("mine"), other.alias("other"))
+        return placed.select("first", "id", "component", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+
+    met = dealt_out(near_by, torn, F.ceil(F.col("_rows") / (SKETCHES_PER_SET * LIST_PART)).cast("bigint")).join(reps.select(F.col("id").alias("_id"), "n", "sketch"), F.col("id") == F.col("_id")).drop("_id")
+    close = stage(_close(met, k, percent), "close")
+    sized = close.join(reps.select(F.col("id").alias("_id"), "n"), F.col("id") == F.col("_id")).groupBy(F.col("first").alias("_f")).agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_size"))
+    dealt = stage(dealt_out(close, sized, F.ceil(F.greatest(F.col("_rows") / LIST_PART, F.col("_size") / PART_SHINGLES)).cast("bigint")), "dealt")
     sets = full_sets(dealt.select(F.col("id").alias("_id")))
     met = dealt.join(sets.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
     joined = met.select("first", "p", "q", "id", "component", "full").groupBy("first", "p", "q").applyInPandas(lambda g: _joining(g, percent), "a bigint, b bigint")
     links = links.unionByName(stage(joined.distinct(), "verified"))
-    discard(at, still, dealt, sets)
+    discard(at, still, close, dealt, sets)
 
     labels = connected(links).select(F.col("node").alias("_node"), "component")
     whole = classes.join(labels, F.col("rep") == F.col("_node"), "left").select(F.col("set").alias("_set"), F.coalesce("component", "rep").alias("_component"))
