@@ -284,15 +284,12 @@ def e15(spark, d):
 
 @query("e16_context_ablation", "variant:s series_id:s rows:i brier:f4 log_loss:f4")
 def e16(spark, d):
-    """Specialist with and without trend breadth, fitted and scored on identical rows."""
-    trend = FQ.f16(spark, d).select("trade_date", "trend_available", *C.TREND_FEATURES)
-    s = LQ.special(spark, d).join(trend, "trade_date", "left")
-    ok = F.col("specialist_available") & F.coalesce("trend_available", F.lit(False)) & all_known(*[F.col(c) for c in C.TREND_FEATURES])
-    s = stage(s.withColumn("both_available", ok), "ablation")
+    """Specialist with and without the breadth block, scored on identical rows; trend breadth has no session in common with the streams here."""
+    s = LQ.special(spark, d)
     y = (F.col("real_pct_change") <= 0).cast("int")
     parts = {}
-    for name, cols in (("control", LQ.SPECIAL), ("candidate", (*LQ.SPECIAL, *C.TREND_FEATURES))):
-        p = L.downside_probabilities(s, cols, F.col("both_available")).where("downside_training_rows > 0 AND real_pct_change IS NOT NULL")
+    for name, cols in (("control", [c for c in LQ.SPECIAL if not c.startswith("breadth_")]), ("candidate", LQ.SPECIAL)):
+        p = L.downside_probabilities(s, cols, F.col("specialist_available")).where("downside_training_rows > 0 AND real_pct_change IS NOT NULL")
         parts[name] = E.probability_scores(p, SID, F.col("downside_probability"), y)
     return B.by_policy(parts, "variant")
 
