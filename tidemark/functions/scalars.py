@@ -22,6 +22,11 @@ def close_to(a: Column, b: Column, rtol: float = 0.0, atol: float = 0.0) -> Colu
     return both | F.coalesce(near, F.lit(False))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: over zero an infinity, or NaN for zero; null only where an operand is null."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def known(x: Column) -> Column:
     """Null for NaN and infinities."""
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
