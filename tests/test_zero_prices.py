@@ -21,7 +21,7 @@ def zeroed(tmp_path_factory):
     return str(root), con
 
 
-@pytest.mark.parametrize("name", ["a3_state_transitions", "a13_trend_breadth", "w9_consecutive_momentum", "g11_stateful_momentum", "f2_distribution_features", "f16_trend_features"])
+@pytest.mark.parametrize("name", ["a3_state_transitions", "a13_trend_breadth", "w9_consecutive_momentum", "g11_stateful_momentum", "f2_distribution_features", "f16_trend_features", "a14_intraday_path", "e18_all_panels"])
 def test_a_day_of_zero_amount_is_no_error(spark, zeroed, name):
     root, con = zeroed
     queries, sql = load()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import ordered
+from tidemark.functions.scalars import quotient
 from tidemark.operators.ranks import aggregate_with_quantiles, flag_top, tenth
 from tidemark.sources.derive import AMOUNTS
 
@@ -344,20 +345,21 @@ def intraday_path(bars: DataFrame, keys: Sequence[str] = ("series_id",), slots:
     k = [*keys, "trade_date"]
     w = ordered(k, "slot")
     start = F.coalesce(F.lag("close").over(w), F.col("open"))
-    b = bars.withColumn("move", F.ln(F.col("close") / start))
+    grown = quotient(F.col("close"), start)
+    b = bars.withColumn("move", F.when(grown == 0, F.lit(float("-inf"))).otherwise(F.ln(grown)))
     half, last = slots // 2, slots
     at = lambda n, c="close": F.max(F.when(F.col("slot") == n, F.col(c)))
     sq = F.col("move") * F.col("move")
     total = F.sum(sq)
     day = b.groupBy(*k).agg(
         F.count("*").alias("bar_rows"),
-        (at(last) / at(last - 1) - 1).alias("last_bar_return"), (at(last) / at(half) - 1).alias("afternoon_return"),
-        ((at(last) / at(last - 1) - 1) - (at(1) / at(1, "open") - 1)).alias("late_minus_early_return"),
+        (quotient(at(last), at(last - 1)) - 1).alias("last_bar_return"), (quotient(at(last), at(half)) - 1).alias("afternoon_return"),
+        ((quotient(at(last), at(last - 1)) - 1) - (quotient(at(1), at(1, "open")) - 1)).alias("late_minus_early_return"),
         F.sqrt(total).alias("realized_vol"),
         F.when(total > 0, share(sum_if(F.col("move") < 0, sq), total)).otherwise(0.0).alias("downside_variance_share"),
         share(sum_if(F.col("slot") == last, F.col("amount")), F.sum("amount")).alias("last_bar_amount_share"),
         share(sum_if(F.col("slot") > half, F.col("amount")), F.sum("amount")).alias("afternoon_amount_share"),
-        (at(last) / F.avg("close") - 1).alias("close_vs_mean"))
+        (quotient(at(last), F.avg("close")) - 1).alias("close_vs_mean"))
     return day.where(F.col("bar_rows") == slots)
 
 
