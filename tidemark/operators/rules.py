@@ -10,6 +10,7 @@ session axis and sliced per chosen rule; history is never joined row by row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -368,8 +369,9 @@ def stability_signal(panel: DataFrame, keys: Sequence[str] = ("series_id",), lon
     c = _counts(short, keys)
     hits = window_sum("_00", w, long_window) + window_sum("_11", w, long_window)
     rows = hits + window_sum("_01", w, long_window) + window_sum("_10", w, long_window)
-    blend = recent_weight * F.col("_s") + (1 - recent_weight) * F.col("_lng")
-    x = c.withColumn("_lng", F.try_divide(hits, rows)).withColumn("_b", blend).withColumn("score", F.greatest(F.col("_b"), 1 - F.col("_b"))).withColumn("reverse", F.col("_b") < 0.5)
+    # the long part is weighted as a decimal before it is divided: scores of opposite rules differ in the last bit only, and their rank follows it
+    share = (F.lit(1 - Decimal(str(recent_weight))) * hits).cast("double")
+    x = c.withColumn("_b", recent_weight * F.col("_s") + F.try_divide(share, rows.cast("double"))).withColumn("score", F.greatest(F.col("_b"), 1 - F.col("_b"))).withColumn("reverse", F.col("_b") < 0.5)
     x = x.withColumn("eligible", F.col("eligible") & (F.col("score") - 0.5 >= edge))
     top = top_rules(x, keys, k)
     now = F.when(F.col("reverse"), 1 - F.col("pred")).otherwise(F.col("pred"))
