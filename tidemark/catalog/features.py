@@ -13,6 +13,7 @@ from tidemark.operators import series as Q
 from tidemark.operators.calendar import calendar_of
 from tidemark.plans import features as X
 from tidemark.sources import derive as D
+from tidemark.sources.staging import kept
 from tidemark.sources.streams import STREAM_KEYS, base_stream, forecast_streams
 
 
@@ -60,6 +61,7 @@ for _g in ("all", "shanghai"):
 BREADTH["shanghai_relative"] = "shanghai_up_fraction - all_up_fraction"
 
 
+@kept("stock-calendar")
 def stock_calendar(spark, d):
     return calendar_of(D.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("trade_date")))
 
@@ -94,7 +96,7 @@ FLOW |= {"large_net_change_1": dif("large_net_ratio"), "large_net_mean_5": win("
 def f3(spark, d):
     """Gated order-flow features of the session before."""
     cal = stock_calendar(spark, d)
-    return X.moneyflow_features(cal.select("trade_date"), P.order_flow(C.stocks(spark, d), C.flows(spark, d), True), cal, price_context=True)
+    return X.moneyflow_features(cal.select("trade_date"), P.order_flow(C.matched(spark, d), price_context=True), cal, price_context=True)
 
 
 CAPS = {n: n for n in P.CAP_MEASURES} | {"cap_net_mean_5": win("avg", "cap_net_ratio", 5), "cap_return_mean_5": win("avg", "cap_return", 5), "cap_up_change_1": dif("cap_up_fraction")}
@@ -103,8 +105,8 @@ CAPS = {n: n for n in P.CAP_MEASURES} | {"cap_net_mean_5": win("avg", "cap_net_r
 @query("f4_capital_features", spec("capital", CAPS), S.with_(S.STOCK, S.FLOW, S.CAP, C.CAP_DAY) + aligned("capital", CAPS, "cday", 1, signals="SELECT trade_date FROM cal"))
 def f4(spark, d):
     """Capitalisation-weighted features of the session before."""
-    s, cal = C.stocks(spark, d), stock_calendar(spark, d)
-    return X.capital_features(cal.select("trade_date"), P.capital_flow(s, C.flows(spark, d), D.cap_panel(spark, d, s)), cal)
+    cal = stock_calendar(spark, d)
+    return X.capital_features(cal.select("trade_date"), P.capital_flow(C.matched(spark, d)), cal)
 
 
 PRICE = {n: n for n in P.CAP_PRICE_MEASURES} | {"cap_return_mean_5": win("avg", "cap_return", 5), "cap_up_change_1": dif("cap_up_fraction")}
@@ -117,9 +119,8 @@ _CLOSE = (S.with_(S.STOCK, S.FLOW, S.CAP, C.CAP_DAY) + ", lag_ AS (SELECT * FROM
 @query("f5_capital_close_features", spec("capital", CAPS) + " capital_price_source_date:d", _CLOSE)
 def f5(spark, d):
     """Same-session capitalisation-weighted prices with lagged flow."""
-    s, cal = C.stocks(spark, d), stock_calendar(spark, d)
-    cap = D.cap_panel(spark, d, s)
-    return X.capital_close_features(cal.select("trade_date"), P.capital_flow(s, C.flows(spark, d), cap), P.capital_prices(s, cap), cal)
+    s, cal = C.matched(spark, d), stock_calendar(spark, d)
+    return X.capital_close_features(cal.select("trade_date"), P.capital_flow(s), P.capital_prices(s), cal)
 
 
 SHARES = {"share_change_1": gro("fd_share", 1, "asset"), "share_change_5": f"CASE WHEN count(fd_share) {S.over('asset', 'session_no', 6)} = 6 THEN {gro('fd_share', 5, 'asset')} END",

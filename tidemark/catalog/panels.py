@@ -9,15 +9,14 @@ from tidemark.catalog.registry import query
 from tidemark.operators import panel as P
 from tidemark.operators.calendar import calendar_of
 from tidemark.sources import derive as D
-from tidemark.sources.staging import stage
+from tidemark.sources.staging import kept, shares_readings, stage
 
-
-def stocks(spark, d):
-    return stage(D.stock_panel(spark, d), "stock")
+matched = kept("matched")(D.matched_panel)
 
 
-def flows(spark, d):
-    return stage(D.flow_panel(spark, d), "flow")
+def stocks(spark, d):
+    """The stock panel; a job that shares its readings has it beside flow and capitalisation."""
+    return matched(spark, d) if shares_readings() else stage(D.stock_panel(spark, d), "stock")
 
 
 def users(spark, d):
@@ -104,14 +103,14 @@ _COV = "trade_date:d active_rows:i matched_rows:i stock_coverage:f amount_covera
 @query("a4_order_flow", _COV + " ".join(f"{m}:f" for m in P.FLOW_MEASURES), S.with_(S.STOCK, S.FLOW, FLOW_DAY) + "SELECT * FROM fday")
 def a4(spark, d):
     """Order-size flow measures, unknown where coverage is short."""
-    return P.order_flow(stocks(spark, d), flows(spark, d))
+    return P.order_flow(matched(spark, d))
 
 
 @query("a5_coverage_gate", "trade_date:d stock_coverage:f amount_coverage:f passes:b",
        S.with_(S.STOCK, S.FLOW, FLOW_DAY) + "SELECT trade_date, stock_coverage, amount_coverage, enough AS passes FROM fall JOIN fgate USING (trade_date)")
 def a5(spark, d):
     """Coverage of the flow panel by count and by turnover with its verdict."""
-    m = P.matched_flow(D.stock_panel(spark, d), D.flow_panel(spark, d))
+    m = P.matched_flow(D.matched_panel(spark, d))
     ok = F.col("matched")
     day = m.groupBy("trade_date").agg(P.mean_of(ok).alias("stock_coverage"), P.share(P.sum_if(ok, F.col("amount")), F.sum("amount")).alias("amount_coverage"))
     return day.withColumn("passes", F.least("stock_coverage", "amount_coverage") >= P.MIN_COVERAGE)
@@ -120,7 +119,7 @@ def a5(spark, d):
 @query("a6_price_conditioned_flow", _COV + " ".join(f"{m}:f" for m in P.PRICE_FLOW_MEASURES), S.with_(S.STOCK, S.FLOW, FLOW_DAY) + "SELECT * FROM fday")
 def a6(spark, d):
     """Flow conditioned on price direction and on turnover rank."""
-    return P.order_flow(stocks(spark, d), flows(spark, d), price_context=True)
+    return P.order_flow(matched(spark, d), price_context=True)
 
 
 CAP_DAY = """
@@ -148,16 +147,14 @@ cprice AS (SELECT trade_date, active_rows, basic_stock_coverage, CASE WHEN basic
        S.with_(S.STOCK, S.FLOW, S.CAP, CAP_DAY) + "SELECT * FROM cday")
 def a7(spark, d):
     """Capitalisation-weighted breadth and flow of one exchange."""
-    s = stocks(spark, d)
-    return P.capital_flow(s, flows(spark, d), D.cap_panel(spark, d, s))
+    return P.capital_flow(matched(spark, d))
 
 
 @query("a8_capital_prices", "trade_date:d active_rows:i basic_stock_coverage:f cap_up_fraction:f cap_return:f cap_vs_equal_up:f",
        S.with_(S.STOCK, S.FLOW, S.CAP, CAP_DAY) + "SELECT * FROM cprice")
 def a8(spark, d):
     """Capitalisation-weighted same-day prices."""
-    s = D.stock_panel(spark, d)
-    return P.capital_prices(s, D.cap_panel(spark, d, s))
+    return P.capital_prices(D.matched_panel(spark, d))
 
 
 FUTURES_DAY = """

@@ -17,6 +17,7 @@ from tidemark.functions.frames import ordered
 from tidemark.functions.scalars import quotient
 from tidemark.operators.ranks import aggregate_with_quantiles, flag_top, tenth
 from tidemark.sources.derive import AMOUNTS
+from tidemark.sources.staging import stage
 
 DAY = ["trade_date"]
 MIN_COVERAGE = 0.98
@@ -110,9 +111,13 @@ def _flow_terms(df: DataFrame) -> DataFrame:
         "small", F.col("buy_sm_amount") - F.col("sell_sm_amount")).withColumn("ratio", share(F.col("large"), F.col("gross")))
 
 
-def matched_flow(stock: DataFrame, flow: DataFrame) -> DataFrame:
-    """Active stocks with their flow; `matched` is false where the flow is missing or empty."""
-    joined = active_rows(stock).join(_flow_terms(flow), ["code", "trade_date"], "left")
+def matched_flow(stock: DataFrame, flow: DataFrame | None = None) -> DataFrame:
+    """Active stocks with their flow; `matched` is false where the flow is missing or empty.
+
+    Without `flow`, the rows of `stock` carry its amounts themselves.
+    """
+    act = active_rows(stock)
+    joined = _flow_terms(act) if flow is None else act.join(_flow_terms(flow), ["code", "trade_date"], "left")
     return joined.withColumn("matched", F.coalesce(F.col("gross") > 0, F.lit(False)))
 
 
@@ -127,9 +132,11 @@ def coverage_gate(df: DataFrame, measures: Sequence[str], coverages: Sequence[st
     return df.select(*[F.when(enough, F.col(c)).alias(c) if c in measures else F.col(c) for c in df.columns])
 
 
-def order_flow(stock: DataFrame, flow: DataFrame, price_context: bool = False) -> DataFrame:
+def order_flow(stock: DataFrame, flow: DataFrame | None = None, price_context: bool = False) -> DataFrame:
     """Order-size flow measures with stock and turnover coverage, gated at 98 %."""
     m = matched_flow(stock, flow)
+    if flow is not None:
+        m = stage(m, "matched-flow")
     ok = F.col("matched")
     if price_context:
         m = flag_top(m.withColumn("_ranked", F.when(ok, F.col("amount"))), DAY, "_ranked", "code", tenth)
@@ -162,16 +169,21 @@ CAP_MEASURES = ("cap_up_fraction", "cap_return", "cap_vs_equal_up", "cap_net_rat
 CAP_PRICE_MEASURES = CAP_MEASURES[:3]
 
 
-def capital_flow(stock: DataFrame, flow: DataFrame, cap: DataFrame, market: str = "SH") -> DataFrame:
+def capital_flow(stock: DataFrame, flow: DataFrame | None = None, cap: DataFrame | None = None, market: str = "SH") -> DataFrame:
     """Capitalisation-weighted breadth and flow of one exchange.
 
+    Without `flow` or `cap`, the rows of `stock` carry those columns themselves.
+
     Every active stock must have a positive capitalisation and each of the three
     flow coverages must reach 98 %; otherwise the measures are unknown.
     """
-    m = matched_flow(stock, flow).where(F.col("market") == market).join(cap, ["code", "trade_date"], "left")
+    m = matched_flow(stock, flow).where(F.col("market") == market)
+    m = m if cap is None else m.join(cap, ["code", "trade_date"], "left")
     ok = F.col("matched")
     c = F.when(F.col("total_mv") > 0, F.col("total_mv"))
     m = m.withColumn("cap", c)
+    if flow is not None or cap is not None:
+        m = stage(m, "capital-flow")
     m = flag_top(m.withColumn("_ranked", F.when(ok, F.col("cap"))), DAY, "_ranked", "code", tenth)
     cm, lg, g = F.when(ok, F.col("cap")), F.when(ok, F.col("large")), F.when(ok, F.col("gross"))
     up = F.when(ok, (F.col("ret") > 0).cast("double"))
@@ -197,9 +209,10 @@ def capital_flow(stock: DataFrame, flow: DataFrame, cap: DataFrame, market: str
         for x in day.columns])
 
 
-def capital_prices(stock: DataFrame, cap: DataFrame, market: str = "SH") -> DataFrame:
+def capital_prices(stock: DataFrame, cap: DataFrame | None = None, market: str = "SH") -> DataFrame:
     """Capitalisation-weighted same-day price measures, complete coverage only."""
-    m = active_rows(stock).where(F.col("market") == market).join(cap, ["code", "trade_date"], "left")
+    m = active_rows(stock).where(F.col("market") == market)
+    m = m if cap is None else m.join(cap, ["code", "trade_date"], "left")
     c = F.when(F.col("total_mv") > 0, F.col("total_mv"))
     up = (F.col("ret") > 0).cast("double")
     day = m.groupBy(*DAY).agg(

@@ -110,15 +110,15 @@ def flag_top(df: DataFrame, keys: Sequence[str], value: str, tie: str, count: Ca
     flagged together.
     """
     keys = list(keys)
-    edge = select_ranks(df, keys, value, {"_e": lambda n: n - count(n)}).select(
+    edge = stage(select_ranks(df, keys, value, {"_e": lambda n: n - count(n)}).select(
         *keys, F.col("_e.value").alias("_edge"), F.col("_e.ties").alias("_ties"),
-        (count(F.col("rank_rows")) - (F.col("rank_rows") - F.col("_e.upto"))).alias("_need"))
+        (count(F.col("rank_rows")) - (F.col("rank_rows") - F.col("_e.upto"))).alias("_need")), "rank-edges")
     marked = df.join(edge, keys, "left").withColumn("_free", F.col(tie).isNull())
-    contested = marked.where((F.col(value) == F.col("_edge")) & (F.col("_need") < F.col("_ties")))
+    contested = stage(marked.where((F.col(value) == F.col("_edge")) & (F.col("_need") < F.col("_ties"))).select(*keys, tie, "_need", "_free"), "rank-ties")
     nulls = contested.groupBy(*keys, "_need").agg(F.count(F.when(F.col("_free"), 1)).alias("_nulls"))
     rest = contested.where("NOT _free").select(*keys, tie, "_need").join(nulls, [*keys, "_need"])
     last = select_ranks(rest, [*keys, "_need", "_nulls"], tie, {"_t": lambda n: F.col("_need") - F.col("_nulls") - 1}).select(*keys, F.col("_t.value").alias("_last"), F.lit(True).alias("_cut"))
-    out = marked.join(last, keys, "left")
+    out = marked.join(stage(last, "rank-last"), keys, "left")
     fits = F.col("_cut").isNull() | F.col("_free") | (F.col(tie) <= F.col("_last"))
     flag = (F.col(value) > F.col("_edge")) | ((F.col(value) == F.col("_edge")) & fits)
     return out.withColumn(name, F.coalesce(flag, F.lit(False))).drop("_edge", "_ties", "_need", "_last", "_free", "_cut")
