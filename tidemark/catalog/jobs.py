@@ -32,7 +32,7 @@ from tidemark.plans import jobs as B
 from tidemark.plans import publishing as PB
 from tidemark.sources import derive as D
 from tidemark.sources import scan as A
-from tidemark.sources.staging import shared_dir, stage
+from tidemark.sources.staging import one_reading, shared_dir, stage
 from tidemark.sources.streams import STREAM_KEYS, base_stream, forecast_streams
 
 SID = ["series_id"]
@@ -331,8 +331,9 @@ def builds_sql(parts):
 
 
 def builds(spark, d, parts):
-    """Each set built and landed as a table, then counted by session from the landed rows."""
-    landed = {name: stage(QUERIES[source](spark, d), f"build-{name}") for name, source, _ in parts}
+    """Each set built and landed as a table, then counted by session from the landed rows; the sets share what they derive from the inputs."""
+    with one_reading():
+        landed = {name: stage(QUERIES[source](spark, d), f"build-{name}") for name, source, _ in parts}
     counted = {name: landed[name].groupBy("trade_date").agg(F.count("*").alias("rows"), F.sum(available).alias("available_rows")) for name, _, available in parts}
     return B.by_policy(counted, "build")
 
