@@ -19,7 +19,7 @@ from tidemark.operators import walkforward as L
 from tidemark.operators.calendar import calendar_of
 from tidemark.plans import features as X
 from tidemark.sources import derive as D
-from tidemark.sources.staging import stage
+from tidemark.sources.staging import one_reading, stage
 from tidemark.sources.streams import STREAM_KEYS, base_stream, forecast_streams
 
 G = ["series_id"]
@@ -256,25 +256,34 @@ def portfolio_features(spark, d):
     return stage(x.withColumn("shared_mask", shared), "portfolio")
 
 
-def portfolio(spark, d):
-    """Four streams from one incumbent: itself, order flow, order flow with prices, and options with order flow.
+def portfolio(spark, d, wanted=None):
+    """Four streams from one incumbent: itself, order flow, order flow with prices, and options with order flow; or the corrected ones that are wanted.
 
     The last pools two models on the shared mask, so its order-flow model is not
     the one of the second stream.
     """
-    x = portfolio_features(spark, d)
+    wanted = tuple(THRESHOLDS) if wanted is None else wanted
+    with one_reading():
+        x = portfolio_features(spark, d)
     keys = ["series_id", "trade_date"]
 
     def fitted(name, features, mask):
         return stage(L.downside_probabilities(x, [*SPECIAL, *features], F.col(mask)).select(*keys, "downside_probability", "downside_training_rows", "downside_last_training_date"), name)
 
-    flow, price = fitted("flow", FLOW_NAMES, "flow_mask"), fitted("flow-price", (*FLOW_NAMES, *FLOW_PRICE_NAMES), "flow_mask")
-    paired, option = fitted("paired-flow", FLOW_NAMES, "shared_mask"), fitted("option", (*OPTION_NAMES, *POSITION_NAMES), "shared_mask")
-    probabilities = {"moneyflow": flow, "moneyflow_price": K.mean_pool(flow, price, keys), "option_moneyflow": K.mean_pool(paired, option, keys)}
+    probabilities = {}
+    if {"moneyflow", "moneyflow_price"} & set(wanted):
+        flow = fitted("flow", FLOW_NAMES, "flow_mask")
+        probabilities["moneyflow"] = flow
+    if "moneyflow_price" in wanted:
+        probabilities["moneyflow_price"] = K.mean_pool(flow, fitted("flow-price", (*FLOW_NAMES, *FLOW_PRICE_NAMES), "flow_mask"), keys)
+    if "option_moneyflow" in wanted:
+        paired, option = fitted("paired-flow", FLOW_NAMES, "shared_mask"), fitted("option", (*OPTION_NAMES, *POSITION_NAMES), "shared_mask")
+        probabilities["option_moneyflow"] = K.mean_pool(paired, option, keys)
     keep = ["series_id", "trade_date", "pos", "predicted_label", "uncalibrated_predicted_return", "predicted_pct_change", "predicted_close", "confidence", "calibrated_confidence", "real_pct_change", "correct"]
     incumbent = x.select(*keep)
     out = incumbent.withColumn("correction_selected", F.lit(False)).withColumn("stream_id", F.lit("baseline"))
-    for name, p in probabilities.items():
+    for name in wanted:
+        p = probabilities[name]
         j = incumbent.join(p.select(*keys, "downside_probability", "downside_training_rows"), keys)
         flipped = V.downside_flip(j, "downside_probability", "downside_training_rows", F.lit(THRESHOLDS[name]))
         calibrated = K.shrink_returns(K.platt_calibrate(flipped, G), G)
@@ -291,7 +300,7 @@ def l13(spark, d):
 @query("l14_fixed_candidate", "series_id:s trade_date:d predicted_label:i calibrated_confidence:f4 correction_selected:b")
 def l14(spark, d):
     """Mean of the order-flow and the price-extended probabilities at a threshold of 0.55."""
-    return portfolio(spark, d).where("stream_id = 'moneyflow_price'")
+    return portfolio(spark, d, ["moneyflow_price"]).where("stream_id = 'moneyflow_price'")
 
 
 #: Learners of the alternate engine (own definition); the incumbent's history and prices are their features.
