@@ -252,12 +252,15 @@ def e14(spark, d):
 @query("e15_fx_family", "series_id:s variant:s rows:i accuracy:f balanced_accuracy:f")
 def e15(spark, d):
     """Quote features admitted as one block: nested, paired and learned-threshold choice, and the pooled error model, control beside them."""
-    signals = D.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("trade_date")).distinct()
-    fx = X.fx_features(D.each_asset(signals), D.external_series(spark, d))
+    with one_reading():
+        signals = D.index_series(spark, d).select("trade_date").distinct()
+        fx = X.fx_features(D.each_asset(signals), D.external_series(spark, d))
+        base = stage(base_stream(spark, d), "incumbent")
+        core = LQ.core_stream(spark, d, base)
     each = {f"{a}_{n}": (a, n) for a in D.ASSETS for n in ("fx_return_1", "fx_volatility_20", "fx_close_spread")}
     names = list(each)
     wide = fx.groupBy("trade_date").agg(*[F.max(F.when(F.col("asset") == a, F.col(n))).alias(k) for k, (a, n) in each.items()])
-    s = LQ.core_stream(spark, d).join(wide, "trade_date", "left")
+    s = stage(core.join(wide, "trade_date", "left"), "fx-stream")
     sets = {"base": LQ.SETS["base"], "extended": (*LQ.SETS["base"], *names)}
     known, real, label = all_known(*[F.col(n) for n in sets["extended"]]), F.col("real_pct_change"), F.col("predicted_label")
     up = (label == 1) & known
@@ -273,10 +276,10 @@ def e15(spark, d):
         "pooled_error": (g, both, L.select_choice(wrong, SID, paired=True, learn_threshold=True)),
     }
     cols = ["series_id", "trade_date", "predicted_label", "predicted_pct_change", "real_pct_change", "confidence", "calibrated_confidence"]
-    variants = {"control": base_stream(spark, d).select(*cols)}
+    variants = {"control": base.select(*cols)}
     for name, (folded, features, choice) in choices.items():
         p = L.nested_probabilities(folded, choice, SID, features)
-        j = base_stream(spark, d).join(p.select("series_id", "pos", "probability", "training_rows", "selected_threshold"), ["series_id", "pos"], "left").fillna(0, ["training_rows"])
+        j = base.join(p.select("series_id", "pos", "probability", "training_rows", "selected_threshold"), ["series_id", "pos"], "left").fillna(0, ["training_rows"])
         flip = V.two_sided_flip if name == "pooled_error" else V.downside_flip
         variants[name] = flip(j, "probability", "training_rows", F.coalesce("selected_threshold", F.lit(2.0))).select(*cols)
     return E.stream_metrics(B.by_policy(variants, "variant"), ["series_id", "variant"])

@@ -36,9 +36,11 @@ def history(spark, d):
     return Q.history_features(base_stream(spark, d), STREAM_KEYS)
 
 
-def core_stream(spark, d):
-    c = Q.core_features(D.index_series(spark, d), G)
-    j = base_stream(spark, d).join(c, ["series_id", "trade_date"])
+def core_stream(spark, d, stream=None):
+    with one_reading():
+        c = Q.core_features(D.index_series(spark, d), G)
+        stream = base_stream(spark, d) if stream is None else stream
+    j = stream.join(c, ["series_id", "trade_date"])
     ok = F.lit(True)
     for n in X.CORE_COLUMNS:
         ok = ok & F.col(n).isNotNull()
@@ -103,8 +105,9 @@ RESIDUAL = (*X.CORE_COLUMNS, *CONTEXT)
 
 def context_stream(spark, d, stream=None):
     """The incumbent with core features and the index context; unknown values stay null."""
-    i = D.index_series(spark, d)
-    stream = base_stream(spark, d) if stream is None else stream
+    with one_reading():
+        i = D.index_series(spark, d)
+        stream = base_stream(spark, d) if stream is None else stream
     core = Q.core_features(i, G).select("series_id", "trade_date", *X.CORE_COLUMNS)
     context = X.index_context_features(i, i, C.OTHERS[:3]).select("series_id", "trade_date", *CONTEXT)
     return stage(stream.join(core, ["series_id", "trade_date"], "left").join(context, ["series_id", "trade_date"], "left"), "context")

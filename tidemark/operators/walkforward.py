@@ -62,11 +62,10 @@ class Logistic:
                 break
             hess = c * (z.T * (w * q * (1 - q))) @ z + np.diag(ridge + 1e-12)
             step, length = np.linalg.solve(hess, grad), 1.0
-            while loss(beta - length * step) > now + 1e-12 and length > 1e-6:
+            while (new := loss(beta - length * step)) > now + 1e-12 and length > 1e-6:
                 length /= 2
             beta = beta - length * step
             self.steps += 1
-            new = loss(beta)
             if now - new < 1e-14:
                 break
             now = new
@@ -285,6 +284,7 @@ def nested_attempts(folded: DataFrame, keys: Sequence[str], feature_sets: dict[s
         pos, known, y = part["pos"].to_numpy(), part["fold_known"].to_numpy(dtype=bool), part["fold_target"].to_numpy(dtype=float)
         label, real = part["predicted_label"].to_numpy(dtype=int), part["real_pct_change"].to_numpy(dtype=float)
         x = {m: part[cols].to_numpy(dtype=float) for m, cols in modes.items()}
+        key, dates = tuple(own[keys].iloc[0]) if len(own) else (), part["trade_date"].tolist()
         done, last = [], {}
         for anchor in own["pos"]:
             h = np.flatnonzero(known & (pos < anchor) & (pos >= anchor - window))
@@ -304,8 +304,8 @@ def nested_attempts(folded: DataFrame, keys: Sequence[str], feature_sets: dict[s
                         for t in thresholds:
                             flip = np.isin(res, test[p >= t])
                             delta = ((label[res] ^ flip) == truth).astype(int) - (label[res] == truth).astype(int)
-                            done.append((*own.iloc[0][keys], anchor, m, c, t, b, loss, float(np.mean((p - y[test]) ** 2)), int((delta > 0).sum()), int((delta < 0).sum()),
-                                         int(truth.sum()), int((~truth).sum()), int(delta[truth].sum()), int(delta[~truth].sum()), len(h), part["trade_date"].iloc[test[-1]]))
+                            done.append((*key, anchor, m, c, t, b, loss, float(np.mean((p - y[test]) ** 2)), int((delta > 0).sum()), int((delta < 0).sum()),
+                                         int(truth.sum()), int((~truth).sum()), int(delta[truth].sum()), int(delta[~truth].sum()), len(h), dates[test[-1]]))
         return pd.DataFrame(done, columns=names)
 
     return _groups(rows, keys).applyInPandas(run, out)
