@@ -65,3 +65,14 @@ def test_neighbours(spark):
         want.append((i, len(text), hashlib.sha256(changed.encode()).hexdigest(), fingerprint(text), fingerprint(changed), alike(text, changed), alike(text, after)))
     docs = spark.createDataFrame([(*r, *"abc") for r in rows], "doc_id bigint, text string, bucket string, bridge string, id string").repartition(3)
     assert sorted(map(tuple, scaled_sketch.neighbour_fingerprints(docs).collect())) == sorted(want)
+
+
+def test_blocks_of_few_words(spark):
+    """A block whose texts hold fewer words in all than a shingle has, as where a range's last row is followed by a short text."""
+    for texts in ([""], ["a"], ["a b"], ["a b c"], ["a b c d"], ["a", "b c"], ["", "a b", ""], ["a b c d e"], ["a b", "c d e f"]):
+        for k in range(1, 9):
+            got = [(n, kept.tolist()) for n, kept in scaled_sketch.sketches([t.encode() for t in texts], k, 0.25)]
+            assert got == [sketch(t, k) for t in texts], (texts, k)
+    docs = spark.createDataFrame([(1, "one two"), (2, ""), (3, "three")], "doc_id bigint, text string")
+    got = {r.doc_id: r.fingerprint for r in scaled_sketch.neighbour_fingerprints(docs).collect()}
+    assert got == {1: fingerprint("one two"), 2: fingerprint(""), 3: fingerprint("three")}

@@ -76,8 +76,8 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     n = len(words)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     value = np.full(n, k, np.uint64)
-    for i in range(k):
-        value[: n - i if i else n] = value[: n - i if i else n] * _BASE + words[i:] if n > i else value[: max(0, n - i)]
+    for i in range(min(k, n)):  # with fewer than k words in all, no run is whole
+        value[: n - i] = value[: n - i] * _BASE + words[i:]
     whole = np.arange(n) + k <= first[1:][text]
     value, owner = mix(value[whole]), text[whole]
     short = np.flatnonzero((np.diff(first) < k) & (np.diff(first) > 0))
