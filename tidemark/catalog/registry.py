@@ -38,7 +38,9 @@ def _spark(name: str, kind: str) -> Column:
     else:
         x = c.cast("double")
         n = int(kind[1:] or 6)
-        r = F.round(F.when(~F.isnan(x), x) + 10.0 ** -(n + 3), n)
+        y = F.when(~F.isnan(x), x) + 10.0 ** -(n + 3)
+        scaled = F.round(y * 10.0**n) / 10.0**n  # as the SQL rounds: above a thousand millions decimal digits would round otherwise
+        r = F.when(F.abs(scaled) == float("inf"), y).otherwise(scaled)
         out = F.when(r == 0, F.lit(0.0)).otherwise(r)
     return out.alias(name)
 

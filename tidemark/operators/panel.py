@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import ordered
-from tidemark.functions.scalars import quotient
+from tidemark.functions.scalars import exponential, natural_log, quotient
 from tidemark.operators.ranks import aggregate_with_quantiles, flag_top, tenth
 from tidemark.sources.derive import AMOUNTS
 from tidemark.sources.staging import stage
@@ -304,15 +304,15 @@ def matched_interest(daily: DataFrame, calendar: DataFrame) -> DataFrame:
 
 def consecutive_momentum(stock: DataFrame, calendar: DataFrame, windows: Sequence[int]) -> DataFrame:
     """Compounded return over w sessions of an unbroken run; a missed session starts a new run."""
-    act = active_rows(stock).join(calendar, "trade_date").where(F.col("ret") > -1)
+    act = active_rows(stock).join(calendar, "trade_date").where(F.col("ret") > -1).withColumn("_ln", natural_log(1 + F.col("ret")))
     w = ordered(["code"], "session_no")
     runs = act.withColumn("run", F.col("session_no") - F.row_number().over(w))
     rw = ordered(["code", "run"], "session_no")
     runs = runs.withColumn("run_rows", F.row_number().over(rw))
     for n in windows:
-        total = F.sum(F.log1p("ret")).over(rw.rowsBetween(-(n - 1), 0))
-        runs = runs.withColumn(f"mom_{n}", F.when(F.col("run_rows") >= n, F.expm1(total)))
-    return runs
+        total = F.sum("_ln").over(rw.rowsBetween(-(n - 1), 0))
+        runs = runs.withColumn(f"mom_{n}", F.when(F.col("run_rows") >= n, exponential(total) - 1))
+    return runs.drop("_ln")
 
 
 def trend_breadth(stock: DataFrame, calendar: DataFrame, windows: Sequence[int] = (5, 20, 60), change: int = 5) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,10 @@ def streaming_momentum(rows: DataFrame, windows: Sequence[int]) -> DataFrame:
     out = T.StructType([T.StructField("code", T.LongType()), T.StructField("session_no", T.IntegerType()), *[T.StructField(f"mom_{n}", T.DoubleType()) for n in wins]])
     names = out.fieldNames()
 
+    def added(logs: list[float]) -> float:
+        """The sum in row order, as a window adds; sum() would compensate."""
+        return reduce(add, logs)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, logs = state.get if state.exists else (None, [])
         logs = list(logs)
@@ -31,9 +37,9 @@ def streaming_momentum(rows: DataFrame, windows: Sequence[int]) -> DataFrame:
         for no, r in zip(part["session_no"], part["ret"]):
             if last is None or no != last + 1:
                 logs = []
-            logs = (logs + [float(np.log1p(r))])[-keep:]
+            logs = (logs + [float(np.log(1 + r))])[-keep:]
             last = int(no)
-            done.append((key[0], last, *[float(np.expm1(sum(logs[-n:]))) if len(logs) >= n else None for n in wins]))
+            done.append((key[0], last, *[float(np.exp(added(logs[-n:])) - 1) if len(logs) >= n else None for n in wins]))
         state.update((last, logs))
         yield pd.DataFrame(done, columns=names)
 
